@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import langid, packing, simhash, token_files, toxicity, url_filter
+from quillstack.llm import langid, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
 from quillstack.staging import read_table
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, read_table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
