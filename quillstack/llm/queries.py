@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import langid, mixing, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
+from quillstack.llm import graph_ann, langid, mixing, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
 from quillstack.staging import read_table
 
 
@@ -43,6 +43,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_ann.nearest(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_graph_ann": op10_graph_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {
