@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
+from corpus_pipeline import run as pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import graph_ann, langid, mixing, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
+from quillstack.llm import graph_ann, langid, media, mixing, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
 from quillstack.staging import read_table
 
 
@@ -35,6 +36,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_media_columns": op3_media_columns,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_language_id": op6_language_id,
@@ -57,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_graph_ann": op10_graph_ann,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
