@@ -28,3 +28,20 @@ def top_authors(posts: DataFrame, k: int = 10) -> DataFrame:
         .filter(F.col("rank") <= k)
         .select("thread_id", "rank", "author", "post_count", F.round(100 * F.col("post_count") / F.col("total"), 2).alias("share_percent"))
     )
+
+
+def author_totals(posts: DataFrame) -> DataFrame:
+    """(thread_id, total_posts, distinct_users), from author counts: no thread is counted in one task."""
+    return author_counts(posts).groupBy("thread_id").agg(F.sum("post_count").alias("total_posts"), F.count(F.lit(1)).alias("distinct_users"))
+
+
+def export_report(posts: DataFrame, exported: DataFrame, *, filtered: bool) -> DataFrame:
+    """(thread_id, total_posts, exported_posts, filter_mode)."""
+    total = posts.groupBy("thread_id").agg(F.count(F.lit(1)).alias("total_posts"))
+    out = exported.groupBy("thread_id").agg(F.count(F.lit(1)).alias("exported_posts"))
+    return total.join(out, "thread_id", "left").select("thread_id", "total_posts", F.coalesce("exported_posts", F.lit(0)).cast("long").alias("exported_posts"), F.lit("filtered" if filtered else "all_posts").alias("filter_mode"))
+
+
+def embedded_report(rendered: DataFrame) -> DataFrame:
+    """(thread_id, posts, images_embedded, images_fallback) of posts rendered with inline images."""
+    return rendered.groupBy("thread_id").agg(F.count(F.lit(1)).alias("posts"), F.sum("n_embedded").alias("images_embedded"), F.sum("n_fallback").alias("images_fallback"))
