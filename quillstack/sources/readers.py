@@ -23,7 +23,7 @@ def _thread(depth: int):
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """(thread_id, page, page_url, html) of files ``<thread>/raw_html/page_0001.html``; undecodable bytes are replaced."""
     whole = spark.read.option("wholetext", True).option("pathGlobFilter", "page_*.html").option("recursiveFileLookup", True).text(path)
-    return whole.select(_thread(2).alias("thread_id"), F.regexp_extract(_name(), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.col("value").alias("html")).filter("page IS NOT NULL")
+    return whole.select(_thread(2).alias("thread_id"), F.regexp_extract(_name(), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html")).filter("page IS NOT NULL")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +38,7 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 def corrupt_documents(spark: SparkSession, path: str) -> DataFrame:
     """(thread_id) of documents that could not be read."""
-    return read_documents(spark, path).select("thread_id", "_corrupt_record", "title").filter("_corrupt_record IS NOT NULL").select("thread_id")
+    return read_documents(spark, path).filter("_corrupt_record IS NOT NULL AND posts IS NULL").select("thread_id")
 
 
 def read_page_state(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def pages_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return reader.schema("value string").format("text").load(path).select(F.element_at(parts, -3).alias("thread_id"), F.regexp_extract(F.col("_metadata.file_name"), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.col("value").alias("html"))
+    return reader.schema("value string").format("text").load(path).select(F.element_at(parts, -3).alias("thread_id"), F.regexp_extract(F.col("_metadata.file_name"), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html"))
 
 
 def _archive(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
