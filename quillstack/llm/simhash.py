@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.batches import bounded, texts
 from quillstack.llm.graph import components, forest
+from quillstack.llm.similar import similar_pairs
 from quillstack.staging import Stage
 
 #: Homes and rows of one cell of an anchor's grid.
@@ -194,11 +195,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return prints.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 3, bits: int = 3) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity: float = 0.8, print_words: int = 3, bits: int = 3) -> DataFrame:
     """Documents without all but the smallest id of every group of near-duplicates; columns unchanged.
 
-    Documents of fewer words than a shingle have little to compare: only equal ones group, as for all others.
+    Two documents are linked by fingerprints of ``print_words``-word shingles that differ in at most ``bits`` bits, or by
+    a Jaccard similarity of their ``words``-word shingles of at least ``similarity``: a few edits of a short
+    text move more than three bits, so fingerprints alone would leave such copies.
     """
-    found = near_duplicates(spark, docs, words=words, bits=bits)
-    gone = Stage(spark, "simhash-gone").put("gone", found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    stage = Stage(spark, "keep-one")
+    prints = stage.put("prints", fingerprints(docs, words=print_words).filter("doc_id IS NOT NULL"))
+    nodes = stage.put("nodes", prints.groupBy("print").agg(F.min("doc_id").alias("node")))
+    equal = prints.join(nodes, "print").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    found = equal.unionByName(links(stage, nodes, bits)).unionByName(similar_pairs(stage, docs, words=words, similarity=similarity))
+    gone = components(stage, stage.put("found", found)).filter("node <> component").select(F.col("node").alias("doc_id"))
+    return docs.join(stage.put("gone", gone), "doc_id", "left_anti").select(docs.columns)

@@ -108,8 +108,8 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - done)], values[width - done :]) if width > done else values
 
 
-def kept_positions(words: np.ndarray, at: np.ndarray, key: int) -> np.ndarray:
-    """Positions whose gram hash is the smallest of some ``key + 1`` consecutive ones of the text."""
+def kept_positions(words: np.ndarray, at: np.ndarray, key: int, width: int | None = None) -> np.ndarray:
+    """Positions with ``key`` words after them whose gram hash is the smallest of some ``width`` consecutive ones, ``key + 1`` by default."""
     n, top = len(words), np.uint64(0xFFFFFFFFFFFFFFFF)
     value = np.full(n, top, dtype=np.uint64)
     if n >= GRAM:
@@ -119,7 +119,7 @@ def kept_positions(words: np.ndarray, at: np.ndarray, key: int) -> np.ndarray:
     np.add.at(ends, np.maximum(at[:-1], at[1:] - key + 1), 1)
     np.add.at(ends, at[1:], -1)
     value[np.cumsum(ends[:-1]) > 0] = top  # too near to the end of its text
-    width = key + 1
+    width = width or key + 1
     padded = np.r_[np.full(width - 1, top), value, np.full(width - 1, top)]
     least = _sliding(padded, width, np.minimum)
     return np.flatnonzero((_sliding(least, width, np.maximum) == value) & (value != top)) if n else np.zeros(0, dtype=np.int64)

@@ -31,19 +31,16 @@ def test_decisions_take_effect(spark, stages):
     assert all(b <= a for a, b in zip(ids, ids[1:])) and len(ids[0]) > len(ids[1]) > len(ids[2])
     scores = toxicity.score(spark, stages[0], read_table(spark, SF, "labels")).collect()
     assert ids[0] - ids[1] == {x.doc_id for x in scores if x.predicted}
-    prints = {x.doc_id: simhash.fingerprint(x.text) for x in stages[1].collect()}
-    label = {d: d for d in prints}
-    order = sorted(prints)
-    def root(d):
-        while label[d] != d:
-            d = label[d]
-        return d
-    for i, a in enumerate(order):
-        for b in order[:i]:
-            if (prints[a] ^ prints[b]).bit_count() <= 3:
-                x, y = sorted((root(a), root(b)))
-                label[y] = x
-    assert ids[2] == {root(d) for d in order}
+    assert ids[2] == {x.doc_id for x in simhash.keep_one(spark, stages[1]).collect()}
+    left = {x.doc_id: x.text for x in stages[2].collect()}
+    prints = {d: simhash.fingerprint(t) for d, t in left.items()}
+    shingles = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, t in left.items() for w in [t.encode().lower().split()]}
+    for a in left:
+        for b in left:
+            if b < a:
+                assert (prints[a] ^ prints[b]).bit_count() > 3
+                if 0.8 <= len(shingles[a]) / len(shingles[b]) <= 1.25:
+                    assert len(shingles[a] & shingles[b]) < 0.8 * len(shingles[a] | shingles[b])
 
 
 def test_repeats_are_cut_once(stages):
