@@ -14,7 +14,7 @@ from quillstack.functions import text as T
 from quillstack.functions import urls as U
 from quillstack.operators import images, merge, parse, rename, render, report, select, validate
 from quillstack.plans import archive
-from quillstack.sources import writers
+from quillstack.sources import readers, writers
 from quillstack.staging import Stage, read_table
 from quillstack.streaming import ingest
 
@@ -835,6 +835,35 @@ def write_read_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("thread_id", "post_id", "page", "author")
 
 
+@query("read_raw_pages", f"SELECT DISTINCT thread_id, page, 1 AS titles FROM ({CONV})")
+def read_raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stage(spark, 'raw-pages').root}/pages"
+    writers.write_raw_pages(forum_pages(spark, sf_dir), path)
+    return readers.read_page_table(spark, path).select("thread_id", "page", F.regexp_count("html", F.lit("<h1>Thread ")).alias("titles"))
+
+
+@query("read_archive", f"SELECT thread_id, post_id, page, author, text FROM ({CONV})")
+def read_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, p = f"{Stage(spark, 'documents').root}/documents", validate.judged_posts(posts(spark, sf_dir))
+    writers.write_documents(render.thread_document(p, p.select("thread_id").distinct()), path)
+    return readers.read_document_table(spark, path).select("thread_id", "post_id", "page", "author", "text")
+
+
+@query("read_selection_file", "SELECT DISTINCT conv_id + 1 AS lo, conv_id + 1 + turn AS hi FROM conversations")
+def read_selection_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, lo = f"{Stage(spark, 'selection').root}/spec", F.col("conv_id") + 1
+    line = F.concat(F.lit("#"), (lo + F.col("turn")).cast("string"), F.lit("-#"), lo.cast("string"), F.lit(", x 0"))
+    read_table(spark, sf_dir, "conversations").select(line.alias("value")).write.text(path)
+    return readers.read_selection_file(spark, path)
+
+
+@query("write_report", f"SELECT thread_id, count(*) AS total_posts, count(*) AS exported_posts, 'all_posts' AS filter_mode FROM ({CONV}) GROUP BY thread_id")
+def write_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, p = f"{Stage(spark, 'report').root}/report", A.conversation_posts(spark, sf_dir)
+    writers.write_report(report.export_report(p, p, filtered=False), path)
+    return spark.read.schema("thread_id string, total_posts long, exported_posts long, filter_mode string").json(path)
+
+
 @query("assemble_thread_document", f"SELECT thread_id, count(*) AS total_posts, string_agg(post_id, ',' ORDER BY {ORDER}) AS ids FROM ({CONV}) GROUP BY thread_id")
 def assemble_thread_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)

@@ -26,6 +26,17 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(_thread(2).alias("thread_id"), F.regexp_extract(_name(), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html")).filter("page IS NOT NULL")
 
 
+def read_page_table(spark: SparkSession, path: str) -> DataFrame:
+    """(thread_id, page, page_url, html) of pages written by ``write_raw_pages``: a folder per thread and page."""
+    whole = spark.read.schema("value string, thread_id string, page int").option("wholetext", True).text(path)
+    return whole.select("thread_id", "page", F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html"))
+
+
+def read_document_table(spark: SparkSession, path: str) -> DataFrame:
+    """Posts of documents written by ``write_documents``, one document a line."""
+    return spark.read.schema(f"thread_id STRING, {schemas.THREAD_DOCUMENT}").option("columnNameOfCorruptRecord", "_corrupt_record").json(path).select("thread_id", F.inline("posts"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Thread documents ``<thread>/thread.json`` with ``_corrupt_record``."""
     return spark.read.schema(schemas.THREAD_DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").option("pathGlobFilter", "thread.json").option("recursiveFileLookup", True).json(path).withColumn("thread_id", _thread(1))

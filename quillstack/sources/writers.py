@@ -28,6 +28,11 @@ def write_archive(posts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     _replace(with_bucket(public_posts(posts), buckets).repartition("thread_bucket", F.pmod(F.xxhash64("post_id"), F.lit(8))).sortWithinPartitions("thread_bucket", "thread_id"), path, "thread_bucket")
 
 
+def write_raw_pages(pages: DataFrame, path: str) -> None:
+    """Page texts, a folder per thread and page; line ends become plain."""
+    pages.select("thread_id", "page", F.col("html").alias("value")).write.mode("overwrite").partitionBy("thread_id", "page").text(path)
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """One JSON document per thread."""
     documents.write.mode("overwrite").json(path)
