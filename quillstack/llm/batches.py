@@ -6,9 +6,21 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1000
 
-def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to ``BATCH_ROWS``; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text each; one longer text is a slice alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -21,6 +33,7 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
                 begin, total = i, 0
             total += n
         yield batch.slice(begin)
+    pa.default_memory_pool().release_unused()  # the worker lives on after the task
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import ngrams
-from quillstack.llm.batches import bounded, texts
+from quillstack.llm.batches import bounded, small_batches, texts
 
 SIZES, BITS = (1, 2, 3), 16
 SCALE = 40.0
@@ -147,12 +147,13 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_class:
 
 def identify(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 1500) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per document."""
+    small_batches(spark)
     model = train(docs, id_col, text_col, lang_col, per_class)
     held = spark.sparkContext.broadcast(model)  # a number per language and bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = held.value
-        for batch in bounded(batches, limit=1 << 20):
+        for batch in bounded(batches):
             said = texts(batch.column("text"))
             lang, score = ["und"] * len(said), np.full(len(said), 1.0 if made else 0.0)
             known = [i for i, t in enumerate(said) if LETTER.search(t)]

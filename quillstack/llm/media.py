@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.batches import bounded, texts
+from quillstack.llm.batches import bounded, small_batches, texts
 from quillstack.staging import Stage
 
 ROW = 64
@@ -204,6 +204,7 @@ def documents_as_media(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
     Each document becomes a page with one figure; its text is the figure's payload.  The page is
     parsed into items, the payload is stored and read back, and the digest joins them.
     """
+    small_batches(spark)
     stage = Stage(spark, "media")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

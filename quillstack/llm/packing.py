@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstack.llm import tokens
+from quillstack.llm.batches import small_batches
 from quillstack.staging import Stage
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
@@ -104,6 +105,7 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
+    small_batches(spark)
     stage = Stage(spark, "packing")
     made = stage.put("pieces", pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
     own = made.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

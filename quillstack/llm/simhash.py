@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.batches import bounded, texts
+from quillstack.llm.batches import bounded, small_batches, texts
 from quillstack.llm.graph import components, forest
 from quillstack.llm.similar import similar_pairs
 from quillstack.staging import Stage
@@ -187,6 +187,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     The component is named by its smallest id; every document reaches itself.
     """
+    small_batches(spark)
     stage = Stage(spark, "simhash")
     prints = stage.put("prints", fingerprints(docs, id_col, text_col, words))
     nodes = stage.put("nodes", prints.groupBy("print").agg(F.min("doc_id").alias("node")))
@@ -202,6 +203,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity
     a Jaccard similarity of their ``words``-word shingles of at least ``similarity``: a few edits of a short
     text move more than three bits, so fingerprints alone would leave such copies.
     """
+    small_batches(spark)
     stage = Stage(spark, "keep-one")
     prints = stage.put("prints", fingerprints(docs, words=print_words).filter("doc_id IS NOT NULL"))
     nodes = stage.put("nodes", prints.groupBy("print").agg(F.min("doc_id").alias("node")))

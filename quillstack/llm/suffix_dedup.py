@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillstack.llm.batches import bounded
+from quillstack.llm.batches import bounded, small_batches
 from quillstack.staging import Stage
 
 GRAM = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -175,6 +175,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, id_col: str = "do
     """
     if min_words < 2 * GRAM or min_words % 2:
         raise ValueError(f"min_words must be even and at least {2 * GRAM}")
+    small_batches(spark)
     key, stage = min_words // 2, Stage(spark, "suffixes")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter("doc_id IS NOT NULL")
     kept = stage.put("kept", suffixes(docs, min_words))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstack.llm import tokens
+from quillstack.llm.batches import small_batches
 from quillstack.staging import Stage
 
 #: Magic, version, bits per id, documents, ids.
@@ -138,6 +139,7 @@ def read_documents(written: DataFrame) -> DataFrame:
 
 def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) as read back from the written blocks."""
+    small_batches(spark)
     stage = Stage(spark, "tokens")
     written = stage.put("blocks", blocks(docs, tokenizer_path, end_id, id_col, text_col))
     # One row per written part: a running sum over parts needs no more than their number.

@@ -20,7 +20,7 @@ import pyarrow as pa
 
 LATIN = 0x250
 #: Pieces held by one worker; beyond it the table starts anew.
-HELD = 1 << 20
+HELD = 1 << 19
 
 
 class PieceTokenizer:
@@ -67,7 +67,7 @@ class PieceTokenizer:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     def _simple(self, text: str) -> bool:
-        return len(text) <= HELD and not any(s in text for s in self.special)
+        return len(text) <= HELD // 2 and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         fast, out, n = [], [None] * len(texts), np.zeros(len(texts), dtype=np.int64)
@@ -210,5 +210,5 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.R
     from quillstack.llm.batches import bounded, texts
 
     made = tokenizer(path)
-    for batch in bounded(batches, limit=1 << 20):
+    for batch in bounded(batches, limit=1 << 18):
         yield batch, *made.encode(texts(batch.column("text")))
