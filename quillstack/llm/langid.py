@@ -28,7 +28,14 @@ from quillstack.llm.batches import bounded, small_batches, texts
 
 SIZES, BITS = (1, 2, 3), 16
 SCALE = 40.0
-LETTER = re.compile(r"[^\W\d_]")
+WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Superscripts and the like look like word characters but are no letters."""
+    return any(x[0].isalpha() for x in WORD.finditer(text))
+
+
 
 
 def held_out(id_col: str) -> Column:
@@ -156,7 +163,7 @@ def identify(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", te
         for batch in bounded(batches):
             said = texts(batch.column("text"))
             lang, score = ["und"] * len(said), np.full(len(said), 1.0 if made else 0.0)
-            known = [i for i, t in enumerate(said) if LETTER.search(t)]
+            known = [i for i, t in enumerate(said) if has_letter(t)]
             if made and known:
                 p = made.scores([said[i] for i in known])
                 best = p.argmax(axis=1)
