@@ -16,14 +16,16 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import ngrams
-from quillstack.llm.batches import bounded, texts
+from quillstack.llm.batches import bounded, small_batches, texts
 from quillstack.llm.langid import held_out
 
 SIZES, BITS = (3, 4, 5, 6), 20
@@ -34,10 +36,17 @@ THRESHOLD = 0.7
 
 @dataclass
 class Model:
-    number: np.ndarray  # of the feature of each level and bucket, -1 for none
+    chosen: np.ndarray  # level times buckets plus bucket, of each feature
     weight: np.ndarray  # learned weight times log-count ratio
     bias: float
 
+    @cached_property
+    def number(self) -> np.ndarray:
+        """Feature of each level and bucket, -1 for none; made where it is used, so that the model itself is small."""
+        table = np.full(len(LEVELS) << BITS, -1, dtype=np.int16)
+        table[self.chosen] = np.arange(len(self.chosen))
+        return table.reshape(len(LEVELS), -1)
+
     def scores(self, batch: list[str]) -> np.ndarray:
         row, feature = present(batch, self.number)
         return sigmoid(np.bincount(row, self.weight[feature], minlength=len(batch)) + self.bias)
@@ -71,18 +80,19 @@ def fit(rows: list[tuple[str, int]], *, smooth: float = 1.0, l2: float = 3e-3, s
         bucket, times = np.unique(ngrams.buckets(text, SIZES, BITS), return_counts=True)
         for k, level in enumerate(LEVELS):
             counts[int(y), bucket[times >= level] + (k << BITS)] += 1
-    n = np.array([(label == 0).sum(), (label == 1).sum()])
-    share = (counts + smooth) / (n[:, None] + 2 * smooth)
-    ratio = np.log(share[1] / share[0])
-    significance = np.abs(share[1] - share[0]) / np.sqrt(share[1] * (1 - share[1]) / n[1] + share[0] * (1 - share[0]) / n[0])
-    chosen = np.argsort(-significance, kind="stable")[:FEATURES]
-    chosen = np.sort(chosen[significance[chosen] > 3])
-    number = np.full(len(LEVELS) << BITS, -1, dtype=np.int32)
-    number[chosen] = np.arange(len(chosen))
-    number = number.reshape(len(LEVELS), -1)
+    n = np.array([(label == 0).sum(), (label == 1).sum()], dtype=np.float32)
+    share = counts
+    share += smooth
+    share /= n[:, None] + 2 * smooth
+    spread = np.sqrt(share[1] * (1 - share[1]) / n[1] + share[0] * (1 - share[0]) / n[0])
+    strong = np.flatnonzero(np.abs(share[1] - share[0]) > 3 * spread)
+    significance = np.abs(share[1] - share[0])[strong] / spread[strong]
+    chosen = np.sort(strong[np.argsort(-significance, kind="stable")[:FEATURES]])
+    ratio = np.log(share[1, chosen] / share[0, chosen])
+    made = Model(chosen, np.zeros(0), 0.0)
     scale = np.zeros(FEATURES)
-    scale[: len(chosen)] = ratio[chosen]
-    parts = [present([t for t, _ in rows[i : i + 200]], number) for i in range(0, len(rows), 200)]
+    scale[: len(chosen)] = ratio
+    parts = [present([t for t, _ in rows[i : i + 200]], made.number) for i in range(0, len(rows), 200)]
     row, feature = np.concatenate([r + 200 * k for k, (r, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])
     value = scale[feature]
     w, speed, bias, bias_speed = np.zeros(FEATURES), np.full(FEATURES, 1e-8), 0.0, 1e-8
@@ -95,7 +105,7 @@ def fit(rows: list[tuple[str, int]], *, smooth: float = 1.0, l2: float = 3e-3, s
         bias_speed += error.sum() ** 2
         w -= 0.1 * g / np.sqrt(speed)
         bias -= 0.1 * error.sum() / np.sqrt(bias_speed)
-    return Model(number, (w * scale).astype(np.float32), float(bias))
+    return Model(chosen.astype(np.int32), (w * scale)[: len(chosen)].astype(np.float32), float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> Model | None:
@@ -123,12 +133,13 @@ def score(
 
     ``learn_from`` holds the texts of labelled documents; it is ``docs`` itself by default.
     """
+    small_batches(spark)
     model = train(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, per_class)
     held = spark.sparkContext.broadcast(model)  # bounded by the number of buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = held.value
-        for batch in bounded(batches, limit=1 << 20):
+        for batch in bounded(batches):
             p = made.scores(texts(batch.column("text"))) if made else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.astype(float)), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -136,7 +147,19 @@ def score(
     return chosen.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Documents that the classifier does not reject; columns unchanged, rows without an id kept."""
-    bad = score(spark, docs, labels, **options).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def keep_clean(
+    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, threshold: float = THRESHOLD
+) -> DataFrame:
+    """Documents that score below the threshold; columns unchanged, no shuffle, rows without an id are judged too."""
+    small_batches(spark)
+    model = train(docs, labels, id_col, text_col, label_col, per_class)
+    if model is None:
+        return docs
+    held = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def toxic(text: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
+        return pd.Series(np.concatenate([held.value.scores(texts(x.column(0))) for x in bounded(iter([batch]))] or [np.zeros(0)]))
+
+    return docs.filter(toxic(F.col(text_col).cast("string")) < threshold)

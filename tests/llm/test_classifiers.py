@@ -43,7 +43,7 @@ def test_labels_of_held_out_documents_do_not_matter(spark):
 
 
 def test_language_cases(spark):
-    rows = [(1, None, "en", "", ""), (2, "", "en", "", ""), (3, "123 !?", None, "", ""), (None, "the cat", "en", "", ""), (5, "le chat est la", "fr", "", ""), (5, "le chat est la", "fr", "", ""), (6, "the dog", "en", "", ""), (7, "x" * 300000, None, "", "")]
+    rows = [(1, None, "en", "", ""), (2, "", "en", "", ""), (3, "123 ²½ _!?", None, "", ""), (None, "the cat", "en", "", ""), (5, "le chat est la", "fr", "", ""), (5, "le chat est la", "fr", "", ""), (6, "the dog", "en", "", ""), (7, "x" * 300000, None, "", "")]
     df = spark.createDataFrame(rows, CASES).repartition(2)
     got = langid.identify(spark, df).collect()
     assert len(got) == len(rows)
@@ -66,6 +66,15 @@ def test_toxicity_of_held_out_documents(toxic):
     assert np.mean([x.predicted for x in out if truth[x.doc_id] == 0]) < 0.01
 
 
+def test_filter_and_scores_agree(spark):
+    docs, labels = read_table(spark, SF, "documents"), read_table(spark, SF, "labels")
+    odd = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", "s", 0)], docs.schema))
+    scored = {(x.doc_id, x.predicted) for x in toxicity.score(spark, odd, labels).collect()}
+    kept = toxicity.keep_clean(spark, odd, labels)
+    assert kept.columns == docs.columns
+    assert {(x.doc_id, 0) for x in kept.collect()} == {x for x in scored if not x[1]}
+
+
 def test_toxicity_cases(spark):
     docs = spark.createDataFrame([(1, None, "x", "", ""), (2, "you idiot " * 5, "x", "", ""), (2, "you idiot " * 5, "x", "", ""), (None, "nice day", "x", "", "")], CASES)
     labels = spark.createDataFrame([(2, 1), (2, None), (None, 1)], "doc_id long, toxic int")
