@@ -32,8 +32,8 @@ from pyspark.sql.window import Window
 from quillstack.staging import Stage
 
 #: Links kept by thinning, beams of building and searching, relaxation.
-DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 128, 1.2
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
+DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 112, 1.2
+SHARD_ROWS, BLOCK_ROWS = 16384, 1024
 
 
 def usable(x: Column) -> Column:
@@ -235,7 +235,10 @@ def nearest(
                 rows = part.column(1).flatten().to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["ids", "rows"])
 
+    # Full blocks, however the input was partitioned: every block meets every graph once.
     asked = good.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "x"])
+    n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    asked = asked.repartition(n_blocks)
     blocks = asked.mapInArrow(block, "ids binary, rows binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,8 +250,7 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     # A pair of a block and a graph is a few MB: as many partitions as pairs keep a task's memory bounded.
-    n_pairs = shards * (-(-widths[0].n // query_every // BLOCK_ROWS) + 1)
-    pairs = blocks.join(graphs, "shard").select("ids", "rows", "graph").repartition(max(1, min(n_pairs, 100_000)))
+    pairs = blocks.join(graphs, "shard").select("ids", "rows", "graph").repartition(min(2 * shards * n_blocks, 100_000))
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
     # One shuffle by query serves both windows; the first leaves one row of an id that has several vectors.
     once = F.row_number().over(Window.partitionBy("query_id", "vec_id").orderBy(F.col("score").desc()))
