@@ -1,9 +1,15 @@
 """Pairs of documents whose word shingles have a high Jaccard similarity, checked exactly.
 
-Candidates share content-selected runs of eight words (a run begins where a five-word hash is the smallest of
-some twelve consecutive ones); documents of fewer than eighty words share any shingle.  Every run
-points to the smallest document that holds it, so a run of thousands of documents costs a row per document.
-A document and one that it is pointed to often enough are compared as whole texts.
+Candidates are complete.  Documents of equal shingle sets are linked to the smallest and stand as one.  All shingles have one
+fixed order, frequent ones last; two sets of similarity ``s`` share one of the first
+``n - ceil(s n) + 1`` shingles of either, and so many of these that a count per pair drops most others.
+
+1. Every such shingle points to the smallest document that holds it: a row per document.  What is similar
+   enough is linked, which joins a large group of copies without its pairs.
+2. Of every shingle that still joins documents of different components, all pairs across components are
+   counted; large groups are dealt in blocks.  Pairs that may be similar are compared as whole texts.
+
+The order is estimated from a part of the documents; it changes the work and never the result.
 """
 
 from __future__ import annotations
@@ -16,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.llm.batches import bounded
-from quillstack.llm.suffix_dedup import kept_positions, spread, word_hashes
+from quillstack.llm.graph import components
+from quillstack.llm.suffix_dedup import mixed, spread, word_hashes
 from quillstack.staging import Stage
 
-#: Words of a run, consecutive positions of which one begins a run, and the lengths below and from which each kind is used.
-RUN, EVERY, SHORT, LONG = 8, 12, 80, 52
-#: Share of a document's runs that must point to a document before both are compared.
-SHARED = 0.1
+#: Share of the documents that tell which shingles are frequent, from how many of them on, and the largest number of such shingles.
+SAMPLE, FREQUENT, MOST = 8, 4, 1 << 19
+#: Rows of a block of a large group.
+BLOCK = 256
+EPSILON = 1e-9
 
 
 def lowered_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,26 +48,73 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(spread(words, first, np.minimum(first + n, len(words))))
 
 
-def runs(docs: DataFrame, words: int) -> DataFrame:
-    """(run, doc_id, n): the different runs of every document and their number; a narrow job."""
+def _sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of all different shingles of a slice, ordered by both."""
+    words, at = lowered_words(batch.column("text"))
+    size = np.diff(at)
+    many = np.where(size > 0, np.maximum(1, size - n + 1), 0)
+    row = np.repeat(np.arange(len(size)), many)
+    first = at[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    value = spread(words, first, np.minimum(first + n, at[1:][row])) if len(row) else words[:0]
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (value[1:] != value[:-1])][: len(row)]
+    return row[new], value[new]
+
+
+def set_keys(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, k1, k2): 128 bits that name the shingle set of every document that has shingles; a narrow job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            row, value = _sets(batch, words)
+            first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            keys = [np.add.reduceat(mixed(value ^ np.uint64(salt)), first) if len(first) else value for salt in (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row[first]))] + [pa.array(k.view(np.int64)) for k in keys], names=["doc_id", "k1", "k2"])
+
+    return docs.mapInArrow(run, "doc_id long, k1 long, k2 long")
+
+
+def frequent(stage: Stage, docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, ordered by hash, and the class (2 to the power of) of their frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_sets(batch, words)[1].view(np.int64))], names=["shingle"])
+
+    part = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "shingle long")
+    found = stage.put("frequent", part.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= FREQUENT).select("shingle", F.floor(F.log2("n")).cast("int").alias("class")))
+    least, total = 99, 0
+    for x in sorted(found.groupBy("class").count().collect(), reverse=True):
+        total += x["count"]
+        if total > MOST:
+            break
+        least = x["class"]
+    table = found.filter(F.col("class") >= least).toArrow()
+    value, kind = table.column(0).to_numpy().view(np.uint64), table.column(1).to_numpy()
+    order = np.argsort(value)
+    return value[order], kind[order].astype(np.int8)
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(shingle, doc_id, n): the first shingles of every document and the size of its set; a narrow job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            w, at = lowered_words(batch.column("text"))
-            ids, size = batch.column("doc_id").to_numpy(), np.diff(at)
-            pos = kept_positions(w, at, RUN, EVERY)
-            row = np.searchsorted(at, pos, side="right") - 1
-            pos, row = pos[size[row] >= LONG], row[size[row] >= LONG]
-            keys, rows = [spread(w, pos, pos + RUN)], [row]
-            for i in np.flatnonzero(size < SHORT).tolist():
-                own = shingles(w[at[i] : at[i + 1]], words)
-                keys.append(own ^ np.uint64(0x5851F42D4C957F2D))
-                rows.append(np.full(len(own), i))
-            pair = np.unique(np.stack([np.concatenate(rows).astype(np.uint64), np.concatenate(keys)]), axis=1)
-            row = pair[0].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[1].view(np.int64)), pa.array(ids[row]), pa.array(np.bincount(row, minlength=len(ids))[row].astype(np.int32))], names=["run", "doc_id", "n"])
-
-    return docs.mapInArrow(run, "run long, doc_id long, n int")
+            row, value = _sets(batch, words)
+            kind = np.zeros(len(value), dtype=np.int8)
+            if len(hot[0]):
+                at = np.minimum(np.searchsorted(hot[0], value), len(hot[0]) - 1)
+                kind = np.where(hot[0][at] == value, hot[1][at], 0)
+            order = np.lexsort((value, kind, row))
+            row, value = row[order], value[order]
+            n = np.bincount(row, minlength=batch.num_rows)
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            keep = place < (n - np.ceil(similarity * n - EPSILON) + 1)[row]
+            row, value = row[keep], value[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n[row].astype(np.int32))], names=["shingle", "doc_id", "n"])
+
+    return docs.mapInArrow(run, "shingle long, doc_id long, n int")
 
 
 def jaccard(pairs: DataFrame, words: int) -> DataFrame:
@@ -79,15 +134,68 @@ def jaccard(pairs: DataFrame, words: int) -> DataFrame:
     return pairs.select("a", "b", "text", "other").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_pairs(stage: Stage, docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b), b the smaller id: links between documents of at least that similarity."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    made = stage.put("runs", runs(docs, words))
-    shared = stage.put("shared", made.groupBy("run").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b <> last").select("run", "b"))
-    met = made.join(shared, "run").filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
-    pairs = stage.put("pairs", met.filter(F.col("same") >= F.col("n") * SHARED).select("a", "b"))
-    stage.drop("runs", "shared")
+def across(rows: DataFrame) -> DataFrame:
+    """(a, b, na, nb), a row per shingle that two documents of different components share, from (shingle, doc_id, n, component).
+
+    A shingle's main component is that of its smallest document: documents of others meet all documents.
+    """
+    groups = rows.groupBy("shingle").agg(F.min_by("component", "doc_id").alias("main"), F.count(F.lit(1)).alias("all"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed_rows = rows.join(groups.filter("low <> high").drop("low", "high"), "shingle")
+    others = mixed_rows.filter("component <> main").groupBy("shingle").agg(F.count(F.lit(1)).alias("others"))
+    dealt = mixed_rows.join(others, "shingle")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda c: F.pmod(F.hash("doc_id"), blocks(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    left = dealt.filter("component <> main").select("shingle", own("others").alias("x"), every("all").alias("y"), F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
+    right = dealt.select("shingle", every("others").alias("x"), own("all").alias("y"), F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"), (F.col("component") == F.col("main")).alias("at_main"))
+    met = left.join(right, ["shingle", "x", "y"]).filter("cp <> cq AND (at_main OR p > q)")
+    turned = F.col("p") > F.col("q")
+    return met.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"), F.when(turned, F.col("np")).otherwise(F.col("nq")).alias("na"), F.when(turned, F.col("nq")).otherwise(F.col("np")).alias("nb"))
+
+
+def possible(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those pairs whose number of common first shingles allows the similarity.
+
+    Common shingles that are not first ones of both stand behind the first ones of one of them.
+    """
+    rest = F.greatest(*(F.ceil(F.lit(similarity) * F.col(c) - EPSILON) for c in ("na", "nb"))) - 1
+    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - EPSILON)
+    fits = met.filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - EPSILON)
+    return fits.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") + rest >= needed).select("a", "b").distinct()
+
+
+def compared(stage: Stage, pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of those pairs whose texts have the similarity."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stage.put("texts", docs.join(needed, "doc_id"))
     both = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    return jaccard(both, words).filter(F.col("similarity") >= similarity).select("a", "b")
+    links = stage.put("links", jaccard(both, words).filter(F.col("similarity") >= similarity).select("a", "b").distinct())
+    stage.drop("texts")
+    return links
+
+
+def similar_pairs(stage: Stage, docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), b the smaller id: links of at least that similarity that join all documents which such links can join."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    keys = stage.put("keys", set_keys(docs, words))
+    least = keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("b"))
+    named = stage.put("named", keys.join(least, ["k1", "k2"]).select(F.col("doc_id").alias("a"), "b"))
+    equal = named.filter("a <> b").distinct()
+    # An id of several texts stands for itself unless all of them are copies.
+    copies = stage.put("copies", named.groupBy(F.col("a").alias("doc_id")).agg(F.bool_and(F.col("a") != F.col("b")).alias("copy")).filter("copy").select("doc_id"))
+    single = docs.join(copies, "doc_id", "left_anti")
+    made = stage.put("prefixes", prefixes(single, words, similarity, frequent(stage, single, words)))
+    stage.drop("keys", "frequent")
+    shared = made.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b <> last").select("shingle", "b")
+    rows = stage.put("rows", made.join(shared, "shingle"))
+    stage.drop("prefixes")
+    star = rows.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
+    # Here a share is enough to try: what is left out is met below.
+    tried = stage.put("tried", star.filter(F.col("same") >= F.col("n") * (2 * similarity / (1 + similarity) - similarity)).select("a", "b"))
+    first = compared(stage, tried, single, words, similarity)
+    joined = components(stage, first).select(F.col("node").alias("doc_id"), "component")
+    labelled = stage.put("labelled", rows.join(joined, "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    stage.drop("rows")
+    left = stage.put("left", possible(across(labelled), similarity).join(tried, ["a", "b"], "left_anti"))
+    stage.drop("labelled")
+    return equal.unionByName(first).unionByName(compared(stage, left, single, words, similarity))

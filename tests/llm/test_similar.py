@@ -59,6 +59,39 @@ def test_links_are_exact_and_copies_are_found(spark):
     assert kept - {None, 9000, 9001} == set(full.values()) and {None, 9000} <= kept and 9001 not in kept
 
 
+def test_candidates_are_complete(spark):
+    """Containers, truncated copies and passages of many documents: the groups of all pairs, against brute force."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts, passage = [], [word() for _ in range(60)]
+    for size in (78, 300, 900):
+        base = [word() for _ in range(size)]
+        half = base[: size // 2 + 1]
+        texts += [base, half, [*half[:-1], word()], base[: size * 9 // 10], base[: size * 3 // 4]]
+    for _ in range(300):
+        texts.append(passage + [word() for _ in range(r.randint(14, 40))])
+    for k in range(40):  # all near 0.8 of one another, on both sides
+        w = passage * 1 + [word() for _ in range(4 + k % 6)]
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    rows += [(len(rows), rows[1][1]), (3, rows[320][1])]  # a copy, and an id of two texts
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.a, x.b) for x in similar.similar_pairs(Stage(spark, "t"), df).collect()}
+    own = [(d, sets(t)) for d, t in rows]
+    real = {(max(a, b), min(a, b)) for a, x in own for b, y in own if a != b and len(x & y) >= 0.8 * len(x | y)}
+
+    def groups(pairs):
+        label = {d: d for d, _ in rows}
+        for _ in label:
+            before = dict(label)
+            for a, b in pairs:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == before:
+                return label
+
+    assert got <= real and (2, 1) in got and groups(got) == groups(real)
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similar.similar_pairs(Stage(spark, "t"), empty).collect() == [] and simhash.keep_one(spark, empty).collect() == []
