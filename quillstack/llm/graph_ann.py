@@ -1,8 +1,9 @@
 """Nearest neighbours by inner product on robust-pruned directed graphs, one per shard.
 
-Vectors are dealt by a hash of their id to shards of about ``shard_rows``; so no shard is hot.
+Vectors are dealt by their length, in bands of a factor of eight, and by a hash of their id to shards of about ``shard_rows``;
+so no shard is hot, and a few long vectors do not make all others look alike.
 Inner-product order becomes angular order by one more component, the root of what a vector's squared length lacks
-to the largest one.  In each shard equal vectors are one node (which keeps the ids that could ever be
+to the largest one of its shard.  In each shard equal vectors are one node (which keeps the ids that could ever be
 reported), and nodes are linked as follows: a node's neighbours are proposed by a greedy
 search for it through the graph of the nodes before it, thinned so that a candidate stays only if no
 kept neighbour is closer to it by a relaxed factor, and linked back; over-full nodes are thinned again.
@@ -34,6 +35,8 @@ from quillstack.staging import Stage
 #: Links kept by thinning, beams of building and searching, relaxation.
 DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 112, 1.2
 SHARD_ROWS, BLOCK_ROWS = 16384, 1024
+#: Length of the longest vector of a band over that of the shortest, as a power of two.
+BAND = 3
 
 
 def usable(x: Column) -> Column:
@@ -41,6 +44,14 @@ def usable(x: Column) -> Column:
     return F.coalesce((F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def log_length(x: Column) -> Column:
+    """Logarithm to the base of two of a vector's length, for any finite components."""
+    square = lambda y: F.aggregate(y, F.lit(0.0), lambda s, v: s + v * v)
+    largest = F.array_max(F.transform(x, F.abs))
+    plain = square(x)
+    return F.when(plain.between(1e-280, 1e300), F.log2(plain) / 2).otherwise(F.log2(largest) + F.log2(square(F.zip_with(x, F.array_repeat(largest, F.size(x)), lambda v, m: v / m))) / 2)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """One minus inner product of unit rows, for the last two axes."""
     return 1 - np.einsum("...d,...d->...", a, b)
@@ -143,7 +154,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
 HEAD = struct.Struct("<IIII")
 
 
-def pack_shard(ids: np.ndarray, vectors: np.ndarray, longest: float, spare: int) -> bytes:
+def pack_shard(ids: np.ndarray, vectors: np.ndarray, spare: int) -> bytes:
     """A shard as bytes: distinct vectors, links, and for each vector its ``spare`` smallest ids."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors = ids[order], vectors[order]
@@ -158,7 +169,7 @@ def pack_shard(ids: np.ndarray, vectors: np.ndarray, longest: float, spare: int)
     place[mixed] = np.arange(len(mixed))
     distinct, owner = distinct[mixed], place[owner]
     order = np.lexsort((member, owner))
-    links = build(lifted(distinct, longest))
+    links = build(lifted(distinct))
     return HEAD.pack(len(distinct), distinct.shape[1], links.shape[1], len(member)) + distinct.astype("<f8").tobytes() + links.astype("<i4").tobytes() + owner[order].astype("<i8").tobytes() + member[order].astype("<i8").tobytes()
 
 
@@ -172,18 +183,20 @@ def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return vectors, links, np.frombuffer(data, "<i8", members, at), np.frombuffer(data, "<i8", members, at + 8 * members)
 
 
-def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
+def lifted(vectors: np.ndarray) -> np.ndarray:
     """Unit rows whose inner products with (query, 0) are in the order of the vectors' own."""
-    scaled = vectors / longest
+    scaled = vectors / np.abs(vectors).max()
+    scaled = scaled / np.sqrt((scaled * scaled).sum(axis=1).max())
     rest = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
     return np.c_[scaled, rest].astype(np.float32)
 
 
-def search_shard(ids: np.ndarray, queries: np.ndarray, shard: tuple, longest: float, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def search_shard(ids: np.ndarray, queries: np.ndarray, shard: tuple, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score): up to ``k`` nearest candidates of the shard for each query."""
     vectors, links, owner, member = shard
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    x = lifted(vectors, longest)
+    unit = queries / np.abs(queries).max(axis=1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+    x = lifted(vectors)
     begin = np.searchsorted(owner, np.arange(len(vectors) + 1))
     out = []
     for a in range(0, len(ids), 256):
@@ -213,20 +226,26 @@ def nearest(
     stage = Stage(spark, "ann")
     x = F.col(vector_col).cast("array<double>")
     good = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter("vec_id IS NOT NULL").filter(usable(F.col("x")))
-    widths = good.groupBy(F.size("x").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)).alias("square")).orderBy(F.desc("n"), "width").limit(1).collect()
+    widths = good.groupBy(F.size("x").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.max(log_length(F.col("x"))).alias("longest")).orderBy(F.desc("n"), "width").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not widths:
         return spark.createDataFrame([], schema)
-    width, longest = widths[0].width, float(np.sqrt(widths[0].square))
+    width, longest = widths[0].width, widths[0].longest
     good = good.filter(F.size("x") == width)
-    shards = -(-widths[0].n // shard_rows)
+    band = F.floor((F.lit(longest) - log_length(F.col("x"))) / BAND).cast("int")
+    bands, shards = [], 0
+    for row in good.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect():
+        own = -(-row.n // shard_rows)
+        bands.append((row.band, shards, own))
+        shards += own
+    places = F.broadcast(spark.createDataFrame(bands, "band int, first int, own int"))
 
     def make(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         rows = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), width)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "graph": pa.array([pack_shard(ids, rows, longest, k + 1)], pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "graph": pa.array([pack_shard(ids, rows, k + 1)], pa.binary())})
 
-    graphs = stage.put("graphs", good.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(make, "shard int, graph binary"))
+    graphs = stage.put("graphs", good.withColumn("band", band).join(places, "band").select("vec_id", "x", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("own"))).cast("int").alias("shard")).groupBy("shard").applyInArrow(make, "shard int, graph binary"))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +265,7 @@ def nearest(
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column(0)[i].as_py(), "<i8")
                 rows = np.frombuffer(batch.column(1)[i].as_py(), "<f8").reshape(-1, width)
-                found = search_shard(ids, rows, unpack_shard(batch.column(2)[i].as_py()), longest, k, beam)
+                found = search_shard(ids, rows, unpack_shard(batch.column(2)[i].as_py()), k, beam)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     # A pair of a block and a graph is a few MB: as many partitions as pairs keep a task's memory bounded.

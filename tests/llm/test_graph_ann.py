@@ -43,6 +43,22 @@ def test_lengths_matter_and_ties_go_to_smaller_ids(spark):
     assert got == want
 
 
+def test_a_few_long_vectors_hide_no_others(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i, size in ((3, 1e3), (41, 1e4), (77, 1e6), (801, 1e160), (903, 1e-170)):
+        x[i] *= size
+    ids = np.arange(2000)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in G.nearest(spark, table).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append((row.vec_id, row.score))
+    want = brute(ids, x, 20, 20)
+    assert got.keys() == want.keys()
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
 def test_cases(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (None, [1.0, 1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [1.0, 2.0, 3.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
