@@ -106,6 +106,11 @@ def normalize_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).filter(~F.col("text").contains("&")).select("doc_id", T.normalize_space(F.col("text")).alias("out"))
 
 
+@query("normalize_space_all_rows")
+def normalize_space_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("doc_id", T.normalize_space(F.col("text")).alias("out"))
+
+
 @query("slugify", "SELECT doc_id, CASE WHEN s = '' THEN 'thread' ELSE s END AS out FROM (SELECT doc_id, substr(trim(regexp_replace(lower(text), '[^a-zA-Z0-9]+', '-', 'g'), '-'), 1, 80) AS s FROM documents)")
 def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", T.slugify(F.col("text")).alias("out"))
@@ -233,6 +238,18 @@ def parse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select(F.split("id", ":")[0].cast("long").alias("conv_id"), "value")
 
 
+@query(
+    "parse_ranges_all_rows",
+    "SELECT conv_id, unnest(list_distinct(list_concat(list_concat(range(turn + 1, turn + 4), CASE WHEN turn = 0 THEN [] ELSE [turn] END), [9]))) AS value FROM conversations",
+)
+def parse_ranges_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn").cast("string")
+    c = read_table(spark, sf_dir, "conversations")
+    spec = F.concat(F.lit("#"), (F.col("turn") + 3).cast("string"), F.lit("-"), (F.col("turn") + 1).cast("string"), F.lit(", "), t, F.lit(" 9,1-2-3 x #9"))
+    each = select.expand_ranges(c.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), spec.alias("spec")), "id", "spec", hashes=True)
+    return each.select(F.split("id", ":")[0].cast("long").alias("conv_id"), "value")
+
+
 @query(
     "parse_user_list",
     """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY p) AS INTEGER) AS position, role AS "user" FROM (SELECT conv_id, role, min(turn) AS p FROM conversations GROUP BY ALL)""",
