@@ -16,7 +16,9 @@ the same place in every copy.
    document is a repeated passage, so the ends are exact to the word.
 
 Chains of ``min_words`` words or more and matched windows cover exactly the words of passages of at
-least ``min_words`` words that occur in another document too (up to collisions of 64-bit hashes).
+least ``min_words`` words that occur in another document too.  Words and windows are compared by hashes of 64 bits: a random
+pair of different ones is taken for equal once in about 2**64 cases.  Sums of powers take words of up to ``FOLD`` bytes and windows of
+few words only, since long periodic strings can be built to meet in such sums; longer words are hashed by XXH64.
 
 Words are runs of characters other than ASCII white space, compared as they are.  Defined
 cases: null, empty and short texts hold no passage.  Rows without an id are not
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +43,8 @@ from quillstack.staging import Stage
 
 GRAM = 5
 CHUNK = 1 << 18
+#: Bytes of a word beyond which it is hashed by XXH64.
+FOLD = 32
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 CODE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -85,7 +90,10 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             end += 1
         data = np.frombuffer(text[begin:end], dtype=np.uint8)
         first, last = word_bounds(data)
-        hashes.append(spread(CODE[data], first, last))
+        value = spread(CODE[data], first, last)
+        for i in np.flatnonzero(last - first > FOLD).tolist():
+            value[i] = xxhash.xxh64_intdigest(data[first[i] : last[i]].tobytes(), 7)
+        hashes.append(value)
         starts.append(first + begin)
         begin = end
     empty = np.zeros(0, dtype=np.int64)

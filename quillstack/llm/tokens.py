@@ -2,8 +2,9 @@
 
 A tokenizer of this kind cuts a text into pieces and maps each piece to ids on its own.  The
 pieces of a batch are found with numpy over its code points, and a table in the worker holds
-the ids of the pieces met so far; only new pieces go to the ``tokenizers`` library.  Texts
-for which the cutting rule here might differ from the library's (characters past Latin
+the ids of the pieces met so far; only new pieces go to the ``tokenizers`` library.  A hash finds a
+piece's entry, and its letters are compared with the entry's: a different piece of the same hash
+goes to the library.  Texts for which the cutting rule here might differ from the library's (characters past Latin
 Extended-B, strings of special tokens, characters whose lower case is longer, very long
 texts) go to the library whole.
 """
@@ -14,6 +15,7 @@ import json
 import os
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,23 @@ LATIN = 0x250
 HELD = 1 << 19
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of ranges one after another, and how many there are up to the end of each."""
+    upto = np.cumsum(size)
+    return np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0), upto
+
+
+def _strings(letters: np.ndarray, upto: np.ndarray) -> list[str]:
+    """Pieces that stand one after another and end at ``upto``."""
+    text, ends = letters.astype("<u4").tobytes().decode("utf-32-le"), upto.tolist()
+    return [text[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def _with_room(table: np.ndarray, used: int, more: int) -> np.ndarray:
+    """The table, or a longer copy of its used part."""
+    return table if used + more <= len(table) else np.r_[table[:used], np.zeros(max(len(table), more), dtype=table.dtype)]
+
+
 class PieceTokenizer:
     """``encode(texts)`` gives all ids and the number of ids of each text."""
 
@@ -54,6 +73,8 @@ class PieceTokenizer:
         self.first = np.zeros(HELD + 1, dtype=np.int64)
         self.count = np.zeros(HELD, dtype=np.int32)
         self.pool = np.zeros(1 << 20, dtype=np.uint32)
+        self.begin = np.zeros(HELD + 1, dtype=np.int64)
+        self.letters = np.zeros(1 << 20, dtype=np.uint16)
         self.n = 0
 
     def _powers(self, n: int) -> None:
@@ -147,15 +168,34 @@ class PieceTokenizer:
         entry = self._find(key)
         while len(missing := np.flatnonzero(entry < 0)):
             fresh, where = np.unique(key[missing], return_index=True)
-            self._add(fresh, [points[at[i] : end[i]].tobytes().decode("utf-32-le") for i in missing[where].tolist()])
+            where = missing[where]
+            self._add(fresh, points, at[where], end[where])
             entry = self._find(key)  # all of them: the table may have begun anew
-        count = self.count[entry]
+        first, count, pool = self.first[entry], self.count[entry], self.pool
+        other = np.flatnonzero(~self._equal(entry, points, at, end))
+        if len(other):
+            own, letters_upto = _ranges(at[other], (end - at)[other])
+            sizes, ids = self._library(_strings(points[own], letters_upto))
+            used = int(self.first[self.n])
+            first[other], count[other], pool = used + np.cumsum(sizes) - sizes, sizes, np.r_[pool[:used], ids]
         total = np.cumsum(count, dtype=np.int64)
-        ids = self.pool[np.repeat(self.first[entry] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        ids = pool[np.repeat(first - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
         upto = np.r_[0, total]
         inside = np.searchsorted(at, np.r_[text_start, len(points)])
         return ids, np.diff(upto[inside])
 
+    def _equal(self, entry: np.ndarray, points: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each entry was made of these very letters."""
+        size = end - at
+        same = size == self.begin[entry + 1] - self.begin[entry]
+        which = np.flatnonzero(same)
+        at, size = at[which], size[which]
+        own, upto = _ranges(at, size)
+        held = own + np.repeat(self.begin[entry[which]] - at, size)
+        wrong = np.flatnonzero(points[own] != self.letters[held])
+        same[which[np.searchsorted(upto, wrong, side="right")]] = False
+        return same
+
     def _find(self, key: np.ndarray) -> np.ndarray:
         """Entry of each key, or -1."""
         found = np.full(len(key), -1, dtype=np.int64)
@@ -169,21 +209,27 @@ class PieceTokenizer:
             todo, slot = todo[more], (slot[more] + 1) & mask
         return found
 
-    def _add(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _library(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids."""
+        ids = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return sizes, np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=int(sizes.sum()))
+
+    def _add(self, keys: np.ndarray, points: np.ndarray, at: np.ndarray, end: np.ndarray) -> None:
         if self.n + len(keys) > HELD:
             self.clear()
         if len(keys) > HELD:
             raise ValueError("a batch has more different pieces than the table holds")
-        ids = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.array([y for x in ids for y in x], dtype=np.uint32)
-        used = int(self.first[self.n])
-        if used + len(flat) > len(self.pool):
-            self.pool = np.r_[self.pool[:used], np.zeros(max(len(self.pool), len(flat)), dtype=np.uint32)]
+        own, letters_upto = _ranges(at, end - at)
+        letters = points[own].astype(np.uint16)
+        counts, flat = self._library(_strings(letters, letters_upto))
+        a, b, used, lettered = self.n, self.n + len(keys), int(self.first[self.n]), int(self.begin[self.n])
+        self.pool, self.letters = _with_room(self.pool, used, len(flat)), _with_room(self.letters, lettered, len(letters))
         self.pool[used : used + len(flat)] = flat
-        a, b = self.n, self.n + len(keys)
+        self.letters[lettered : lettered + len(letters)] = letters
         self.keys[a:b], self.count[a:b] = keys, counts
         self.first[a : b + 1] = used + np.r_[0, np.cumsum(counts)]
+        self.begin[a : b + 1] = lettered + np.r_[0, letters_upto]
         mask = len(self.slots) - 1
         todo, slot = np.arange(a, b), (keys >> np.uint64(13)).astype(np.int64) & mask
         while len(todo):

@@ -80,6 +80,13 @@ def test_every_window_keeps_a_suffix():
     assert len(S.word_hashes(long)[0]) == 300000 and len(set(S.word_hashes(long)[0].tolist())) == 1
 
 
+def test_long_periodic_words_differ():
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes, _ = S.word_hashes(f"{word} {other} {word} short".encode())
+    assert hashes[0] == hashes[2] and len(set(hashes.tolist())) == 3
+
+
 def test_removal_keeps_first_occurrences(spark):
     base = " ".join(f"a{i}" for i in range(60))
     rows = [(1, f"{base} own1", 0, "k"), (2, f"é own2  {base}\nend", 7, "k"), (3, base, 5, "k"), (None, base, 1, "k"), (4, None, 0, "k"), (5, "clean text", 10, "k")]

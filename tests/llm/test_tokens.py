@@ -29,6 +29,33 @@ def test_ids_equal_the_librarys(file, spark):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [made.library.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def periodic(n, letters="ab"):
+    """A Thue-Morse word and its complement: sums of powers modulo 2**64 cannot tell them apart."""
+    word = "".join(letters[i.bit_count() & 1] for i in range(n))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+@pytest.mark.parametrize("file", FILES)
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_of_equal_hash_keep_their_own_ids(file, n):
+    made = tokens.PieceTokenizer(public_tokenizers.path(file))
+    a, b = periodic(n)
+    for texts in ([a, b], [b, a, f"x {a} {b} y"], [a]):
+        ids, sizes = made.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [made.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_entries_are_compared_by_letters(monkeypatch):
+    """With a hash of few values nearly all pieces collide, of equal and of other lengths."""
+    made = tokens.PieceTokenizer(public_tokenizers.path(FILES[0]))
+    find, add = made._find, made._add
+    monkeypatch.setattr(made, "_find", lambda key: find(key & np.uint64(3 << 13)))
+    monkeypatch.setattr(made, "_add", lambda key, points, at, end: [add(*x) for k in np.unique(key & np.uint64(3 << 13)) for i in [np.flatnonzero(key & np.uint64(3 << 13) == k)[:1]] for x in [(k[None], points, at[i], end[i])]])
+    texts = ["the cat sat on the mat", "on the cat", "", "a matter of cats and rats"]
+    ids, sizes = made.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [made.library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_table_that_begins_anew(monkeypatch):
     monkeypatch.setattr(tokens, "HELD", 64)
     made = tokens.PieceTokenizer(public_tokenizers.path(FILES[0]))
