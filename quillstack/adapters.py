@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from quillstack.operators.ordering import numbered
 from quillstack.staging import read_table
 
 
@@ -27,10 +27,9 @@ def conversation_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as dated posts of many authors; a thread per event type, twenty posts a page."""
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
+    events = read_table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", "ts")
     return (
-        read_table(spark, sf_dir, "events")
-        .select("event_type", "user_id", "event_id", "ts", number.alias("n"))
+        numbered(events, ["event_type"], [F.col("ts"), F.col("event_id")], "n")
         .select(
             F.col("event_type").alias("thread_id"),
             F.col("event_id").cast("string").alias("post_id"),

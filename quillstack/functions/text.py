@@ -65,6 +65,12 @@ def normalize_space(c: Column) -> Column:
     return squeeze(repair_mojibake(c))
 
 
+def is_blank(c: Column) -> Column:
+    """Whether nothing is left after repairing; a text with a letter or digit outside entities is not sent to the helper."""
+    plain = F.regexp_replace(filled(c), r"&[#A-Za-z0-9]*;?|\x{C2}", "").rlike(r"[\p{L}\p{N}]")
+    return normalize_space(F.when(plain, "x").otherwise(c)) == ""
+
+
 def slugify(c: Column, max_len: int = 80) -> Column:
     slug = F.regexp_replace(F.regexp_replace(F.lower(squeeze(c)), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", "")
     cut = F.substring(slug, 1, max_len)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.text import filled, squeeze
+from quillstack.functions.text import filled, normalize_space
 
 
 def merge_key() -> list[Column]:
@@ -14,7 +14,7 @@ def merge_key() -> list[Column]:
 
 
 def repair_key() -> Column:
-    return F.struct(filled(F.col("post_number")).alias("number"), squeeze(F.col("author")).alias("author"), squeeze(F.col("timestamp")).alias("timestamp"))
+    return F.struct(filled(F.col("post_number")).alias("number"), normalize_space(F.col("author")).alias("author"), normalize_space(F.col("timestamp")).alias("timestamp"))
 
 
 def snapshot_key() -> Column:

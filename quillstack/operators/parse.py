@@ -1,8 +1,12 @@
-"""Forum pages to posts: one narrow job that emits a row per page with its posts nested."""
+"""Forum pages to posts: one narrow job that emits a row per page with its posts nested.
+
+A page never fails: without HTML it has no posts, a malformed link or page url is no url, and depth costs no recursion.
+"""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import parse_qs, urljoin, urlparse
 
@@ -29,7 +33,31 @@ PERMALINK, NUMBER = re.compile(r"/thread/post/(\d+)"), re.compile(r"#\s*([\d,]+)
 IMAGE = re.compile(r"\.(?:jpg|jpeg|png|gif|webp|bmp|svg)(?:\?|$)", re.I)
 DEFAULT_TITLE = "Forum thread"
 DOUBLE_BREAK, SINGLE_BREAK = frozenset(("p", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")), frozenset(("div", "li", "tr", "table", "ul", "ol", "hr"))
-NEVER = float("-inf")
+#: How well an element fits as a post, and as the first post of a thread.  A feature counts (worth of one, most) from a least value on.
+POST_WEIGHTS = {
+    "characters": (1 / 120, 4.0, 30),
+    "content characters": (1 / 200, 4.0, 20),
+    "date element": (4.0, 4.0, 1),
+    "date in text": (3.0, 3.0, 1),
+    "says joined": (1.0, 1.0, 1),
+    "says quote": (0.5, 0.5, 1),
+    "says attached image": (0.5, 0.5, 1),
+    "block element": (0.5, 0.5, 1),
+    "anchor itself": (-4.0, 0.0, 1),
+}
+OPENER_WEIGHTS = {
+    "characters": (1 / 180, 5.0, 80),
+    "content characters": (1 / 250, 4.0, 80),
+    "author": (2.0, 2.0, 1),
+    "date": (4.0, 4.0, 1),
+    "date in text": (3.0, 3.0, 1),
+    "says joined": (1.0, 1.0, 1),
+    "block element": (0.5, 0.5, 1),
+}
+POST_LEAST, OPENER_LEAST = 1.0, 5.0
+POST_TAGS, OPENER_TAGS = frozenset(("div", "article", "li", "section")), frozenset(("div", "article", "section", "li", "td"))
+NO_OPENER_TAGS = frozenset(("script", "style", "noscript", "svg", "path"))
+OUTER = frozenset(("body", "html", "document"))
 
 LINK = "struct<href:string,url:string,page:int,text:string>"
 BLOCK = (
@@ -39,6 +67,26 @@ BLOCK = (
 PARSED = f"thread_id string, page int, page_url string, title string, links array<{LINK}>, expected array<string>, blocks array<{BLOCK}>"
 
 
+def absolute(page_url: str, href: str) -> str:
+    """Absolute url of a link; a malformed one is empty."""
+    try:
+        return urljoin(page_url, href)
+    except ValueError:
+        return ""
+
+
+def host_of(url: str) -> str:
+    try:
+        return urlparse(url).netloc
+    except ValueError:
+        return ""
+
+
+def score(features: dict[str, float], weights: dict[str, tuple[float, float, float]]) -> float:
+    """Sum of what the features are worth."""
+    return sum(min(features.get(name, 0) * one, most) for name, (one, most, least) in weights.items() if features.get(name, 0) >= least)
+
+
 def is_permalink(a: Node) -> bool:
     return bool(PERMALINK.search(a.attrs["href"]))
 
@@ -52,70 +100,85 @@ def label_of(a: Node) -> str:
     return found[1].replace(",", "") if found else ""
 
 
+class Marks:
+    """Post links of a page in document order: how many stand inside an element is a difference of two places."""
+
+    def __init__(self, page: Node):
+        self.permalinks = [a for a in page.anchors if is_permalink(a)]
+        self.numbers = [a for a in self.permalinks if is_number(a)]
+        self._at = {kind: [a.first for a in own] for kind, own in (("permalinks", self.permalinks), ("numbers", self.numbers))}
+
+    def count(self, kind: str, node: Node) -> int:
+        return bisect_left(self._at[kind], node.last) - bisect_left(self._at[kind], node.first + 1)
+
+
 def first_text(node: Node, selectors: tuple[str, ...]) -> str:
     """Text of the first element of the first selector that has some."""
     for s in selectors:
-        found = next((n for n in node.nodes() if n.matches(s)), None)
-        if found is not None and found.text:
-            return found.text
+        a, b = node.span(s)
+        if a < b and (text := node.index.find(s)[1][a].text):
+            return text
     return ""
 
 
 def title_of(page: Node) -> str:
     for tag in ("h1", "title"):
-        found = next(iter(page.all(tag)), None)
+        found = next(iter(page.select(tag)), None)
         if found is not None and (found.text or tag == "title"):
             return found.text
     return DEFAULT_TITLE
 
 
-def expected_numbers(page: Node) -> list[str]:
-    return list(dict.fromkeys(label_of(a) for a in page.anchors if is_number(a)))
+def expected_numbers(marks: Marks) -> list[str]:
+    return list(dict.fromkeys(map(label_of, marks.numbers)))
 
 
 def content_of(block: Node) -> Node:
-    """The longest content element of twenty characters or more, else the block."""
-    found = [n for s in CONTENTS for n in block.select(s) if "quote" not in n.classes.lower() and len(n.text) >= 20]
-    return max(found, key=lambda n: len(n.text), default=block)
-
-
-def block_score(node: Node, anchor: Node) -> float:
-    """How well an element fits as the post around a number anchor."""
-    text = node.text
-    if "quote" in node.classes.lower() or node.tag == "blockquote" or len(text) < 30:
-        return NEVER
-    if sum(map(is_number, node.anchors)) != 1 or sum(map(is_permalink, node.anchors)) > 6:
-        return NEVER
-    low, length = text.lower(), len(content_of(node).text)
-    dated = 4.0 if first_text(node, DATES) else 3.0 if L.timestamp_of(text) else 0.0
-    return (
-        min(len(text) / 120, 4.0)
-        + dated
-        + 1.0 * ("joined" in low)
-        + 0.5 * ("quote" in text)
-        + 0.5 * ("attached image" in low)
-        + (min(length / 200, 4.0) if length >= 20 else 0.0)
-        + 0.5 * (node.tag in ("div", "article", "li", "section"))
-        - 4.0 * (node is anchor)
-    )
-
-
-def container_of(anchor: Node) -> Node | None:
-    """The best ancestor; the walk ends at the body or after an element with very much text."""
-    best, top = None, 1.0
-    for node in (anchor, *anchor.ancestors()):
-        if node.tag in ("body", "html", "document"):
-            break
-        score = block_score(node, anchor)
-        if score > top:
-            best, top = node, score
-        if len(node.text) > 4000:
+    """The longest content element of twenty characters or more, else the block.
+
+    An element inside a content element is never longer, so only outermost ones are looked at.
+    """
+    best, most = block, 19
+    for s in CONTENTS:
+        (at, last), found = block.span(s), block.index.find(s)
+        while at < last:
+            node = found[1][at]
+            if "quote" in node.classes.lower():
+                at += 1
+                continue
+            if len(node.text) > most:
+                best, most = node, len(node.text)
+            at = bisect_left(found[0], node.last)
+    return best
+
+
+def said(text: str) -> dict[str, float]:
+    low = text.lower()
+    return {"characters": len(text), "says joined": "joined" in low, "says quote": "quote" in text, "says attached image": "attached image" in low}
+
+
+def container_of(anchor: Node, marks: Marks) -> Node | None:
+    """The best ancestor that holds one number anchor; the walk ends at the body or after an element with very much text."""
+    best, top, node, known = None, POST_LEAST, anchor, {}
+    while node is not None and node.tag not in OUTER:
+        text, own = node.text, node.classes.lower()
+        if len(text) >= 30 and "quote" not in own and node.tag != "blockquote" and marks.count("numbers", node) == 1 and marks.count("permalinks", node) <= 6:
+            key = (node.said_first, node.said_last, *(node.span(s) for s in DATES + CONTENTS))
+            if key not in known:
+                content = content_of(node)
+                dated = bool(first_text(node, DATES))
+                known[key] = {**said(text), "content characters": len(content.text), "date element": dated, "date in text": not dated and bool(L.timestamp_of(text))}
+            value = score(known[key] | {"block element": node.tag in POST_TAGS, "anchor itself": node is anchor}, POST_WEIGHTS)
+            if value > top:
+                best, top = node, value
+        if len(text) > 4000:
             break
+        node = node.up
     return best
 
 
 def primary_anchor(block: Node) -> Node | None:
-    return next((a for a in block.anchors if is_number(a)), None) or next((a for a in block.anchors if is_permalink(a)), None)
+    return next(filter(is_number, block.anchors), None) or next(filter(is_permalink, block.anchors), None)
 
 
 def identity_of(block: Node, page_url: str) -> tuple[str, str, str]:
@@ -123,27 +186,64 @@ def identity_of(block: Node, page_url: str) -> tuple[str, str, str]:
     a = primary_anchor(block)
     if a is None:
         return "", "", page_url
-    url = urljoin(page_url, a.attrs["href"])
+    url = absolute(page_url, a.attrs["href"])
     found = PERMALINK.search(url)
     return found[1] if found else "", label_of(a), url
 
 
+class Link:
+    """A link as the rules of authors, files and images see it."""
+
+    #: What a url's parts say about its target.
+    PARTS = {"post": "/thread/post/", "attached": "/attachment/", "picture": "/attachment/image/", "download": "download"}
+
+    def __init__(self, a: Node, page_url: str):
+        self.node, self.href, self.text = a, a.attrs["href"], a.text
+        self.low, self.url = self.text.lower(), image_url(page_url, a.attrs["href"])
+        self.target = {name for name, part in self.PARTS.items() if part in (self.url.lower() if name == "download" else self.url)}
+
+    @property
+    def is_file(self) -> bool:
+        return "attached" in self.target and "picture" not in self.target
+
+    @property
+    def is_attachment(self) -> bool:
+        if not self.url or "post" in self.target or self.low in ("reply", "quote", "subscribe"):
+            return False
+        return self.is_file or (bool(self.target & {"attached", "download"}) and self.low not in NO_LABELS)
+
+    @property
+    def shows_image(self) -> bool:
+        return not self.is_file and ("picture" in self.target or bool(IMAGE.search(self.url)) or "click to enlarge" in self.low)
+
+    @property
+    def label(self) -> str:
+        """Text of a file link, else the file's name."""
+        if self.text.startswith("! "):
+            return L.squeeze(self.text[2:]) or self._name
+        return self.text or self._name
+
+    @property
+    def _name(self) -> str:
+        return re.split(r"[?#]", self.url, maxsplit=1)[0].rstrip("/").rpartition("/")[2]
+
+    def names_author(self, host: str) -> bool:
+        inside = any(self.PARTS[x] in self.href for x in ("post", "attached")) or (self.href.startswith("http") and host not in self.href)
+        odd = self.low.startswith(("#", "quoting ")) or "posts" in self.low or self.text.isdigit() or self.low in NO_NAMES
+        return 0 < len(self.text) <= 40 and not inside and not odd
+
+
+def is_word_name(line: str) -> bool:
+    """A short string without blanks that may be an author's name."""
+    low = line.lower()
+    return 0 < len(line) <= 30 and " " not in line and low not in NO_NAMES and not low.startswith("quoting ") and not L.TIMESTAMP.search(line) and not L.is_stats(line)
+
+
 def author_of(block: Node, host: str) -> str:
     """By author elements, else by a short link, else by a short word."""
-    found = first_text(block, AUTHORS)
-    if found:
-        return found
-    for a in block.anchors:
-        text, href = a.text, a.attrs["href"]
-        low = text.lower()
-        outside = href.startswith("http") and host not in href
-        if text and low not in NO_NAMES and len(text) <= 40 and not (low.startswith(("#", "quoting ")) or "posts" in low or text.isdigit() or outside or "/thread/post/" in href or "/attachment/" in href):
-            return text
-    for line in map(L.squeeze, block.strings()):
-        low = line.lower()
-        if line and " " not in line and len(line) <= 30 and low not in NO_NAMES and not low.startswith("quoting ") and not L.TIMESTAMP.search(line) and not L.is_stats(line):
-            return line
-    return NO_AUTHOR
+    by_link = (a.text for a in block.anchors if Link(a, "").names_author(host))
+    by_word = filter(is_word_name, map(L.squeeze, block.strings()))
+    return first_text(block, AUTHORS) or next(by_link, "") or next(by_word, NO_AUTHOR)
 
 
 def timestamps_of(block: Node) -> Iterator[str]:
@@ -154,7 +254,7 @@ def timestamps_of(block: Node) -> Iterator[str]:
     a = primary_anchor(block)
     if a is not None and a.up is not None:
         yield L.timestamp_of(" ".join(a.up.strings()))
-    some = [L.squeeze(x) for _, x in zip(range(40), block.strings())]
+    some = [L.squeeze(x) for x in block.strings()[:40]]
     yield L.timestamp_of(" | ".join(some))
     yield from map(L.timestamp_of, some)
 
@@ -163,78 +263,68 @@ def timestamp_of(block: Node) -> str:
     return next(filter(None, timestamps_of(block)), NO_DATE)
 
 
-def opener_score(node: Node, title: str, host: str) -> float:
-    """How well an element without number anchor fits as the first post of a thread."""
-    text = node.text
-    if node.tag in ("script", "style", "noscript", "svg", "path") or any(x in node.classes.lower() for x in OPENER_NOT):
-        return NEVER
-    if not 80 <= len(text) <= 12000 or text == title or any(map(is_number, node.anchors)) or sum(map(is_permalink, node.anchors)) > 1:
-        return NEVER
-    length = len(content_of(node).text)
-    dated = 4.0 if timestamp_of(node) != NO_DATE else 0.0
-    return (
-        min(len(text) / 180, 5.0)
-        + 2.0 * (author_of(node, host) != NO_AUTHOR)
-        + dated
-        + 1.0 * ("joined" in text.lower())
-        + (min(length / 250, 4.0) if length >= 80 else 0.0)
-        + 0.5 * (node.tag in ("div", "article", "section", "li", "td"))
-    )
-
-
-def opener_of(page: Node, blocks: list[tuple[str, Node]], host: str) -> Node | None:
+def opener_of(page: Node, blocks: list[tuple[str, Node]], marks: Marks, host: str) -> Node | None:
     """The first post of page one when it has no number: the best element before the first block, up to six levels up."""
     if not blocks or blocks[0][0] not in ("2", ""):
         return None
-    title, taken, best, top = title_of(page), {id(n) for _, n in blocks}, None, NEVER
+    title, taken, known, best, top = title_of(page), [n for _, n in blocks], {}, None, float("-inf")
+
+    def fit(node: Node) -> float:
+        text, own = node.text, node.classes.lower()
+        if node.tag in NO_OPENER_TAGS or any(x in own for x in OPENER_NOT) or not 80 <= len(text) <= 12000 or text == title:
+            return float("-inf")
+        if marks.count("numbers", node) or marks.count("permalinks", node) > 1 or any(b.holds(node) for b in taken):
+            return float("-inf")
+        key = (node.said_first, node.said_last, *(node.span(s) for s in (*AUTHORS, *DATES, *CONTENTS, "a[href]")))
+        if key not in known:
+            dated = timestamp_of(node) != NO_DATE
+            known[key] = {**said(text), "content characters": len(content_of(node).text), "author": author_of(node, host) != NO_AUTHOR, "date": dated, "date in text": not dated and bool(L.timestamp_of(text))}
+        return score(known[key] | {"block element": node.tag in OPENER_TAGS}, OPENER_WEIGHTS)
+
     at, depth = blocks[0][1], 0
-    while at is not None and at.tag not in ("body", "html", "document") and depth < 6:
-        before = []
-        for kid in at.up.kids if at.up is not None else ():
-            if kid is at:
+    while at is not None and at.tag not in OUTER and depth < 6:
+        for sibling in at.up.kids if at.up is not None else ():
+            if sibling is at:
                 break
-            if isinstance(kid, Node):
-                before.append(kid)
-        for sibling in before:
-            for node in (sibling, *sibling.nodes()):
-                if not taken & {id(node), *map(id, node.ancestors())}:
-                    score = opener_score(node, title, host)
-                    if score > top:
-                        best, top = node, score
+            for node in (sibling, *sibling.nodes()) if isinstance(sibling, Node) else ():
+                if (value := fit(node)) > top:
+                    best, top = node, value
         at, depth = at.up, depth + 1
-    return best if top >= 5.0 else None
+    return best if top >= OPENER_LEAST else None
 
 
-def blocks_of(page: Node, number: int, host: str) -> list[tuple[str, Node]]:
-    """(label, block) of a page's posts by number; of several blocks of a label the longest, the first of equals."""
+def blocks_of(page: Node, number: int, host: str, marks: Marks) -> list[tuple[str, Node]]:
+    """(label, block) of a page's posts by number; of several blocks of a label the longest, the first of equals.
+
+    Without any such block the containers of other post links count, in document order.
+    """
     found: dict[str, tuple[int, Node]] = {}
-    for a in page.anchors:
-        if is_number(a) and (block := container_of(a)) is not None:
+    for a in marks.numbers:
+        if (block := container_of(a, marks)) is not None:
             label, size = identity_of(block, "")[1], len(block.html())
             if label and (label not in found or size > found[label][0]):
                 found[label] = (size, block)
-    blocks = sorted(((k, n) for k, (_, n) in found.items()), key=lambda x: int(x[0] or 0))
-    opener = opener_of(page, blocks, host) if number == 1 else None
+    blocks = sorted(((k, n) for k, (_, n) in found.items()), key=lambda x: (len(x[0].lstrip("0")), x[0].lstrip("0")))
+    if not blocks:
+        other = {n.first: n for a in marks.permalinks if (n := container_of(a, marks)) is not None}
+        blocks = [(identity_of(n, "")[1], n) for n in other.values()]
+    opener = opener_of(page, blocks, marks, host) if number == 1 else None
     return [("1", opener), *blocks] if opener is not None else blocks
 
 
 def layout_lines(node: Node) -> list[str]:
     """Lines as shown: breaks and block elements end lines, at most two empty lines in a row."""
     parts: list[str] = []
-
-    def walk(n: Node) -> None:
-        for kid in n.kids:
-            if not isinstance(kid, Node):
-                parts.append(kid)
-            elif kid.tag == "br":
-                parts.append("\n")
-            elif kid.tag == "img":
-                parts.append(" ")
-            else:
-                walk(kid)
-                parts.append("\n\n" if kid.tag in DOUBLE_BREAK else "\n" if kid.tag in SINGLE_BREAK else "")
-
-    walk(node)
+    todo: list[Node | str] = list(reversed(node.kids))
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, Node):
+            parts.append(x)
+        elif x.tag in ("br", "img"):
+            parts.append("\n" if x.tag == "br" else " ")
+        else:
+            todo.append("\n\n" if x.tag in DOUBLE_BREAK else "\n" if x.tag in SINGLE_BREAK else "")
+            todo.extend(reversed(x.kids))
     out: list[str] = []
     for raw in "".join(parts).replace("\xa0", " ").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         line = L.squeeze(raw)
@@ -290,59 +380,48 @@ def body_of(node: Node, timestamp: str, label: str) -> str:
 
 
 def image_url(page_url: str, src: str) -> str:
-    url = urljoin(page_url, src)
+    """Absolute url; a thumbnail of an attached image is the image."""
+    url = absolute(page_url, src)
     return url.replace("/thumbnail", "") if "/attachment/image/" in url and "/thumbnail" in url else url
 
 
-def is_file(a: Node, page_url: str) -> bool:
-    url = image_url(page_url, a.attrs["href"])
-    return "/attachment/" in url and "/attachment/image/" not in url
-
-
-def is_attachment(a: Node, page_url: str) -> bool:
-    url, low = image_url(page_url, a.attrs["href"]), a.text.lower()
-    if not url or "/thread/post/" in url or low in ("reply", "quote", "subscribe"):
-        return False
-    return is_file(a, page_url) or (("/attachment/" in url or "download" in url.lower()) and low not in NO_LABELS)
+def source_of(img: Node) -> str:
+    return next((img.attrs[k] for k in ("data-src", "data-lazy-src", "src") if img.attrs.get(k)), "")
 
 
-def file_label(a: Node, page_url: str) -> str:
-    text = L.squeeze(a.text[2:]) if a.text.startswith("! ") else a.text
-    return text or urlparse(image_url(page_url, a.attrs["href"])).path.rstrip("/").rpartition("/")[2]
+def is_icon(img: Node, url: str) -> bool:
+    about = " ".join((url, img.attrs.get("alt", ""), img.attrs.get("title", ""))).lower()
+    return any(h in about for h in ICON_HINTS)
 
 
 def file_row(a: Node, root: Node, label: str) -> Node | None:
     """The short element around a file link that tells its size or downloads."""
-    for node in (a, *a.ancestors()):
-        if node is root:
-            return None
-        low = node.text.lower()
-        if label in node.text and len(node.text) <= 300 and ("downloads" in low or "file type:" in low or L.SIZE.search(node.text)):
+    node = a
+    while node is not None and node is not root:
+        text, low = node.text, node.text.lower()
+        if len(text) <= 300 and label in text and ("downloads" in low or "file type:" in low or L.SIZE.search(text)):
             return node
+        node = node.up if len(text) <= 300 else None  # an outer element is no shorter
     return None
 
 
 def attachments_of(root: Node, page_url: str) -> list[str]:
     """Labels of link attachments, then of files with size and downloads; all of them leave the tree."""
-    labels, gone = [], []
-    for a in root.anchors:
-        if is_attachment(a, page_url) and not is_file(a, page_url):
-            labels.append(a.text or file_label(a, page_url))
-            gone.append(a)
-    labels = [x for x in labels if x.lower() not in NO_LABELS]
-    for a in root.anchors:
-        label = file_label(a, page_url) if is_file(a, page_url) else ""
-        if label.lower() in NO_LABELS:
+    labels, gone, links = [], [], [Link(a, page_url) for a in root.anchors]
+    for x in links:
+        if x.is_attachment and not x.is_file:
+            gone.append(x.node)
+            if (name := x.text or x.label).lower() not in NO_LABELS:
+                labels.append(name)
+    for x in links:
+        if not x.is_file or x.label.lower() in NO_LABELS:
             continue
-        row = file_row(a, root, label)
-        texts = [n.text for n in (row, a.up) if n is not None]
-        extras = [L.squeeze(x) for t in texts for p in (L.SIZE, L.DOWNLOADS) for x in p.findall(t)]
-        labels.append(" | ".join(dict.fromkeys([label, *extras])))
-        gone.append(row or a)
-    for img in root.all("img"):
-        about = " ".join((urljoin(page_url, img.attrs.get("data-src") or img.attrs.get("data-lazy-src") or img.attrs.get("src") or ""), img.attrs.get("alt", ""), img.attrs.get("title", ""))).lower()
-        if any(h in about for h in ICON_HINTS):
-            gone.append(img)
+        row = file_row(x.node, root, x.label)
+        told = [n.text for n in (row, x.node.up) if n is not None]
+        facts = [L.squeeze(f) for t in told for p in (L.SIZE, L.DOWNLOADS) for f in p.findall(t)]
+        labels.append(" | ".join(dict.fromkeys([x.label, *facts])))
+        gone.append(row or x.node)
+    gone += [img for img in root.select("img") if is_icon(img, absolute(page_url, source_of(img)))]
     for node in gone:
         node.remove()
     for node in (root, *root.nodes()):
@@ -353,7 +432,7 @@ def attachments_of(root: Node, page_url: str) -> list[str]:
 def split_signature(content: Node) -> tuple[Node, Node | None]:
     """(body, signature) as copies: what follows the first rule among its siblings, and signature elements."""
     body, sign = content.copy(), Node("div", {})
-    rule = next(iter(body.all("hr")), None)
+    rule = next(iter(body.select("hr")), None)
     if rule is not None:
         parent = rule.up
         at = next(i for i, k in enumerate(parent.kids) if k is rule)
@@ -361,29 +440,19 @@ def split_signature(content: Node) -> tuple[Node, Node | None]:
             if isinstance(kid, Node) or kid.strip():
                 sign.add(kid)
         parent.kids = parent.kids[:at]
+        body.number()
     for node in body.select("[class*=signature]") + body.select("[id*=signature]"):
         if node.up is not None:
             node.remove()
             sign.add(node)
-    return body, sign if sign.kids else None
+    return body.number(), sign.number() if sign.kids else None
 
 
 def images_of(content: Node, page_url: str) -> list[str]:
-    """Absolute urls of shown images, then of links to images, each once."""
-    urls = []
-    for img in content.all("img"):
-        src = img.attrs.get("data-src") or img.attrs.get("data-lazy-src") or img.attrs.get("src")
-        if src:
-            url = image_url(page_url, src)
-            about = f"{url} {img.attrs.get('alt', '')} {img.attrs.get('title', '')}".lower()
-            if not any(h in url.lower() for h in SKIP_HINTS) and not any(h in about for h in ICON_HINTS):
-                urls.append(url)
-    for a in content.anchors:
-        url = image_url(page_url, a.attrs["href"])
-        shown = "/attachment/image/" in url or IMAGE.search(url) or "click to enlarge" in a.text.lower()
-        if shown and not is_file(a, page_url) and not any(h in url.lower() for h in SKIP_HINTS):
-            urls.append(url)
-    return list(dict.fromkeys(urls))
+    """Absolute urls of shown images, then of links to images, each once; those of the page's own furniture are left out."""
+    shown = ((img, image_url(page_url, source_of(img))) for img in content.select("img") if source_of(img))
+    urls = [url for img, url in shown if not is_icon(img, url)] + [x.url for x in (Link(a, page_url) for a in content.anchors) if x.shows_image]
+    return list(dict.fromkeys(u for u in urls if u and not any(h in u.lower() for h in SKIP_HINTS)))
 
 
 def post_of(label: str, block: Node, page_url: str, host: str) -> dict:
@@ -422,12 +491,12 @@ def _link(a: Node, page_url: str) -> dict:
 def parse_html(html: str | None, page: int | None, page_url: str | None) -> dict:
     """Title, links, expected numbers and posts of a page."""
     root, url = tree(html), page_url or ""
-    host = urlparse(url).netloc
+    host, marks = host_of(url), Marks(root)
     return {
         "title": title_of(root),
         "links": [_link(a, url) for a in root.anchors if a.attrs["href"].strip()],
-        "expected": expected_numbers(root),
-        "blocks": [post_of(label, b, url, host) for label, b in blocks_of(root, page or 0, host)],
+        "expected": expected_numbers(marks),
+        "blocks": [post_of(label, b, url, host) for label, b in blocks_of(root, page or 0, host, marks)],
     }
 
 

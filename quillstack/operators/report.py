@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstack.functions.text import normalize_space
+
 
 def author_counts(posts: DataFrame) -> DataFrame:
-    """Posts of every (thread, author); a blank author counts as ``Unknown``."""
-    name = F.trim(F.coalesce("author", F.lit("")))
-    return posts.groupBy("thread_id", F.when(name == "", "Unknown").otherwise(name).alias("author")).agg(F.count(F.lit(1)).alias("post_count"))
+    """Posts of every (thread, author) with normalised names; a blank author counts as ``Unknown``.
+
+    Equal spellings are counted first, so names are normalised once each.
+    """
+    spelt = posts.groupBy("thread_id", "author").agg(F.count(F.lit(1)).alias("n"))
+    name = normalize_space(F.col("author"))
+    named = spelt.select("thread_id", F.when(name == "", "Unknown").otherwise(name).alias("author"), "n")
+    return named.groupBy("thread_id", "author").agg(F.sum("n").alias("post_count"))
 
 
 def author_rank(counts: DataFrame) -> DataFrame:
@@ -22,12 +29,9 @@ def author_rank(counts: DataFrame) -> DataFrame:
 def top_authors(posts: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most active authors of every thread with their share of all its posts."""
     counts = author_counts(posts)
-    total = F.sum("post_count").over(Window.partitionBy("thread_id"))
-    return (
-        author_rank(counts.withColumn("total", total))
-        .filter(F.col("rank") <= k)
-        .select("thread_id", "rank", "author", "post_count", F.round(100 * F.col("post_count") / F.col("total"), 2).alias("share_percent"))
-    )
+    totals = posts.groupBy(F.col("thread_id").alias("whole")).agg(F.count(F.lit(1)).alias("total"))
+    best = author_rank(counts).filter(F.col("rank") <= k)  # cut to k rows a thread before the shuffle
+    return best.join(totals, F.col("thread_id").eqNullSafe(F.col("whole"))).select("thread_id", "rank", "author", "post_count", F.round(100 * F.col("post_count") / F.col("total"), 2).alias("share_percent"))
 
 
 def author_totals(posts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -9,10 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstack.functions.lines import squeeze as squeeze_text
-from quillstack.functions.text import filled, squeeze
+from quillstack.functions.text import filled, normalize_space, squeeze
+from quillstack.operators.ordering import numbered
+from quillstack.staging import Stage
 
 #: Intervals that are sent to every task; more are matched by a shuffle.
 BROADCAST_RANGES = 10_000
+#: Intervals that are written out in a filter; more are looked up in one constant.
+PLAIN_RANGES = 50
+#: Numbers beyond a long count as the largest long.
+LARGEST = (1 << 63) - 1
+#: Elements of an array that one row is expanded to.
+STEP = 1 << 13
+
+
+def bounded_number(digits: str) -> int:
+    return min(LARGEST, int(digits)) if len(digits) < 1000 else LARGEST
 
 
 def parse_ranges(spec: str | None, *, hashes: bool = False) -> list[tuple[int, int]]:
@@ -24,7 +37,7 @@ def parse_ranges(spec: str | None, *, hashes: bool = False) -> list[tuple[int, i
     for part in re.split(r"[\s,]+", spec or ""):
         found = re.fullmatch(rf"{mark}(\d+)(?:-{mark}(\d+))?", part)
         if found:
-            lo, hi = sorted((int(found[1]), int(found[2] or found[1])))
+            lo, hi = sorted(map(bounded_number, (found[1], found[2] or found[1])))
             if hi >= 1:
                 out.append((max(1, lo), hi))
     merged: list[tuple[int, int]] = []
@@ -49,21 +62,30 @@ def ranges_of(spec: Column, *, hashes: bool = False) -> Column:
     """``parse_ranges`` for a column: an array of (lo, hi), not merged."""
     mark = "#?" if hashes else ""
     pattern = rf"^{mark}([0-9]+)(?:-{mark}([0-9]+))?$"
+    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(LARGEST))
     parts = F.filter(F.split(filled(spec), r"[\s,]+"), lambda x: x.rlike(pattern))
 
     def pair(x: Column) -> Column:
-        a = F.regexp_extract(x, pattern, 1).cast("long")
+        a = number(F.regexp_extract(x, pattern, 1))
         b = F.regexp_extract(x, pattern, 2)
-        b = F.when(b == "", a).otherwise(b.try_cast("long"))
+        b = F.when(b == "", a).otherwise(number(b))
         return F.struct(F.greatest(F.lit(1).cast("long"), F.least(a, b)).alias("lo"), F.greatest(a, b).alias("hi"))
 
     return F.filter(F.transform(parts, pair), lambda x: x["hi"] >= 1)
 
 
 def expand_ranges(specs: DataFrame, id_col: str, spec_col: str, *, hashes: bool = False) -> DataFrame:
-    """(id, value): every selected number once; for reports, not for filtering."""
-    each = specs.select(id_col, F.explode(ranges_of(F.col(spec_col), hashes=hashes)).alias("r"))
-    return each.select(id_col, F.explode(F.sequence("r.lo", "r.hi")).alias("value")).distinct()
+    """(id, value): every selected number once; for reports, not for filtering.
+
+    A long interval is cut into shorter ones in steps, so no row ever holds more than ``STEP`` of its parts.
+    """
+    each = specs.select(id_col, F.explode(ranges_of(F.col(spec_col), hashes=hashes)).alias("r")).select(id_col, "r.lo", "r.hi").distinct()
+    for power in range(4, 0, -1):
+        size = F.lit(STEP**power)
+        part = each.select(id_col, "lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(hi - lo) div {STEP**power}L"))).alias("k"))
+        first = F.col("lo") + F.col("k") * size
+        each = part.select(id_col, first.alias("lo"), F.when(F.col("hi") - first < size, F.col("hi")).otherwise(first + (size - 1)).alias("hi"))
+    return each.select(id_col, F.explode(F.sequence("lo", "hi")).alias("value")).distinct()
 
 
 def user_list(specs: DataFrame, id_col: str, spec_col: str) -> DataFrame:
@@ -79,6 +101,9 @@ def number_of(c: Column) -> Column:
 
 
 def inside(value: Column, ranges: list[tuple[int, int]]) -> Column:
+    if len(ranges) > PLAIN_RANGES:
+        table = F.from_json(F.lit(json.dumps([{"lo": lo, "hi": hi} for lo, hi in ranges])), "array<struct<lo:long,hi:long>>")
+        return F.exists(table, lambda r: value.between(r["lo"], r["hi"]))
     out = F.lit(False)
     for lo, hi in ranges:
         out = out | value.between(lo, hi)
@@ -87,7 +112,7 @@ def inside(value: Column, ranges: list[tuple[int, int]]) -> Column:
 
 def filter_by_users(posts: DataFrame, spec: str | None) -> DataFrame:
     users = [x.lower() for x in parse_users(spec)]
-    return posts.filter(F.lower(squeeze(F.col("author"))).isin(users)) if users else posts
+    return posts.filter(F.lower(normalize_space(F.col("author"))).isin(users)) if users else posts
 
 
 def filter_by_pages(posts: DataFrame, spec: str | None) -> DataFrame:
@@ -119,18 +144,26 @@ def canonical_order(posts: DataFrame) -> DataFrame:
 def range_selection_join(posts: DataFrame, ranges: DataFrame, value: Column) -> DataFrame:
     """Posts whose value lies in any (lo, hi) of their thread.
 
-    Few intervals are broadcast after counting them.  Many are merged to disjoint ones and met in one pass
-    over each thread in order of value.
+    Posts without a thread or a value match nothing.  Few intervals are broadcast after counting them.  Many are
+    met in order of value: posts and intervals are sorted together over range partitions, the farthest end so far is
+    kept within each partition, and a row per partition and thread carries it on, so a large thread is split.
     """
-    ranges = ranges.select("thread_id", "lo", "hi")
+    ranges = ranges.select("thread_id", "lo", "hi").filter("thread_id IS NOT NULL AND lo <= hi")
     if ranges.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
         r = ranges.withColumnRenamed("thread_id", "r_thread")
         return posts.join(F.broadcast(r), (posts["thread_id"] == r["r_thread"]) & value.between(r["lo"], r["hi"]), "left_semi")
-    marked = posts.withColumn("__v", value.cast("long")).withColumn("__row", F.struct(*posts.columns)).select("thread_id", "__v", "__row", F.lit(None).cast("long").alias("__hi"), F.lit(1).alias("__kind"))
-    starts = ranges.select("thread_id", F.col("lo").cast("long").alias("__v"), F.lit(None).cast(marked.schema["__row"].dataType).alias("__row"), F.col("hi").cast("long").alias("__hi"), F.lit(0).alias("__kind"))
-    upto = Window.partitionBy("thread_id").orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    met = marked.unionByName(starts).withColumn("__reach", F.max("__hi").over(upto))
-    return met.filter((F.col("__kind") == 1) & (F.col("__reach") >= F.col("__v"))).select("__row.*")
+    posts = posts.filter(F.col("thread_id").isNotNull() & value.isNotNull())
+    marked = posts.select("thread_id", value.alias("__v"), F.struct(*posts.columns).alias("__row"), F.lit(1).alias("__kind"))
+    none = F.lit(None).cast(marked.schema["__row"].dataType)
+    starts = ranges.select("thread_id", F.col("lo").alias("__v"), none.alias("__row"), F.lit(0).alias("__kind"), F.col("hi").alias("__hi"))
+    both = marked.unionByName(starts, allowMissingColumns=True)
+    both = Stage(posts.sparkSession, "ranges").put("sorted", both.repartitionByRange("thread_id", "__v", "__kind").withColumn("__part", F.spark_partition_id()))
+    line = lambda *by: Window.partitionBy("thread_id", *by)
+    ends = both.groupBy("thread_id", "__part").agg(F.max("__hi").alias("__end"))
+    carried = ends.select("thread_id", "__part", F.max("__end").over(line().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__carry"))
+    own = F.max("__hi").over(line("__part").orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("__own", own).filter("__kind = 1").join(carried, ["thread_id", "__part"])
+    return met.filter(F.greatest("__own", "__carry") >= F.col("__v")).select("__row.*")
 
 
 def collapse_ranges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -156,9 +189,12 @@ def filter_label(users: str | None = None, pages: str | None = None, numbers: st
 
 
 def display_label(posts: DataFrame) -> DataFrame:
-    """``label``: the post number, else the position among the posts of its thread."""
-    place = F.row_number().over(Window.partitionBy("thread_id").orderBy(*sort_key()))
-    return posts.withColumn("label", F.coalesce(F.when(F.col("post_number") != "", F.col("post_number")), place.cast("string")))
+    """``label``: the post number, else the position among the posts of its thread; only threads that need positions are sorted."""
+    told = F.when(F.col("post_number") != "", F.col("post_number"))
+    some = posts.filter(told.isNull()).select("thread_id").distinct()
+    need = numbered(posts.join(some, "thread_id", "left_semi").select(posts.columns), ["thread_id"], sort_key(), "__place")
+    rest = posts.join(some, "thread_id", "left_anti").select(*posts.columns, told.alias("label"))
+    return rest.unionByName(need.select(*posts.columns, F.coalesce(told, F.col("__place").cast("string")).alias("label")))
 
 
 def limit_pages(pages: DataFrame, start: int, n: int) -> DataFrame:

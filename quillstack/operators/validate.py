@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.functions.text import filled, squeeze
+from quillstack.functions.text import filled, is_blank, normalize_space
 
 NO_DATE, NO_AUTHOR = "Unknown date", "Unknown"
 
 
 def post_validation_reasons() -> Column:
     """Ordered reason codes of a post row."""
-    author, time, number, ident = (squeeze(F.col(c)) for c in ("author", "timestamp", "post_number", "post_id"))
+    author, time, number, ident = (normalize_space(F.col(c)) for c in ("author", "timestamp", "post_number", "post_id"))
     signals = (ident != "").cast("int") + (number != "").cast("int") + ((time != "") & (time != NO_DATE)).cast("int")
-    empty = (squeeze(F.col("text")) == "") & (F.coalesce(F.size("image_urls"), F.lit(0)) <= 0)
+    empty = is_blank(F.col("text")) & (F.coalesce(F.size("image_urls"), F.lit(0)) <= 0)
     code = lambda test, name: F.when(test, F.lit(name))
     return F.array_compact(
         F.array(

@@ -13,6 +13,7 @@ from quillstack.functions import lines as L
 from quillstack.functions import text as T
 from quillstack.functions import urls as U
 from quillstack.operators import images, merge, parse, rename, render, report, select, validate
+from quillstack.operators.ordering import numbered
 from quillstack.plans import archive
 from quillstack.sources import readers, writers
 from quillstack.staging import Stage, read_table
@@ -72,10 +73,17 @@ def author_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "author_rank",
     f"""SELECT thread_id, author, count(*) AS post_count, CAST(row_number() OVER (PARTITION BY thread_id ORDER BY count(*) DESC, lower(author), author) AS INTEGER) AS rank
-    FROM ({CONV}) GROUP BY thread_id, author""",
+    FROM (SELECT thread_id, CASE WHEN {NUMBER} % 7 = 0 THEN 'Unknown' ELSE author || ' & co' END AS author FROM ({CONV})) GROUP BY thread_id, author""",
 )
 def author_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.author_rank(report.author_counts(A.conversation_posts(spark, sf_dir)))
+    """Names in several spellings: entities, double and hard blanks, or nothing at all."""
+    return report.author_rank(report.author_counts(misspelt(A.conversation_posts(spark, sf_dir))))
+
+
+def misspelt(p: DataFrame) -> DataFrame:
+    n = select.number_of(F.col("post_number"))
+    spelt = F.when(n % 7 == 0, "&nbsp; ").when(n % 3 == 0, F.concat("author", F.lit("  &amp;\u00a0co"))).when(n % 3 == 1, F.concat(F.lit("\u00a0"), "author", F.lit(" & co "))).otherwise(F.concat("author", F.lit(" &amp; co")))
+    return p.withColumn("author", spelt)
 
 
 @query(
@@ -95,15 +103,15 @@ def repair_cp1252(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", T.repair_cp1252(F.translate("text", "ea", "\x96\x80")).alias("out"))
 
 
-@query("repair_mojibake", "SELECT doc_id, replace(replace(replace(text, 'the', '’'), 'ing', '—'), 'x', '<') AS out FROM documents WHERE NOT contains(text, '&')")
+@query("repair_mojibake", "SELECT doc_id, replace(replace(replace(text, 'the', '’'), 'ing', '—'), 'x', '<') AS out FROM documents")
 def repair_mojibake(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoilt = F.replace(F.replace(F.replace("text", F.lit("the"), F.lit(L.MOJIBAKE[0][0])), F.lit("ing"), F.lit(L.MOJIBAKE[5][0])), F.lit("x"), F.lit("&lt;"))
-    return texts(spark, sf_dir).filter(~F.col("text").contains("&")).select("doc_id", T.repair_mojibake(spoilt).alias("out"))
+    return texts(spark, sf_dir).select("doc_id", T.repair_mojibake(spoilt).alias("out"))
 
 
-@query("normalize_space", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS out FROM documents WHERE NOT contains(text, '&')")
+@query("normalize_space", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS out FROM documents")
 def normalize_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).filter(~F.col("text").contains("&")).select("doc_id", T.normalize_space(F.col("text")).alias("out"))
+    return texts(spark, sf_dir).select("doc_id", T.normalize_space(F.col("text")).alias("out"))
 
 
 @query("normalize_space_all_rows")
@@ -147,45 +155,50 @@ def thread_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", U.thread_key(U.normalize_thread_url(F.col("url"))).alias("out"))
 
 
-CLEAN_LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"
+SQUEEZED = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+def one_gap(lines: str) -> str:
+    """SQL that joins a list of lines, with one empty line for a run of them and none at the ends."""
+    return f"trim(regexp_replace(array_to_string({lines}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
+
 
+def clean(text: str = "text") -> str:
+    """SQL of a text whose lines are squeezed."""
+    return one_gap(f"list_transform(string_split({text}, chr(10)), lambda x: {SQUEEZED.format('x')})")
 
-@query("normalize_multiline", f"SELECT doc_id, array_to_string({CLEAN_LINES}, chr(10)) AS out FROM documents WHERE NOT contains(text, '&') AND NOT regexp_matches(text, '\\n\\s*\\n')")
+
+LINES = f"(SELECT *, {SQUEEZED.format('line')} AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
+
+
+@query("normalize_multiline", f"SELECT doc_id, {clean()} AS out FROM documents")
 def normalize_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = texts(spark, sf_dir).filter(~F.col("text").contains("&") & ~F.col("text").rlike(r"\n\s*\n"))
-    return plain.select("doc_id", T.normalize_multiline("text").alias("out"))
+    return texts(spark, sf_dir).select("doc_id", T.normalize_multiline("text").alias("out"))
 
 
 @query(
     "dedupe_consecutive_lines",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT contains(text, '&') AND NOT regexp_matches(text, '\\n\\s*\\n|^\\s*\\n|\\n\\s*$')),
-    k AS (SELECT *, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS key FROM l), m AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)
-    SELECT doc_id, string_agg(rtrim(line), chr(10) ORDER BY i) AS out FROM m WHERE before IS NULL OR key <> before GROUP BY doc_id""",
+    f"""WITH m AS (SELECT *, lag(key) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM {LINES})
+    SELECT doc_id, trim(string_agg(rtrim(line, chr(32) || chr(9)), chr(10) ORDER BY i), chr(10)) AS out FROM m WHERE before IS NULL OR key = '' OR key <> before GROUP BY doc_id""",
 )
 def dedupe_consecutive_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = texts(spark, sf_dir).filter(~F.col("text").contains("&") & ~F.col("text").rlike(r"\n\s*\n|^\s*\n|\n\s*$"))
-    return plain.select("doc_id", T.dedupe_consecutive_lines("text").alias("out"))
+    return texts(spark, sf_dir).select("doc_id", T.dedupe_consecutive_lines("text").alias("out"))
 
 
 @query(
     "dedupe_all_lines",
-    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT contains(text, '&') AND NOT regexp_matches(text, '\\n\\s*\\n|^\\s*\\n|\\n\\s*$')),
-    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) ORDER BY i) AS n FROM l)
-    SELECT doc_id, string_agg(rtrim(line), chr(10) ORDER BY i) AS out FROM k WHERE n = 1 GROUP BY doc_id""",
+    f"""WITH k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS n FROM {LINES}),
+    g AS (SELECT doc_id, list(rtrim(line, chr(32) || chr(9)) ORDER BY i) AS kept FROM k WHERE n = 1 OR key = '' GROUP BY doc_id)
+    SELECT doc_id, {one_gap('kept')} AS out FROM g""",
 )
 def dedupe_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = texts(spark, sf_dir).filter(~F.col("text").contains("&") & ~F.col("text").rlike(r"\n\s*\n|^\s*\n|\n\s*$"))
-    return plain.select("doc_id", T.dedupe_all_lines("text").alias("out"))
+    return texts(spark, sf_dir).select("doc_id", T.dedupe_all_lines("text").alias("out"))
 
 
-@query(
-    "strip_attachment_artifacts",
-    "SELECT conv_id, turn, text AS out FROM conversations WHERE NOT contains(text, '&') AND NOT contains(text, chr(10)) AND NOT regexp_matches(text, '\\s\\s|^\\s|\\s$')",
-)
+@query("strip_attachment_artifacts", f"SELECT conv_id, turn, {clean()} AS out FROM conversations")
 def strip_attachment_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = read_table(spark, sf_dir, "conversations").filter(~F.col("text").contains("&") & ~F.col("text").contains("\n") & ~F.col("text").rlike(r"\s\s|^\s|\s$"))
     spoilt = F.concat(F.lit("Attached File(s)\n12.5 KB\n|\n"), F.col("text"), F.lit("\n1,204 downloads\nFile Type: pdf\n"))
-    return plain.select("conv_id", "turn", T.strip_attachment_artifacts(spoilt).alias("out"))
+    return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_attachment_artifacts(spoilt).alias("out"))
 
 
 @query("is_noise_line", "SELECT event_id, regexp_matches(props, '^\\d+$') OR trim(props) = '' AS noise, false AS author_echo, true AS date_echo, true AS label_echo, true AS word FROM events")
@@ -228,14 +241,14 @@ def image_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "parse_ranges",
-    "SELECT conv_id, unnest(list_distinct(list_concat(list_concat(range(turn + 1, turn + 4), CASE WHEN turn = 0 THEN [] ELSE [turn] END), [9]))) AS value FROM conversations WHERE turn < 3 AND turn % 2 = 0",
+    "SELECT conv_id, turn, unnest(list_distinct(list_concat(list_concat(range(turn + 1, turn + 4), CASE WHEN turn = 0 THEN [] ELSE [turn] END), [9, 9223372036854775807]))) AS value FROM conversations",
 )
 def parse_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn has its own selection, with numbers beyond a long and malformed parts."""
     t = F.col("turn").cast("string")
-    c = read_table(spark, sf_dir, "conversations").filter("turn < 3 AND turn % 2 = 0")
-    spec = F.concat(F.lit("#"), (F.col("turn") + 3).cast("string"), F.lit("-"), (F.col("turn") + 1).cast("string"), F.lit(", "), t, F.lit(" 9,1-2-3 x #9"))
-    each = select.expand_ranges(c.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("id"), spec.alias("spec")), "id", "spec", hashes=True)
-    return each.select(F.split("id", ":")[0].cast("long").alias("conv_id"), "value")
+    spec = F.concat(F.lit("#"), (F.col("turn") + 3).cast("string"), F.lit("-"), (F.col("turn") + 1).cast("string"), F.lit(", "), t, F.lit(" 9,1-2-3 x #9 99999999999999999999"))
+    each = select.expand_ranges(read_table(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("id"), spec.alias("spec")), "id", "spec", hashes=True)
+    return each.select("id.conv_id", "id.turn", "value")
 
 
 @query(
@@ -260,15 +273,11 @@ def parse_user_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.user_list(specs.select("conv_id", spec.alias("spec")), "conv_id", "spec")
 
 
-@query(
-    "export_sections",
-    "SELECT post_id, text AS body, 'chart.png | 3 KB' AS attachments, 'bye' AS signature FROM (" + CONV + ") WHERE NOT contains(text, '&') AND NOT contains(text, chr(10)) AND NOT regexp_matches(text, '\\s\\s|^\\s|\\s$|^(Sig|Attachment):')",
-)
+@query("export_sections", f"SELECT post_id, trim({clean()}) AS body, 'chart.png | 3 KB' AS attachments, 'bye' AS signature FROM ({CONV})")
 def export_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.conversation_posts(spark, sf_dir).filter(~F.col("text").contains("&") & ~F.col("text").contains("\n") & ~F.col("text").rlike(r"\s\s|^\s|\s$|^(Sig|Attachment):"))
     body = F.concat("text", F.lit("\nAttachment: chart.png | 3 KB\nSig: bye\nAttachment: chart.png | 3 KB"))
     s = T.export_sections(body, F.lit(""), F.array().cast("array<string>"), F.lit("bye"))
-    return p.select("post_id", s.alias("s")).select("post_id", "s.body", F.array_join("s.attachments", "; ").alias("attachments"), F.array_join("s.signature", "; ").alias("signature"))
+    return A.conversation_posts(spark, sf_dir).select("post_id", s.alias("s")).select("post_id", "s.body", F.array_join("s.attachments", "; ").alias("attachments"), F.array_join("s.signature", "; ").alias("signature"))
 
 
 @query(
@@ -336,14 +345,14 @@ def attachment_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- selections, order, labels
 
 
-@query("filter_by_users", f"SELECT post_id FROM ({CONV}) WHERE lower(author) IN ('user', 'system')")
+@query("filter_by_users", f"SELECT post_id FROM ({CONV}) WHERE lower(author) IN ('user', 'system') AND {NUMBER} % 7 <> 0")
 def filter_by_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.filter_by_users(A.conversation_posts(spark, sf_dir), " User, SYSTEM ,user,").select("post_id")
+    return select.filter_by_users(misspelt(A.conversation_posts(spark, sf_dir)), " User&amp; co, User  & co, SYSTEM &amp; CO ,user,").select("post_id")
 
 
 @query("filter_by_pages", f"SELECT post_id FROM ({EVENTS}) WHERE page BETWEEN 2 AND 4 OR page = 7")
 def filter_by_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.filter_by_pages(A.event_posts(spark, sf_dir), "4-2, 7 x #9").select("post_id")
+    return select.filter_by_pages(A.event_posts(spark, sf_dir), "4-2, 7 x #9 99999999999999999999").select("post_id")
 
 
 @query("filter_by_post_numbers", f"SELECT post_id FROM ({EVENTS}) WHERE {NUMBER} BETWEEN 10 AND 40 OR {NUMBER} = 99")
@@ -682,18 +691,33 @@ def forum_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = F.concat(F.lit('<div class="item"><a class="username" href="/u/1">'), T.html_escape(F.col("author")), F.lit('</a> <span class="date">Jan 5, 2024 1:05pm</span> <a href="'), "post_url", F.lit('"># '), "post_number", F.lit("</a>"), body, F.lit("</div>"))
     each = A.conversation_posts(spark, sf_dir).select("thread_id", "page", F.struct(select.number_of(F.col("post_number")).alias("n"), post.alias("html")).alias("x"))
     pages = each.groupBy("thread_id", "page").agg(F.transform(F.sort_array(F.collect_list("x")), lambda r: r["html"]).alias("posts"))
-    pager = F.lit('<nav><a href="?page=2">2</a> <a href="?page=5">last</a></nav>')
+    pager = F.concat(F.lit('<nav><a href="?page=2">2</a> <a href="?page='), (F.col("thread_id").cast("long") % 7 + 2).cast("string"), F.lit('">last</a></nav>'))
     html = F.concat(F.lit("<html><head><title>t</title></head><body><h1>Thread "), "thread_id", F.lit("</h1>"), F.array_join("posts", ""), pager, F.lit("</body></html>"))
     return pages.select("thread_id", "page", F.concat(F.lit("https://forum.example/thread/"), "thread_id").alias("page_url"), html.alias("html"))
 
 
-@query("page_title", "SELECT CAST(page_id AS VARCHAR) AS thread_id, 'Thread ' || CAST(page_id AS VARCHAR) AS title FROM pages")
+PAGES = """SELECT CAST(thread_id AS VARCHAR) AS thread_id, page, 'https://forum.example/thread/' || thread_id AS page_url,
+    '<html><head><title>t</title></head><body><h1>Thread ' || thread_id || '</h1>' || string_agg('<div class="item"><a class="username" href="/u/1">' || author || '</a> <span class="date">Jan 5, 2024 1:05pm</span> <a href="' || post_url || '"># ' || post_number ||
+        '</a><div class="message">' || replace({escaped}, chr(10), '<br>') || '</div></div>', '' ORDER BY {number}) || '<nav><a href="?page=2">2</a> <a href="?page=' || (CAST(thread_id AS BIGINT) % 7 + 2) || '">last</a></nav></body></html>' AS html
+    FROM ({posts}) GROUP BY thread_id, page"""
+ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+PAGES = PAGES.format(escaped=ESCAPED.format("text"), number=NUMBER, posts=CONV)
+HEADING = "regexp_extract(html, '<{0}[^>]*>([^<]*)</{0}>', 1)"
+
+
+@query(
+    "page_title",
+    f"""WITH p AS (SELECT page_id, {HEADING.format('h1')} AS h, {HEADING.format('title')} AS t FROM pages)
+    SELECT CAST(page_id AS VARCHAR) AS thread_id, trim(regexp_replace(replace(replace(replace(replace(CASE page_id % 3 WHEN 0 THEN h ELSE t END, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM p""",
+)
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titled = raw_pages(spark, sf_dir).withColumn("html", F.concat(F.lit("<h1> </h1><h1>Thread\n "), "thread_id", F.lit("</h1>"), "html").substr(F.lit(11), F.lit(100_000_000)))
-    return parse.parse_pages(titled).select("thread_id", "title")
+    """Titles of the supplied pages; every third page has a blank heading, every third none."""
+    k = F.col("thread_id").cast("long") % 3
+    html = F.when(k == 1, F.regexp_replace("html", "<h1[^>]*>[^<]*</h1>", "<h1> \n</h1>")).when(k == 2, F.regexp_replace("html", "(</?)h1", "$1h2")).otherwise(F.col("html"))
+    return parse.parse_pages(raw_pages(spark, sf_dir).withColumn("html", html)).select("thread_id", "title")
 
 
-@query("last_page", f"SELECT DISTINCT thread_id, page, CASE WHEN page > 5 THEN page ELSE 5 END AS last FROM ({CONV})")
+@query("last_page", f"SELECT DISTINCT thread_id, page, greatest(page, CAST(thread_id AS BIGINT) % 7 + 2)::INTEGER AS last FROM ({CONV})")
 def last_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.parse_pages(forum_pages(spark, sf_dir)).select("thread_id", "page", parse.last_page().alias("last"))
 
@@ -708,21 +732,62 @@ def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("thread_id", "page", "post_id", "post_number", "post_url", "author", "timestamp", "accepted")
 
 
-@query("body_text", "SELECT post_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM (" + CONV + ") WHERE NOT contains(text, '&') AND NOT contains(text, chr(10)) AND length(text) >= 20")
+@query("body_text", f"SELECT post_id, {clean()} AS body FROM ({CONV})")
 def body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = A.conversation_posts(spark, sf_dir).filter(~F.col("text").contains("&") & ~F.col("text").contains("\n") & (F.length("text") >= 20)).select("post_id")
-    return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("post_id", F.col("body_text").alias("body")).join(whole, "post_id")
+    return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("post_id", F.col("body_text").alias("body"))
 
 
-@query("validated_pages", f"SELECT DISTINCT thread_id, page, true AS passed FROM ({CONV})")
+@query("validated_pages", f"SELECT thread_id, page, page % 2 = 1 AS passed, CASE WHEN page % 2 = 1 THEN '' ELSE '999' END AS missing FROM ({CONV}) GROUP BY ALL")
 def validated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.validated_pages(parse.parse_pages(forum_pages(spark, sf_dir))).select("thread_id", "page", "validation.passed")
+    """Even pages name one post more than they hold."""
+    html = F.when(F.col("page") % 2 == 0, F.replace("html", F.lit("<nav>"), F.lit('<a href="/thread/post/999"># 999</a><nav>'))).otherwise(F.col("html"))
+    v = parse.validated_pages(parse.parse_pages(forum_pages(spark, sf_dir).withColumn("html", html)))
+    return v.select("thread_id", "page", "validation.passed", F.array_join("validation.missing_post_numbers", ",").alias("missing"))
 
 
-@query("longest_block_per_label", f"SELECT thread_id, page, post_number, count(*) AS blocks FROM ({CONV}) GROUP BY ALL")
+@query("longest_block_per_label", f"SELECT thread_id, page, post_number, CASE page % 3 WHEN 0 THEN 'longer first ' WHEN 1 THEN '' ELSE 'longer second ' END || {clean()} AS body FROM ({CONV})")
 def longest_block_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    twice = forum_pages(spark, sf_dir).withColumn("html", F.regexp_replace("html", r'(?s)(<div class="item">.*)<nav>', "$1$1<nav>"))
-    return parse.posts_of(parse.parse_pages(twice)).groupBy("thread_id", "page", "post_number").agg(F.count(F.lit(1)).alias("blocks"))
+    """Every post stands on its page twice: alike, or one of both with more words."""
+    mark, k = '<div class="message">', F.col("page") % 3
+    told = lambda c, word, rest: F.when(k == rest, F.replace(c, F.lit(mark), F.lit(f"{mark}longer {word} "))).otherwise(c)
+    items = F.regexp_extract("html", r'(?s)(<div class="item">.*)<nav>', 1)
+    twice = forum_pages(spark, sf_dir).withColumn("html", F.concat(told(items, "first", 0), told(items, "second", 2)))
+    return parse.posts_of(parse.parse_pages(twice)).select("thread_id", "page", "post_number", F.col("body_text").alias("body"))
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forum pages whose posts have images, attachments and a signature; post 1 has no number, and every third a plain date and author."""
+    n = select.number_of(F.col("post_number"))
+    by = F.when(n % 3 == 0, F.concat(F.lit('<b></b><a href="/member/x">'), "author", F.lit("</a> <i>Jan 5, 2024 1:05pm</i> "))).otherwise(F.concat(F.lit('<a class="username">'), "author", F.lit('</a> <span class="date">Jan 5, 2024 1:05pm</span> ')))
+    number = F.when(n == 1, "").otherwise(F.concat(F.lit('<a href="'), "post_url", F.lit('"># '), "post_number", F.lit("</a>")))
+    more = '<img src="/i/{0}.png"><img src="/avatar/1.png"><a href="/attachment/image/{0}/thumbnail">pic {0}</a><div><a href="/attachment/file/{0}">plan.zip</a> 12 KB | 1,204 downloads</div><hr>my sig<br>my sig<br>bye {0}</div></div>'
+    parts = [x for piece in more.split("{0}") for x in (F.col("post_id"), F.lit(piece))][1:]
+    item = F.concat(F.lit('<div class="item">'), by, number, F.lit('<div class="message">'), F.replace(T.html_escape(F.col("text")), F.lit("\n"), F.lit("<br>")), *parts)
+    each = A.conversation_posts(spark, sf_dir).select("thread_id", "page", F.struct(n.alias("n"), item.alias("html")).alias("x"))
+    pages = each.groupBy("thread_id", "page").agg(F.transform(F.sort_array(F.collect_list("x")), lambda r: r["html"]).alias("posts"))
+    html = F.concat(F.lit("<html><body><h1>t</h1>"), F.array_join("posts", ""), F.lit("</body></html>"))
+    return pages.select("thread_id", "page", F.concat(F.lit("https://forum.example/thread/"), "thread_id").alias("page_url"), html.alias("html"))
+
+
+#: Post 1 is found only beside a numbered post of its page.
+FOUND = f"(SELECT * FROM (SELECT *, {NUMBER} AS n, count(*) OVER (PARTITION BY thread_id, page) AS on_page FROM ({CONV})) WHERE n > 1 OR on_page > 1)"
+
+
+@query("opener_recovery", f"SELECT thread_id, page, post_number, CASE WHEN n = 1 THEN '' ELSE post_id END AS post_id, author, 'Jan 5, 2024 1:05pm' AS \"timestamp\" FROM {FOUND}")
+def opener_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse.posts_of(parse.parse_pages(rich_pages(spark, sf_dir))).select("thread_id", "page", "post_number", "post_id", "author", "timestamp")
+
+
+for _name, _sql in (
+    ("signature_text", "'my sig' || chr(10) || 'bye ' || post_id"),
+    ("attachment_labels", "'pic ' || post_id || '; plan.zip | 12 KB | 1,204 downloads'"),
+    ("image_urls", "'https://forum.example/i/' || post_id || '.png; https://forum.example/attachment/image/' || post_id"),
+):
+
+    @query(_name, f"SELECT thread_id, post_number, {_sql} AS out FROM {FOUND}")
+    def _field(spark: SparkSession, sf_dir: str, column: str = _name) -> DataFrame:
+        out = F.col(column) if column == "signature_text" else F.array_join(column, "; ")
+        return parse.posts_of(parse.parse_pages(rich_pages(spark, sf_dir))).select("thread_id", "post_number", out.alias("out"))
 
 
 # ---------------------------------------------------------------- images
@@ -775,20 +840,26 @@ def embedded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
-ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
-PLAIN_POST = "NOT contains(text, '&') AND NOT contains(text, chr(10)) AND text <> '' AND NOT regexp_matches(text, '\\s\\s|^\\s|\\s$|^(Sig|Attachment):|^> ')"
+PICTURES = "['images/a.png', 'images/' || post_id || '.jpg']"
+INLINE = "['data:image/png;base64,' || base64(encode(thread_id)), 'images/' || post_id || '.jpg']"
 
 
-def plain_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return posts(spark, sf_dir).filter(~F.col("text").contains("&") & ~F.col("text").contains("\n") & (F.col("text") != "") & ~F.col("text").rlike(r"\s\s|^\s|\s$|^(Sig|Attachment):|^> "))
+def markdown_sql(number: str = "post_number") -> str:
+    """A post of a conversation as Markdown."""
+    return f"'## Post ' || {number} || ' — ' || author || chr(10) || chr(10) || 'Page ' || page || ' | Unknown date | ' || post_url || CASE WHEN trim({clean()}) = '' THEN '' ELSE chr(10) || chr(10) || trim({clean()}) END"
 
 
-@query(
-    "render_markdown",
-    f"SELECT post_id, '## Post ' || post_number || ' — ' || author || chr(10) || chr(10) || 'Page ' || page || ' | Unknown date | ' || post_url || chr(10) || chr(10) || text AS markdown FROM ({CONV}) WHERE {PLAIN_POST}",
-)
+def html_sql(images: str = "[]", number: str = "post_number") -> str:
+    """A post of a conversation as HTML, with a list of images behind its text."""
+    lines = f"list_transform(list_filter(string_split({clean()}, chr(10)), lambda x: x <> ''), lambda x: '<p>' || {ESCAPED.format('x')} || '</p>')"
+    shown = f"list_transform({images}, lambda x: '<img src=\"' || x || '\" alt=\"post image\" loading=\"lazy\">')"
+    return f"""'<article id="post-' || {number} || '">' || chr(10) || '<h2>Post ' || {number} || ' — ' || author || '</h2>' || chr(10) || '<p>Page ' || page || ' | Unknown date | <a href="' || post_url || '">link</a></p>' || chr(10)
+        || CASE WHEN trim({clean()}) = '' THEN '' ELSE array_to_string(list_concat({lines}, {shown}), chr(10)) END || chr(10) || chr(10) || chr(10) || '</article>'"""
+
+
+@query("render_markdown", f"SELECT post_id, {markdown_sql()} AS markdown FROM ({CONV})")
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rendered(render.render_markdown(plain_posts(spark, sf_dir)), "markdown")
+    return _rendered(render.render_markdown(posts(spark, sf_dir)), "markdown")
 
 
 def _rendered(rows: DataFrame, column: str) -> DataFrame:
@@ -797,13 +868,15 @@ def _rendered(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.col(f"key.{names[-1]}").alias("post_id"), column)
 
 
-@query(
-    "render_html",
-    f"""SELECT post_id, '<article id="post-' || post_number || '">' || chr(10) || '<h2>Post ' || post_number || ' — ' || author || '</h2>' || chr(10) || '<p>Page ' || page || ' | Unknown date | <a href="' || post_url || '">link</a></p>' || chr(10) ||
-        '<p>' || {ESCAPED.format('text')} || '</p>' || chr(10) || chr(10) || chr(10) || '</article>' AS html FROM ({CONV}) WHERE {PLAIN_POST}""",
-)
+@query("render_html", f"SELECT post_id, {html_sql()} AS html FROM ({CONV})")
 def render_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rendered(render.render_html(plain_posts(spark, sf_dir)), "html")
+    return _rendered(render.render_html(posts(spark, sf_dir)), "html")
+
+
+@query("render_embedded_post", f"SELECT post_id, {html_sql(INLINE)} AS html FROM ({CONV})")
+def render_embedded_post(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pictured(spark, sf_dir)
+    return _rendered(render.render_html(render.with_embedded(p, picture_files(p))), "html")
 
 
 @query(
@@ -815,28 +888,43 @@ def thread_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.assemble_threads(p.select("thread_id", F.struct(*select.sort_key()).alias("key"), "text"), "text")
 
 
-@query("thread_parts", f"SELECT thread_id, text FROM ({CONV})")
+@query("thread_parts", f"SELECT thread_id, text, row_number() OVER (PARTITION BY thread_id ORDER BY {ORDER}) AS place FROM ({CONV})")
 def thread_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = posts(spark, sf_dir)
-    return render.thread_parts(p.select("thread_id", F.struct(*select.sort_key()).alias("key"), "text"), "text").drop("key")
+    """Sections as they stand in the ordered part files; their places are counted from what was written."""
+    stage, p = Stage(spark, "parts"), posts(spark, sf_dir)
+    parts = render.thread_parts(p.select("thread_id", F.struct(*select.sort_key()).alias("key"), "text"), "text")
+    written = stage.put("parts", parts.select("thread_id", "text", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    return numbered(written, ["thread_id"], [F.col("part"), F.col("at")], "place").select("thread_id", "text", "place")
+
+
+HTML_HEAD = f"""'<!doctype html>' || chr(10) || '<html><head><meta charset="utf-8"><title>Thread ' || thread_id || '</title><style>{render.STYLE}</style></head><body>' || chr(10) || '<h1>Thread ' || thread_id || '</h1>' || chr(10)
+    || '<p><a href="https://forum.example/' || thread_id || '">source</a>, ' || count(*) || ' posts</p>' || chr(10)"""
+EXPORTS = {
+    "export_markdown": f"""SELECT thread_id, '# Thread ' || thread_id || chr(10) || chr(10) || 'Source: https://forum.example/' || thread_id || chr(10) || 'Posts: ' || count(*) || chr(10) || chr(10)
+        || string_agg({markdown_sql()}, chr(10) ORDER BY {ORDER}) || chr(10) AS document FROM ({CONV}) GROUP BY thread_id""",
+    "export_html": f"SELECT thread_id, {HTML_HEAD} || string_agg({html_sql()}, chr(10) ORDER BY {ORDER}) || chr(10) || '</body></html>' || chr(10) AS document FROM ({CONV}) GROUP BY thread_id",
+}
 
 
 for _kind, _render, _whole in (("export_markdown", render.render_markdown, render.markdown_document), ("export_html", render.render_html, render.html_document)):
 
-    @query(_kind)
+    @query(_kind, EXPORTS[_kind])
     def _export(spark: SparkSession, sf_dir: str, one=_render, whole=_whole, column=_kind.removeprefix("export_")) -> DataFrame:
         p = posts(spark, sf_dir)
         threads = p.select("thread_id").distinct().select("thread_id", F.concat(F.lit("Thread "), "thread_id").alias("title"), F.concat(F.lit("https://forum.example/"), "thread_id").alias("source_url"))
         return whole(threads, render.assemble_threads(one(p), column, joiner="\n"))
 
 
-@query("export_single_html")
+@query(
+    "export_single_html",
+    f"SELECT thread_id, string_agg({html_sql(PICTURES)}, chr(10) ORDER BY {ORDER}) AS document, CAST(count(*) AS INTEGER) AS posts FROM ({CONV}) WHERE lower(author) = 'user' AND page IN (1, 2) GROUP BY thread_id",
+)
 def export_single_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = select.apply_export_filters(pictured(spark, sf_dir), users="user", pages="1-2")
     return render.assemble_threads(render.render_html(p), "html", joiner="\n")
 
 
-@query("export_embedded_html")
+@query("export_embedded_html", f"SELECT thread_id, string_agg({html_sql(INLINE)}, chr(10) ORDER BY {ORDER}) AS document, CAST(count(*) AS INTEGER) AS posts FROM ({CONV}) WHERE lower(author) = 'user' GROUP BY thread_id")
 def export_embedded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = select.apply_export_filters(pictured(spark, sf_dir), users="user")
     return render.assemble_threads(render.render_html(render.with_embedded(p, picture_files(p))), "html", joiner="\n")
@@ -852,11 +940,35 @@ def write_read_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("thread_id", "post_id", "page", "author")
 
 
-@query("read_raw_pages", f"SELECT DISTINCT thread_id, page, 1 AS titles FROM ({CONV})")
+@query("read_raw_pages", f"SELECT thread_id, page, page_url, html FROM ({PAGES})")
 def read_raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Stage(spark, 'raw-pages').root}/pages"
     writers.write_raw_pages(forum_pages(spark, sf_dir), path)
-    return readers.read_page_table(spark, path).select("thread_id", "page", F.regexp_count("html", F.lit("<h1>Thread ")).alias("titles"))
+    return readers.read_page_table(spark, path)
+
+
+@query("read_page_state", f"SELECT DISTINCT thread_id, page FROM ({CONV})")
+def read_page_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stage(spark, 'markers').root}/pages"
+    writers.write_page_state(A.conversation_posts(spark, sf_dir).select("thread_id", "page", F.lit(1).alias("attempts")), path)
+    return readers.read_page_state_table(spark, path)
+
+
+@query("read_resume_state", f"SELECT thread_id, CAST(max(page) + 1 AS INTEGER) AS next_page, string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) AS warning_pages FROM (SELECT DISTINCT thread_id, page FROM ({CONV})) GROUP BY thread_id")
+def read_resume_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Stage(spark, 'resume-state').root}/state"
+    pages = A.conversation_posts(spark, sf_dir).groupBy("thread_id").agg((F.max("page") + 1).alias("next_page"), F.sort_array(F.collect_set("page")).alias("validation_warning_pages"))
+    writers.write_resume_state(pages, path)
+    return readers.read_resume_table(spark, path).select("thread_id", "next_page", F.array_join("validation_warning_pages", ",").alias("warning_pages"))
+
+
+@query("read_images", f"SELECT 'thread_id=' || thread_id AS thread_id, count(*) AS files, max(thread_id) || chr(10) AS content FROM (SELECT DISTINCT thread_id FROM ({CONV})) GROUP BY thread_id")
+def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small file per thread in the layout of image folders, read as bytes."""
+    root = f"{Stage(spark, 'images').root}/files"
+    names = A.conversation_posts(spark, sf_dir).select("thread_id").distinct()
+    names.select(F.col("thread_id").alias("value"), "thread_id").repartition("thread_id").write.partitionBy("thread_id").text(root)
+    return readers.read_images(spark, root, folder="").groupBy("thread_id").agg(F.count(F.lit(1)).alias("files"), F.max(F.decode("content", "UTF-8")).alias("content"))
 
 
 @query("read_archive", f"SELECT thread_id, post_id, page, author, text FROM ({CONV})")

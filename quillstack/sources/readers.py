@@ -27,9 +27,8 @@ def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_page_table(spark: SparkSession, path: str) -> DataFrame:
-    """(thread_id, page, page_url, html) of pages written by ``write_raw_pages``: a folder per thread and page."""
-    whole = spark.read.schema("value string, thread_id string, page int").option("wholetext", True).text(path)
-    return whole.select("thread_id", "page", F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html"))
+    """(thread_id, page, page_url, html) of pages written by ``write_raw_pages``."""
+    return spark.read.schema("thread_id string, page int, page_url string, html string").parquet(path).select("thread_id", "page", "page_url", "html")
 
 
 def read_document_table(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +63,16 @@ def read_page_markers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.PAGE_STATE).option("multiLine", True).option("pathGlobFilter", "page_*.done.json").option("recursiveFileLookup", True).json(path)
 
 
+def read_page_state_table(spark: SparkSession, path: str) -> DataFrame:
+    """(thread_id, page) of completed pages of a table written by ``write_page_state``; other columns are not read."""
+    return spark.read.schema("thread_id string, page int").parquet(path).select("thread_id", "page").distinct()
+
+
+def read_resume_table(spark: SparkSession, path: str) -> DataFrame:
+    """One row per thread of a table written by ``write_resume_state``."""
+    return spark.read.schema(schemas.RESUME_STATE).json(path)
+
+
 def read_resume_state(spark: SparkSession, path: str) -> DataFrame:
     """One row per file ``<thread>/resume_state.json``."""
     return spark.read.schema(schemas.RESUME_STATE).option("multiLine", True).option("pathGlobFilter", "resume_state.json").option("recursiveFileLookup", True).json(path).withColumn("thread_id", F.coalesce("thread_id", _thread(1)))
@@ -74,8 +83,9 @@ def read_selection_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(ranges_of(F.col("value"), hashes=True)).alias("r")).select("r.lo", "r.hi").distinct()
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(thread_id, path, content) of files ``<thread>/images/...``; the path is relative to the thread."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("path").rlike("/images/[^/]+$"))
+def read_images(spark: SparkSession, path: str, folder: str = "images") -> DataFrame:
+    """(thread_id, path, content) of files ``<thread>/images/...``; the path is relative to the thread.  Without a folder files stand in the thread's own."""
+    inner = f"/{folder}" if folder else ""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(F.col("path").rlike(f"{inner}/[^/_.][^/]*$"))
     parts = F.split("path", "/")
-    return files.select(F.element_at(parts, -3).alias("thread_id"), F.concat(F.lit("images/"), F.element_at(parts, -1)).alias("path"), "content")
+    return files.select(F.element_at(parts, -3 if folder else -2).alias("thread_id"), F.concat(F.lit(f"{folder}/" if folder else ""), F.element_at(parts, -1)).alias("path"), "content")

@@ -28,9 +28,9 @@ def write_archive(posts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     _replace(with_bucket(public_posts(posts), buckets).repartition("thread_bucket", F.pmod(F.xxhash64("post_id"), F.lit(8))).sortWithinPartitions("thread_bucket", "thread_id"), path, "thread_bucket")
 
 
-def write_raw_pages(pages: DataFrame, path: str) -> None:
-    """Page texts, a folder per thread and page; line ends become plain."""
-    pages.select("thread_id", "page", F.col("html").alias("value")).write.mode("overwrite").partitionBy("thread_id", "page").text(path)
+def write_raw_pages(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Page texts as a table by thread bucket, not a folder per page."""
+    _replace(with_bucket(pages.select("thread_id", "page", "page_url", "html"), buckets), path, "thread_bucket")
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
@@ -64,9 +64,9 @@ def write_report(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").json(path)
 
 
-def write_texts(documents: DataFrame, path: str, column: str = "document") -> None:
-    """Rendered documents as text, one folder per thread."""
-    documents.select("thread_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("thread_id").text(path)
+def write_texts(documents: DataFrame, path: str, column: str = "document", buckets: int = BUCKETS) -> None:
+    """Rendered documents (thread_id, document) as a table by thread bucket, not a folder per thread."""
+    _replace(with_bucket(documents.select("thread_id", F.col(column).alias("document")), buckets), path, "thread_bucket")
 
 
 def write_ordered_parts(parts: DataFrame, path: str, column: str) -> None:

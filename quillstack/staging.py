@@ -2,8 +2,8 @@
 
 A staged table outlives the executors that wrote it, so a lost executor costs a re-read
 and never a recomputation of everything before it.  The folder is the one the session
-names in ``spark.checkpoint.dir``; only a session without that setting (tests) gets a
-folder of its own.
+names in ``spark.checkpoint.dir``; only a local session without that setting (tests) gets a
+folder of its own, since on a cluster nobody else would see it.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-staged-")

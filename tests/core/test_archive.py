@@ -138,6 +138,52 @@ def test_hostile_pages():
     assert [n.tag for n in dom.tree("<ul><li>a<li>b</ul><p>c<p>d").nodes()] == ["ul", "li", "li", "p", "p"]
 
 
+LONG = "many words of a post that is long enough to be taken as one "
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<div>" * 100_000 + f'<a href="/thread/post/5"># 2</a> {LONG} Jan 5, 2024 1:05pm' + "</div>" * 100_000,
+        "<b><i>" * 50_000 + LONG * 3,
+        f'<div>{"<span class=content>" * 50_000}{LONG}<a href="/thread/post/5"># 2</a></div>',
+        "<p><b>" * 50_000 + LONG,
+        f'<div class="message">{LONG}{"<q>" * 100_000}<hr>sig<a href="/attachment/file/8">x.zip</a> 3 KB</div><a href="/thread/post/5"># 2</a>',
+        "<![foo[ x ]]>" + LONG,
+        "<!" + "<" * 5000,
+    ],
+)
+def test_deep_and_odd_pages_end(html):
+    assert isinstance(parse.parse_html(html, 1, "https://f.org/t")["blocks"], list)
+
+
+def test_bad_links_are_no_urls(spark):
+    body = f'<a href="http://[broken">x</a><img src="http://[also">{LONG}<a href="http://[/attachment/1">f</a>'
+    page = f'<div class="post"><span class="date">Jan 5, 2024 1:05pm</span><a href="/thread/post/5"># 2</a><div class="message">{body}</div></div><a href="http://[thread/post/9"># 3</a>'
+    raw = spark.createDataFrame([("t", 1, "https://f.org/t", page), ("t", 2, "http://[bad", page)], "thread_id string, page int, page_url string, html string")
+    one, two = parse.parse_pages(raw).orderBy("page").collect()
+    assert [(b.post_id, b.post_number, b.image_urls, b.body_text[:10]) for b in one.blocks] == [("5", "2", [], "x " + LONG[:8])]
+    assert [(b.post_id, b.post_number, b.post_url) for b in two.blocks] == [("", "2", "")]
+
+
+def test_text_dates_help_an_opener():
+    """Before forty other strings nothing dates the opener but its whole text."""
+    words = "".join(f"<i>{w}</i>" for w in ["w w"] * 41)
+    opener = f'<td>{words} said on Jan <u>1, 2024 9:00am</u> and more words after it</td>'
+    post = f'<td><a href="/thread/post/5"># 2</a> {LONG} Jan 5, 2024 1:05pm</td>'
+    blocks = parse.parse_html(f"<table><tr>{opener}{post}</tr></table>", 1, "")["blocks"]
+    assert [b["post_number"] for b in blocks][-1] == "2"
+
+
+def test_post_links_without_numbers_count_if_no_number_does():
+    """A number anchor whose own walk ends early is found from another link of its post."""
+    far = f'<div><div><p>{LONG * 80}<a href="/thread/post/5"># 2</a></p></div></div>'
+    page = dom.tree(f'<div>{far}<a href="/thread/post/6">link</a> Jan 5, 2024 1:05pm</div>')
+    marks = parse.Marks(page)
+    assert [len(x) for x in (marks.numbers, marks.permalinks)] == [1, 2]
+    assert len(parse.blocks_of(page, 2, "", marks)) == 1
+
+
 def test_bodies():
     body = "> a\n> b\nline <x>\n\n[[POST_IMAGE]]\nend"
     assert render.html_body(body, ["1.png", "2.png"]).split("\n") == [
@@ -147,6 +193,34 @@ def test_bodies():
     assert "![post image](1.png)" in render.markdown_body(body, ["1.png"]) and "[[POST_IMAGE]]" not in render.markdown_body(body, [])
 
 
+def test_numbers_beyond_a_long(spark, tmp_path):
+    from quillstack.operators import select
+    from quillstack.sources import readers
+
+    huge = "9" * 20
+    p = posts(spark, ("1", "5", "", 5, "a", "", "", []), ("2", huge, "", None, "a", "", "", []))
+    assert [x.post_id for x in select.filter_by_pages(p, f"3-{huge}").collect()] == ["1"]
+    assert [x.post_id for x in select.filter_by_post_numbers(p, f"#{'8' * 5000}", "5").collect()] == ["1"]
+    many = ",".join(str(i) for i in range(1, 400, 2))
+    assert [x.post_id for x in select.filter_by_post_numbers(p, many).collect()] == ["1"]
+    (tmp_path / "sel").write_text(f"{huge} 3-{huge}")
+    assert sorted(map(tuple, readers.read_selection_file(spark, f"{tmp_path}/sel").collect())) == [(3, select.LARGEST), (select.LARGEST, select.LARGEST)]
+    specs = spark.createDataFrame([(1, "7-20000, 5"), (2, f"{huge}"), (3, None)], "id int, spec string")
+    got = select.expand_ranges(specs, "id", "spec").collect()
+    assert sorted(x.value for x in got if x.id == 1) == [5, *range(7, 20001)] and [x.value for x in got if x.id != 1] == [select.LARGEST]
+
+
+def test_names_are_compared_as_shown(spark):
+    from quillstack.operators import report, select
+
+    names = ["A  B", "A B", "\u00a0A B", "a&amp;b", "a&b", None, "&nbsp;"]
+    p = posts(spark, *[(str(i), str(i), "", 1, n, "", "", []) for i, n in enumerate(names)])
+    assert sorted((x.author, x.post_count, x.rank) for x in report.top_authors(p).collect()) == [("A B", 3, 1), ("Unknown", 2, 2 + 1), ("a&b", 2, 2)]
+    assert report.author_totals(p).first().distinct_users == 3
+    assert sorted(x.post_id for x in select.filter_by_users(p, "a&amp;b").collect()) == ["3", "4"]
+    assert merge.repair_added_vs_replaced(p.filter("post_id = 3").withColumn("post_number", F.lit("4")), p.filter("post_id = 4")).first().added == 1
+
+
 def test_range_join_beyond_the_broadcast_bound(spark, monkeypatch):
     from quillstack.operators import select
 
@@ -155,5 +229,9 @@ def test_range_join_beyond_the_broadcast_bound(spark, monkeypatch):
     number = select.number_of(F.col("post_number"))
     expected = sorted([*range(3, 10), 30])
     assert sorted(int(x.post_id) for x in select.range_selection_join(p, ranges, number).collect()) == expected
+    odd = p.select("*").withColumn("thread_id", F.when(F.col("post_id") < "5", F.col("thread_id"))).withColumn("half", F.col("post_id").cast("double") + 0.5)
+    loose = ranges.unionByName(spark.createDataFrame([(None, 1, 99), ("t", 9, 3)], ranges.schema))
+    few = sorted(x.post_id for x in select.range_selection_join(odd, loose, F.col("half")).collect())
     monkeypatch.setattr(select, "BROADCAST_RANGES", 1)
+    assert sorted(x.post_id for x in select.range_selection_join(odd, loose, F.col("half")).collect()) == few and few
     assert sorted(int(x.post_id) for x in select.range_selection_join(p, ranges, number).collect()) == expected
