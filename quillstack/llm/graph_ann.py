@@ -9,7 +9,7 @@ search for it through the graph of the nodes before it, thinned so that a candid
 kept neighbour is closer to it by a relaxed factor, and linked back; over-full nodes are thinned again.
 A built graph is one row of a staged table.
 
-Queries are dealt in blocks to every shard (a stated query set against all rows, in blocks); a
+Queries are dealt in blocks of up to ``BLOCK_ROWS`` to every shard (a stated query set against all rows, in blocks); a graph travels once per block; a
 beam search runs all queries of a block in step.  What it finds is scored exactly, in double precision on the
 original vectors, and the shards' lists are merged.
 
@@ -33,8 +33,9 @@ from pyspark.sql.window import Window
 from quillstack.staging import Stage
 
 #: Links kept by thinning, beams of building and searching, relaxation.
-DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 112, 1.2
-SHARD_ROWS, BLOCK_ROWS = 16384, 1024
+DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 128, 1.2
+#: Vectors of a shard; queries of a block at most, and at least while there are too few pairs of blocks and shards to keep all cores busy.
+SHARD_ROWS, BLOCK_ROWS, FEW_ROWS = 16384, 16384, 1024
 #: Length of the longest vector of a band over that of the shortest, as a power of two.
 BAND = 3
 
@@ -254,9 +255,10 @@ def nearest(
                 rows = part.column(1).flatten().to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["ids", "rows"])
 
-    # Full blocks, however the input was partitioned: every block meets every graph once.
+    # Full blocks, however the input was partitioned: every block meets every graph once, so large blocks read few graphs.
     asked = good.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "x"])
-    n_blocks = max(1, -(-asked.count() // BLOCK_ROWS))
+    n_asked, pairs_wanted = asked.count(), 2 * spark.sparkContext.defaultParallelism
+    n_blocks = max(1, -(-n_asked // BLOCK_ROWS), min(-(-n_asked // FEW_ROWS), -(-pairs_wanted // shards)))
     asked = asked.repartition(n_blocks)
     blocks = asked.mapInArrow(block, "ids binary, rows binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
