@@ -52,13 +52,21 @@ def test_vocabulary(spark):
     urls = ["https://x.example/casino", "https://x.example/casinos", "https://free.example/", "https://free.example/free-free", "https://free.example/win", "https://free.example/winner", None, "", "SPAM", "https://x.net/clean", "https://m.example.net/en/casino"]
     assert verdict(spark, *urls) == ["block", "allow", "allow", "allow", "block", "allow", "allow", "allow", "block", "block", "allow"]
     assert U.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect() == []
-    assert U.filter_urls(spark.createDataFrame([(1, "https://x.org/casino")], "page_id long, url string"), strict=(), soft=(), rules=()).first().verdict == "allow"
+    assert U.filter_urls(spark.createDataFrame([(1, "https://x.org/casino")], "page_id long, url string"), vocabulary=(), rules=()).first().verdict == "allow"
 
 
 def test_hits_match_regular_expressions():
-    terms = tuple(sorted({*U.STRICT, *U.SOFT}))
+    terms = U.terms_of(U.VOCABULARY)
     for url in ("free-winwin.bet/win/free_deal", "xxx", "axxx.xxxb", "cheap" * 3 + "/cheap", "éfree", "free1 1free free"):
-        assert U.term_hits(url, terms) == {t for t in terms if re.search(f"(^|[^a-z0-9]){t}([^a-z0-9]|$)", url)}
+        assert U.term_hits(url, terms) == {t: w for t, w in terms if re.search(f"(^|[^a-z0-9]){t}([^a-z0-9]|$)", url)}
+
+
+def test_vocabulary_of_a_table(spark):
+    rows = [("Bad", 2), ("so", 1), ("so", 1), ("meh", 1), (None, 2), ("", 2), ("none", None)]
+    table = spark.createDataFrame(rows, "term string, weight int")
+    urls = spark.createDataFrame([(1, "http://a.b/bad"), (2, "http://a.b/so-so"), (3, "http://a.b/so/MEH"), (4, "http://a.b/none"), (5, "x" * 200_000 + "-bad")], "page_id long, url string")
+    got = {x.page_id: (x.verdict, x.weight) for x in U.filter_urls(urls, rules=(), vocabulary=table).collect()}
+    assert got == {1: ("block", 2), 2: ("allow", 1), 3: ("block", 2), 4: ("allow", 0), 5: ("block", 2)}
 
 
 def test_oracle(spark):
