@@ -136,7 +136,7 @@ def _linked(key: np.ndarray, home: np.ndarray, value: np.ndarray, node: np.ndarr
 
 def links(stage: Stage, nodes: DataFrame, bits: int = 3) -> DataFrame:
     """(a, b): links that join all nodes whose prints differ in at most ``bits`` (up to three) bits."""
-    met = _meetings(nodes)
+    met = stage.put("met", _meetings(nodes))
     heavy = met.groupBy("anchor").agg(F.count_if(~F.col("visitor")).alias("homes"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > VISITORS) | (F.col("homes") > HOMES))
     heavy = stage.put("heavy", heavy.select("anchor", F.ceil(F.col("homes") / HOMES).cast("int").alias("rows"), F.ceil(F.col("n") / VISITORS).cast("int").alias("columns")))
     # A home is compared with the visitors of all columns of its row; it also stands in its own column, as one that is visited.
