@@ -6,7 +6,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quillstack.staging import Stage
 
 #: Rows of an Arrow batch: whole texts are long, and a batch is held on both sides.
 BATCH_ROWS = 1000
@@ -39,3 +43,15 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
 def texts(column: pa.Array) -> list[str]:
     """Python strings; a null is an empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def within_bytes(stage: Stage, sample: DataFrame, fit_bytes: int) -> DataFrame:
+    """Rows (doc_id, text, ...) of a sample of bounded rows whose texts have at most ``fit_bytes`` in all, in order of a hash of the id.
+
+    Texts over a sixteenth of that are left out: a few of them would take the place of all others.  Only sizes pass the window.
+    """
+    rows = stage.put("sample", sample.withColumn("__row", F.monotonically_increasing_id()))
+    sizes = rows.select("__row", "doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).filter(F.col("size") <= fit_bytes // 16)
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    kept = stage.put("fits", sizes.select("__row", upto.alias("upto")).filter(F.col("upto") <= fit_bytes).select("__row"))
+    return rows.join(kept, "__row", "left_semi").drop("__row")

@@ -4,7 +4,7 @@ N-grams of one to three characters of the lower-cased text go to hashed buckets.
 value is its share of the text's n-grams times its inverse document frequency, counted over all
 learnable documents.  Follow-the-regularised-leader with elastic-net penalties learns the
 weights from a bounded sample (about ``per_class`` documents of each language, chosen by a hash of the
-id); one temperature, fitted on sampled documents kept out of the learning, calibrates the scores.
+id, with ``fit_bytes`` of text at most); one temperature, fitted on sampled documents kept out of the learning, calibrates the scores.
 
 Defined cases: a null text and a text without a letter are ``und`` with score 1 (nothing else
 can be said of them).  Ties go to the alphabetically first language.  Repeated rows are scored each.  Without
@@ -24,20 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import ngrams
-from quillstack.llm.batches import bounded, small_batches, texts
+from quillstack.llm.batches import bounded, small_batches, texts, within_bytes
+from quillstack.staging import Stage
 
 SIZES, BITS = (1, 2, 3), 16
 SCALE = 40.0
 WORD = re.compile(r"[^\W\d_]")
 
-
 def has_letter(text: str) -> bool:
     """Superscripts and the like look like word characters but are no letters."""
     return any(x[0].isalpha() for x in WORD.finditer(text))
 
 
-
-
 def held_out(id_col: str) -> Column:
     """Documents that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -130,8 +128,8 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, *, alpha: float = 0.3, bet
     return model
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int) -> Model | None:
-    """Fits in one task, over a sample bounded by ``per_class``."""
+def train(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_class: int, fit_bytes: int) -> Model | None:
+    """Fits in one task, over a sample bounded by ``per_class`` and ``fit_bytes``."""
     learn = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     counts = {x["lang"]: x["count"] for x in learn.groupBy("lang").count().collect()}  # a row per language
     if not counts:
@@ -148,14 +146,15 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_class:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in rows], idf))], pa.binary())], names=["model"])
 
-    found = sample.select("doc_id", "text", "lang").repartition(1).mapInArrow(run, "model binary").collect()
+    fitted = within_bytes(Stage(spark, "langid"), sample.select("doc_id", "text", "lang"), fit_bytes)
+    found = fitted.repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
 
 
-def identify(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 1500) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = 1500, fit_bytes: int = 1 << 26) -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per document."""
     small_batches(spark)
-    model = train(docs, id_col, text_col, lang_col, per_class)
+    model = train(spark, docs, id_col, text_col, lang_col, per_class, fit_bytes)
     held = spark.sparkContext.broadcast(model)  # a number per language and bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

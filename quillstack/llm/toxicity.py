@@ -2,9 +2,10 @@
 
 A feature says that a hashed n-gram of three to six characters occurs at least once, twice or four
 times in the whole lower-cased text.  Its scale is the log ratio of its smoothed document shares among toxic and other
-labelled documents; the most significant ratios are kept.  Logistic regression on the scaled
+labelled documents.  The model has at most ``features`` features: those whose shares differ by over ``deviations`` standard
+deviations, the most significant ones first.  Logistic regression on the scaled
 features gives the score.  The fit uses a bounded sample of labelled documents (at most
-``per_class`` of each label, the smallest by a hash of the id); scoring is a narrow job.
+``per_class`` of each label, the smallest by a hash of the id, with ``fit_bytes`` of text at most); scoring is a narrow job.
 
 Defined cases: a null text is empty.  A document labelled more than once is toxic if any label
 says so; null labels say nothing.  An empty text has the score of no evidence.  Without two labels to learn from
@@ -25,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import ngrams
-from quillstack.llm.batches import bounded, small_batches, texts
+from quillstack.llm.batches import bounded, small_batches, texts, within_bytes
 from quillstack.llm.langid import held_out
+from quillstack.staging import Stage
 
 SIZES, BITS = (3, 4, 5, 6), 20
 LEVELS = (1, 2, 4)
-FEATURES = 1 << 14
 THRESHOLD = 0.7
 
 
@@ -43,7 +44,7 @@ class Model:
     @cached_property
     def number(self) -> np.ndarray:
         """Feature of each level and bucket, -1 for none; made where it is used, so that the model itself is small."""
-        table = np.full(len(LEVELS) << BITS, -1, dtype=np.int16)
+        table = np.full(len(LEVELS) << BITS, -1, dtype=np.int16 if len(self.chosen) < 1 << 15 else np.int32)
         table[self.chosen] = np.arange(len(self.chosen))
         return table.reshape(len(LEVELS), -1)
 
@@ -72,7 +73,7 @@ def present(batch: list[str], number: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row[at], feature[level, at]
 
 
-def fit(rows: list[tuple[str, int]], *, smooth: float = 1.0, l2: float = 3e-3, steps: int = 300) -> Model:
+def fit(rows: list[tuple[str, int]], *, features: int = 1 << 14, deviations: float = 3.0, smooth: float = 1.0, l2: float = 3e-3, steps: int = 300) -> Model:
     """Learns from (text, label) with both labels present."""
     label = np.array([y for _, y in rows], dtype=float)
     counts = np.zeros((2, len(LEVELS) << BITS), dtype=np.float32)
@@ -85,30 +86,28 @@ def fit(rows: list[tuple[str, int]], *, smooth: float = 1.0, l2: float = 3e-3, s
     share += smooth
     share /= n[:, None] + 2 * smooth
     spread = np.sqrt(share[1] * (1 - share[1]) / n[1] + share[0] * (1 - share[0]) / n[0])
-    strong = np.flatnonzero(np.abs(share[1] - share[0]) > 3 * spread)
+    strong = np.flatnonzero(np.abs(share[1] - share[0]) > deviations * spread)
     significance = np.abs(share[1] - share[0])[strong] / spread[strong]
-    chosen = np.sort(strong[np.argsort(-significance, kind="stable")[:FEATURES]])
+    chosen = np.sort(strong[np.argsort(-significance, kind="stable")[:features]])
     ratio = np.log(share[1, chosen] / share[0, chosen])
     made = Model(chosen, np.zeros(0), 0.0)
-    scale = np.zeros(FEATURES)
-    scale[: len(chosen)] = ratio
     parts = [present([t for t, _ in rows[i : i + 200]], made.number) for i in range(0, len(rows), 200)]
     row, feature = np.concatenate([r + 200 * k for k, (r, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])
-    value = scale[feature]
-    w, speed, bias, bias_speed = np.zeros(FEATURES), np.full(FEATURES, 1e-8), 0.0, 1e-8
+    value = ratio[feature]
+    w, speed, bias, bias_speed = np.zeros(len(chosen)), np.full(len(chosen), 1e-8), 0.0, 1e-8
     balance = np.where(label == 1, len(label) / (2 * n[1]), len(label) / (2 * n[0]))
     for _ in range(steps):
         p = sigmoid(np.bincount(row, value * w[feature], minlength=len(rows)) + bias)
         error = (p - label) * balance / len(rows)
-        g = np.bincount(feature, value * error[row], minlength=FEATURES) + l2 * w
+        g = np.bincount(feature, value * error[row], minlength=len(chosen)) + l2 * w
         speed += g * g
         bias_speed += error.sum() ** 2
         w -= 0.1 * g / np.sqrt(speed)
         bias -= 0.1 * error.sum() / np.sqrt(bias_speed)
-    return Model(chosen.astype(np.int32), (w * scale)[: len(chosen)].astype(np.float32), float(bias))
+    return Model(chosen.astype(np.int32), (w * ratio).astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_class: int) -> Model | None:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, *, per_class: int, fit_bytes: int, features: int, deviations: float) -> Model | None:
     """Fits in one task over the bounded sample; only its ids pass the driver."""
     told = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     told = told.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -120,21 +119,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sorted({(d, t or "", y) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3)))})
         if len({y for *_, y in known}) == 2:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in known]))], pa.binary())], names=["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in known], features=features, deviations=deviations))], pa.binary())], names=["model"])
 
-    found = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    found = within_bytes(Stage(spark, "toxicity"), rows, fit_bytes).repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
 
 
 def score(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, threshold: float = THRESHOLD, learn_from: DataFrame | None = None
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    per_class: int = 4000,
+    fit_bytes: int = 1 << 26,
+    features: int = 1 << 14,
+    deviations: float = 3.0,
+    threshold: float = THRESHOLD,
+    learn_from: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per document.
 
     ``learn_from`` holds the texts of labelled documents; it is ``docs`` itself by default.
     """
     small_batches(spark)
-    model = train(docs if learn_from is None else learn_from, labels, id_col, text_col, label_col, per_class)
+    learn = docs if learn_from is None else learn_from
+    model = train(spark, learn, labels, id_col, text_col, label_col, per_class=per_class, fit_bytes=fit_bytes, features=features, deviations=deviations)
     held = spark.sparkContext.broadcast(model)  # bounded by the number of buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,11 +160,22 @@ def score(
 
 
 def keep_clean(
-    spark: SparkSession, docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, threshold: float = THRESHOLD
+    spark: SparkSession,
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    per_class: int = 4000,
+    fit_bytes: int = 1 << 26,
+    features: int = 1 << 14,
+    deviations: float = 3.0,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """Documents that score below the threshold; columns unchanged, no shuffle, rows without an id are judged too."""
     small_batches(spark)
-    model = train(docs, labels, id_col, text_col, label_col, per_class)
+    model = train(spark, docs, labels, id_col, text_col, label_col, per_class=per_class, fit_bytes=fit_bytes, features=features, deviations=deviations)
     if model is None:
         return docs
     held = spark.sparkContext.broadcast(model)

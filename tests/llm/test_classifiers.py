@@ -82,3 +82,110 @@ def test_toxicity_cases(spark):
     assert len(got) == 4 and {x.score for x in got} == {0.0}
     assert toxicity.score(spark, docs.limit(0), labels).collect() == []
     assert sorted(x.text or "" for x in toxicity.keep_clean(spark, docs, labels).collect()) == ["", "nice day", "you idiot " * 5, "you idiot " * 5]
+
+
+def slow_buckets(text, sizes, bits):
+    """Each n-gram hashed on its own with Python's integers."""
+    said, out = [ord(c) for c in f" {text.lower()} "], []
+    for n in sizes:
+        for i in range(len(said) - n + 1):
+            value = said[i]
+            for c in said[i + 1 : i + n]:
+                value = (value * 0x01000193 + c) % 2**32
+            out.append((((value ^ value >> 15 ^ n * 0x51ED27) * 0x9E3779B1) % 2**32) >> (32 - bits))
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "The café ÄÖ 日本 x", "ab " * 50])
+def test_ngrams_follow_their_definition(text):
+    for sizes, bits in ((langid.SIZES, langid.BITS), (toxicity.SIZES, toxicity.BITS)):
+        assert sorted(ngrams.buckets(text, sizes, bits).tolist()) == sorted(slow_buckets(text, sizes, bits))
+
+
+def test_ftrl_and_scores_follow_their_definition():
+    rows = [("the cat sat", "en"), ("le chat est", "fr"), ("a dog and a cat", "en"), ("un chien et", "fr"), ("the dog", "en"), ("la la le", "fr")]
+    idf = np.linspace(1, 2, 1 << langid.BITS)
+    made = langid.fit(rows, idf, epochs=2)
+    alpha, beta, l1, l2, names = 0.3, 1.0, 0.02, 0.05, ["en", "fr"]
+    z, n = ({c: {} for c in names} for _ in range(2))
+
+    def weight(c, k):
+        zz, nn = z[c].get(k, 0.0), n[c].get(k, 0.0)
+        return 0.0 if abs(zz) <= l1 else -(zz - np.sign(zz) * l1) / ((beta + nn**0.5) / alpha + l2)
+
+    def share(logit):
+        e = {c: np.exp(v - max(logit.values())) for c, v in logit.items()}
+        return {c: v / sum(e.values()) for c, v in e.items()}
+
+    def values(text):
+        own = slow_buckets(text, langid.SIZES, langid.BITS)
+        return {k: langid.SCALE * own.count(k) / len(own) * idf[k] for k in set(own)}
+
+    learned = [r for i, r in enumerate(rows) if i % 5 != 4]
+    order = np.random.default_rng(0)
+    for _ in range(2):
+        for i in order.permutation(len(learned)):
+            x, lang = {**values(learned[i][0]), "bias": 1.0}, learned[i][1]
+            w = {c: {k: weight(c, k) for k in x} for c in names}
+            p = share({c: sum(w[c][k] * v for k, v in x.items()) for c in names})
+            for c in names:
+                for k, v in x.items():
+                    g = (p[c] - (c == lang)) * v
+                    old = n[c].get(k, 0.0)
+                    z[c][k] = z[c].get(k, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[c][k]
+                    n[c][k] = old + g * g
+    for text in ("the cat", "le chien", "zz"):
+        want = share({c: (sum(weight(c, k) * v for k, v in values(text).items()) + weight(c, "bias")) / made.temperature for c in names})
+        assert made.scores([text])[0] == pytest.approx([want[c] for c in names], rel=1e-4)
+
+
+def test_log_count_ratios_and_scores_follow_their_definition():
+    rows = [(f"you are bad bad {i} idiot", 1) for i in range(30)] + [(f"what a nice day {i} friend", 0) for i in range(40)]
+    made = toxicity.fit(rows, features=500, deviations=3.0, steps=0)
+    held = [({(k, b) for b in set(own) for k, level in enumerate(toxicity.LEVELS) if own.count(b) >= level}, y) for t, y in rows for own in [slow_buckets(t, toxicity.SIZES, toxicity.BITS)]]
+    share = lambda f, y: (sum(f in own for own, z in held if z == y) + 1) / (sum(z == y for _, z in held) + 2)
+    every = {f for own, _ in held for f in own}
+    spread = {f: sum(share(f, y) * (1 - share(f, y)) / (30 if y else 40) for y in (0, 1)) ** 0.5 for f in every}
+    strong = {f for f in every if abs(share(f, 1) - share(f, 0)) > 3 * spread[f]}
+    chosen = {(int(c) >> toxicity.BITS, int(c) & ((1 << toxicity.BITS) - 1)) for c in made.chosen}
+    assert len(chosen) == min(500, len(strong)) and chosen <= strong
+    made = toxicity.fit(rows, steps=20)
+    w = {(int(c) >> toxicity.BITS, int(c) & ((1 << toxicity.BITS) - 1)): float(x) for c, x in zip(made.chosen, made.weight)}
+    for text in ("bad idiot you are bad bad bad", "nice friend", ""):
+        own = slow_buckets(text, toxicity.SIZES, toxicity.BITS)
+        logit = made.bias + sum(w.get((k, b), 0.0) for b in set(own) for k, level in enumerate(toxicity.LEVELS) if own.count(b) >= level)
+        assert made.scores([text])[0] == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-4)
+
+
+def test_one_step_of_the_toxicity_fit():
+    """A step of the balanced regression on features scaled by their ratios, from zero weights."""
+    rows = [(f"bad word {i} bad", 1) for i in range(12)] + [(f"good text {i} fine", 0) for i in range(24)]
+    made = toxicity.fit(rows, steps=1)
+    label = np.array([y for _, y in rows])
+    n = label.sum(), len(label) - label.sum()
+    held = [slow_buckets(t, toxicity.SIZES, toxicity.BITS) for t, _ in rows]
+    for c, w in list(zip(made.chosen.tolist(), made.weight.tolist()))[:40]:
+        k, b = c >> toxicity.BITS, c & ((1 << toxicity.BITS) - 1)
+        x = np.array([own.count(b) >= toxicity.LEVELS[k] for own in held], dtype=float)
+        ratio = np.log(((x[label == 1].sum() + 1) / (n[0] + 2)) / ((x[label == 0].sum() + 1) / (n[1] + 2)))
+        error = (0.5 - label) * np.where(label == 1, len(label) / (2 * n[0]), len(label) / (2 * n[1])) / len(label)
+        g = (x * ratio * error).sum()
+        assert w == pytest.approx(-0.1 * g / np.sqrt(1e-8 + g * g) * ratio, rel=1e-3)
+
+
+def test_fit_samples_are_bounded_in_bytes(spark):
+    from quillstack.llm.batches import within_bytes
+    from quillstack.staging import Stage
+
+    rows = spark.createDataFrame([(i, "x" * (500 if i == 3 else 10), i % 2) for i in range(200)] + [(None, None, 1)], "doc_id long, text string, label int").repartition(4)
+    kept = within_bytes(Stage(spark, "t"), rows, 1000).collect()
+    assert 95 <= len(kept) <= 101 and sum(len(x.text or "") for x in kept) <= 1000 and 3 not in {x.doc_id for x in kept}
+    assert sorted(map(str, kept)) == sorted(map(str, within_bytes(Stage(spark, "t"), rows.repartition(2), 1000).collect()))
+    assert within_bytes(Stage(spark, "t"), rows.limit(0), 1000).collect() == []
+
+
+def test_very_long_texts_are_scored(spark):
+    docs = spark.createDataFrame([(1, "kind words and " * 100_000, "en"), (2, "kind words and more", "en"), (3, "other mots et choses", "fr")] + [(i, f"ok {i}", "en") for i in range(4, 30)], "doc_id long, text string, lang string")
+    assert len(langid.identify(spark, docs).collect()) == 29
+    labels = spark.createDataFrame([(i, int(i == 2)) for i in range(1, 30)], "doc_id long, toxic int")
+    assert len(toxicity.score(spark, docs, labels).collect()) == 29
