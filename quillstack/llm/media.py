@@ -9,7 +9,7 @@ payload once per task.  ``features`` reads the stored bytes back and describes t
 items, and a payload that many documents share travels as one short row.
 
 Defined cases: null HTML or text is empty.  A reference whose digest is not stored
-keeps its position and caption with null payload columns.  Repeated rows give repeated sequences.  Text without any tag is one
+keeps its position and caption with a null payload.  Repeated rows give repeated sequences.  Text without any tag is one
 text item; blank text is none.  Empty tables give no rows.  Columns other than the id and the text are not read.
 """
 
@@ -93,9 +93,14 @@ class Interleaved(HTMLParser):
 
 def interleaved(html: str | None) -> list[dict]:
     """Items of a page with their positions from 0."""
-    parser = Interleaved()
-    parser.feed(html or "")
-    parser.close()
+    for text in (html or "", (html or "").replace("<![", "&lt;![")):
+        parser = Interleaved()
+        try:
+            parser.feed(text)
+            parser.close()
+            break
+        except AssertionError:  # a marked section that the tokeniser does not know: taken as text
+            continue
     parser.flush()
     return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
@@ -183,9 +188,13 @@ def features(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, FEATURES)
 
 
-def resolve(items: DataFrame, described: DataFrame) -> DataFrame:
-    """Every item (any columns with ``digest``) with its payload's description, null where there is none."""
-    return items.join(described, "digest", "left")
+def resolve(items: DataFrame, described: DataFrame, payload: str = "payload") -> DataFrame:
+    """Every item (any columns with ``digest``) with its payload's description as one struct, null where there is none.
+
+    A column of the items named like ``payload`` is replaced.
+    """
+    told = described.select("digest", F.struct(*(c for c in described.columns if c != "digest")).alias(payload))
+    return items.select(*(c for c in items.columns if c != payload)).join(told, "digest", "left")
 
 
 def media_rows(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
@@ -194,15 +203,22 @@ def media_rows(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
 
 
 def page_of(text: str) -> str:
-    """A page that shows a document as one figure, captioned by its first words."""
-    return f'<figure><img src="sha256:{digest_of(text)}"><figcaption>{escape(" ".join(text[:200].split()[:8]))}</figcaption></figure>'
+    """A page that shows a whole document: a paragraph per line, and between its halves a figure that stands for the document.
+
+    The figure's caption tells the document's size.
+    """
+    lines = text.split("\n")
+    figure = f'<figure><img src="sha256:{digest_of(text)}"><figcaption>{len(text)} characters in {len(lines)} lines</figcaption></figure>'
+    half = len(lines) // 2
+    return "".join([*(f"<p>{escape(x)}</p>" for x in lines[:half]), figure, *(f"<p>{escape(x)}</p>" for x in lines[half:])])
 
 
 def documents_as_media(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption).
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption, n_items, text_chars).
 
-    Each document becomes a page with one figure; its text is the figure's payload.  The page is
-    parsed into items, the payload is stored and read back, and the digest joins them.
+    Each document becomes a page of its paragraphs around one figure; the text is the figure's payload.  The page is
+    parsed into its ordered items, the payload is stored and read back, and the digest joins them.  ``position`` and ``caption`` are
+    the figure's; ``n_items`` and ``text_chars`` count all items and the characters of the text items among them.
     """
     small_batches(spark)
     stage = Stage(spark, "media")
@@ -213,9 +229,13 @@ def documents_as_media(spark: SparkSession, docs: DataFrame, *, id_col: str = "d
             items = pa.array([interleaved(page_of(t)) for t in texts(batch.column(1))], ITEMS)
             yield pa.RecordBatch.from_arrays([batch.column(0), items], names=["doc_id", "items"])
 
-    refs = stage.put("items", docs.mapInArrow(run, f"doc_id long, items array<{ITEM}>").select("doc_id", F.inline("items")).filter("kind = 'media'"))
+    pages = docs.mapInArrow(run, f"doc_id long, items array<{ITEM}>")
+    figure = F.get(F.filter("items", lambda x: x["kind"] == "media"), F.lit(0))
+    chars = F.aggregate("items", F.lit(0).cast("long"), lambda n, x: n + F.coalesce(F.length(x["text"]), F.lit(0)))
+    refs = pages.select("doc_id", figure.alias("x"), F.size("items").alias("n_items"), chars.alias("text_chars")).select("doc_id", "x.digest", "x.position", "x.caption", "n_items", "text_chars")
+    refs = stage.put("items", refs)
     stored = stage.put("stored", store(docs, "text"))
     described = features(stored)
     names = [c for c in described.columns if c != "digest"]
     described = stage.put("described", described.groupBy("digest").agg(F.min(F.struct(*names)).alias("x")).select("digest", "x.*"))
-    return resolve(refs, described).select("doc_id", *names, "position", "caption")
+    return resolve(refs, described).select("doc_id", "payload.*", "position", "caption", "n_items", "text_chars")
