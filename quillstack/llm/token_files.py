@@ -3,13 +3,16 @@
 A block holds whole documents: a header, the ids of its documents, the number of token ids
 before each, and the token ids packed in the fewest bits that the vocabulary needs.
 ``ids_between`` unpacks any range of a block with numpy and touches only the bytes of that range.
-Blocks are rows of a table that Spark writes and reads (part, block, first, n_docs, n_ids,
+Blocks are rows of a table that Spark writes and reads (part, block, first, n_docs, n_ids, first_doc, last_doc,
 payload), so they reach any store that Spark reaches and survive lost executors; files and rows are in
-the order of document ids.
+the order of document ids.  ``lookup`` finds documents by the first and last id of each block: other
+blocks' payloads are not read.
+
+Texts are tokenised where they lie; only token ids travel to their place in the order.
 
 Defined cases: a null text is empty (one end id).  Rows without an id come first.  Repeated
-ids keep their rows, ordered by text.  An empty table gives no rows.  Only the id and
-text columns are read.
+ids keep their rows, in the order of a hash of their token ids.  An empty table gives no rows.  Very long texts are blocks of their own,
+packed and unpacked in slices.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +38,8 @@ HEADER = struct.Struct("<4sBBxxIQ")
 MAGIC, VERSION = b"QTOK", 1
 #: A block ends after the document that brings it to this many ids.
 BLOCK_IDS = 1 << 18
+#: Ids that are packed or unpacked at a time; a multiple of 8, so slices begin at whole bytes.
+SLICE = 1 << 16
 
 
 def bits_for(size: int) -> int:
@@ -47,20 +53,23 @@ def pack_bits(ids: np.ndarray, bits: int) -> bytes:
         raise ValueError("an id needs more bits than the vocabulary")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
-    field = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits]
-    return np.packbits(field.reshape(-1), bitorder="little").tobytes()
+    fields = (np.unpackbits(ids[i : i + SLICE].astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :bits] for i in range(0, len(ids), SLICE))
+    return b"".join(np.packbits(f.reshape(-1), bitorder="little").tobytes() for f in fields)
 
 
 def unpack_bits(data: memoryview | bytes, bits: int, start: int, stop: int) -> np.ndarray:
     """Ids start to stop - 1 of a bit stream."""
     if bits in (8, 16, 32):
         return np.frombuffer(data, dtype=f"<u{bits // 8}", count=stop - start, offset=start * bits // 8).astype(np.uint32)
-    first, last = start * bits, stop * bits
-    raw = np.frombuffer(data, dtype=np.uint8)[first // 8 : -(-last // 8)]
-    field = np.unpackbits(raw, bitorder="little")[first % 8 :][: last - first].reshape(-1, bits)
-    wide = np.zeros((len(field), 32), dtype=np.uint8)
-    wide[:, :bits] = field
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
+    out = np.zeros(stop - start, dtype=np.uint32)
+    for a in range(start, stop, SLICE):
+        b = min(stop, a + SLICE)
+        first, last = a * bits, b * bits
+        raw = np.frombuffer(data, dtype=np.uint8, count=-(-last // 8) - first // 8, offset=first // 8)
+        wide = np.zeros((b - a, 32), dtype=np.uint8)
+        wide[:, :bits] = np.unpackbits(raw, bitorder="little")[first % 8 :][: last - first].reshape(-1, bits)
+        out[a - start : b - start] = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
+    return out
 
 
 def make_block(docs: list[int | None], counts: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
@@ -89,37 +98,83 @@ class Block:
         return self.ids_between(int(self.before[k]), int(self.before[k + 1]))
 
 
-def blocks(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Blocks in ascending order of ids: one range shuffle, tokenised after it."""
+BLOCKS = "part int, block int, first long, n_docs long, n_ids long, first_doc long, last_doc long, payload binary"
+
+
+def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, tie, ids): the ids of every document in the fewest whole bytes, with a hash that orders rows of one id; a narrow job."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = width_of(tokenizer_path, end_id)
+        for batch, ids, sizes in tokens.encoded(batches, tokenizer_path):
+            ends = np.cumsum(sizes)
+            data = np.insert(ids, ends, end_id).astype(width).tobytes()
+            upto = (np.r_[0, ends + 1 + np.arange(len(ends))] * width.itemsize).tolist()
+            packed = [data[a:b] for a, b in zip(upto, upto[1:])]
+            tie = np.array([xxhash.xxh64_intdigest(x) for x in packed], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tie), pa.array(packed, pa.binary())], names=["doc_id", "tie", "ids"])
+
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, tie long, ids binary")
+
+
+def width_of(tokenizer_path: str, end_id: int) -> np.dtype:
+    """Whole bytes of an id on its way."""
+    return np.dtype("<u2" if max(tokens.tokenizer(tokenizer_path).size, end_id + 1) <= 1 << 16 else "<u4")
+
+
+def blocks(rows: DataFrame, tokenizer_path: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """Blocks of tokenised rows (doc_id, tie, ids) in ascending order of ids: one range shuffle.
+
+    The rows are read twice (the ranges are sampled), so they should be staged.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, bits = TaskContext.get().partitionId(), bits_for(max(tokens.tokenizer(tokenizer_path).size, end_id + 1))
+        part, bits, width = TaskContext.get().partitionId(), bits_for(max(tokens.tokenizer(tokenizer_path).size, end_id + 1)), width_of(tokenizer_path, end_id)
         first = k = 0
-        docs, counts, held, n = [], [], [], 0
+        docs, held, n = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal first, k, docs, counts, held, n
-            payload = make_block(docs, np.array(counts), np.concatenate(held), bits)
-            row = [[part], [k], [first], [len(docs)], [n], [payload]]
-            first, k, docs, counts, held, n = first + n, k + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "block", "first", "n_docs", "n_ids", "payload"])
+            nonlocal first, k, docs, held, n
+            ids = np.frombuffer(b"".join(held), dtype=width).astype(np.uint32)
+            payload = make_block(docs, np.array([len(x) // width.itemsize for x in held]), ids, bits)
+            known = [d for d in docs if d is not None]
+            row = [part, k, first, len(docs), n, min(known, default=None), max(known, default=None), payload]
+            first, k, docs, held, n = first + n, k + 1, [], [], 0
+            kinds = (pa.int32(), pa.int32(), *(pa.int64() for _ in range(5)), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-        tail = np.array([end_id], dtype=np.uint32)
-        for batch, ids, sizes in tokens.encoded(batches, tokenizer_path):
-            ends = np.cumsum(sizes).tolist()
-            for doc, a, b in zip(batch.column(0).to_pylist(), [0, *ends], ends):
+        for batch in batches:
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 docs.append(doc)
-                counts.append(b - a + 1)
-                held += [ids[a:b], tail]
-                n += b - a + 1
+                held.append(ids.as_py())
+                n += len(held[-1]) // width.itemsize
                 if n >= block_ids:
                     yield flush()
         if docs:
             yield flush()
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = chosen.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return ordered.mapInArrow(run, "part int, block int, first long, n_docs long, n_ids long, payload binary")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS)
+
+
+def lookup(written: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the named documents.  Only blocks that may hold one are unpacked, and of these only the documents' own ranges."""
+    wanted = sorted(set(doc_ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(wanted, dtype=np.int64)
+        for batch in batches:
+            for payload in batch.column(0):
+                block = Block(payload.as_py())
+                at = np.flatnonzero(np.isin(block.keys, names))
+                yield pa.RecordBatch.from_arrays([pa.array(block.keys[at].astype(np.int64)), pa.array([block.document(i).tolist() for i in at], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    near = F.lit(False)
+    for i in range(0, len(wanted), max(1, -(-len(wanted) // 64))):
+        own = wanted[i : i + max(1, -(-len(wanted) // 64))]
+        near = near | ((F.col("first_doc") <= own[-1]) & (F.col("last_doc") >= own[0]))
+    return written.filter(near).select("payload").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def read_documents(written: DataFrame) -> DataFrame:
@@ -141,7 +196,9 @@ def write_and_read(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *,
     """(doc_id, start, n_tokens, ids_crc32) as read back from the written blocks."""
     small_batches(spark)
     stage = Stage(spark, "tokens")
-    written = stage.put("blocks", blocks(docs, tokenizer_path, end_id, id_col, text_col))
+    rows = stage.put("ids", tokenised(docs, tokenizer_path, end_id, id_col, text_col))
+    written = stage.put("blocks", blocks(rows, tokenizer_path, end_id))
+    stage.drop("ids")
     # One row per written part: a running sum over parts needs no more than their number.
     totals = written.groupBy("part").agg(F.sum("n_ids").alias("n"))
     base = stage.put("base", totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")))

@@ -4,10 +4,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from quillstack.llm import packing, token_files, tokens
-from quillstack.staging import read_table
+from quillstack.staging import Stage, read_table
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 ROWS = [(5, "the cat's hat", "x"), (1, None, "x"), (9, "", "x"), (None, "no id", "x"), (3, "wörd " * 5000, "x"), (3, "again", "x"), (3, "again", "x"), (7, "日本語 <|endoftext|> it'll", "x")]
@@ -113,8 +114,21 @@ def test_pack(spark, capacity):
     assert packing.pack(spark, df.limit(0), path).collect() == []
 
 
+def test_lookup_reads_few_blocks(spark):
+    path = public_tokenizers.path(FILES[1])
+    df = spark.createDataFrame([(i * 3, f"document number {i} " * (i % 5), "x") for i in range(200)] + [(None, "no id", "x")], "doc_id long, text string, ids string")
+    stage = Stage(spark, "t")
+    rows = stage.put("ids", token_files.tokenised(df, path, 2))
+    written = stage.put("blocks", token_files.blocks(rows, path, 2, block_ids=64))
+    assert written.count() > 20
+    got = {x.doc_id: x.ids for x in token_files.lookup(written, [0, 300, 301, 597, 9999]).collect()}
+    assert got == {d: [*ids_of(path, f"document number {d // 3} " * (d // 3 % 5)), 2] for d in (0, 300, 597)}
+    assert token_files.lookup(written, []).collect() == []
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
-def test_bits_round_trip(bits):
+def test_bits_round_trip(bits, monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 64)
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 999, dtype=np.uint64).astype(np.uint32)
     data = token_files.pack_bits(ids, bits)
     assert len(data) == -(-999 * bits // 8)
@@ -133,7 +147,8 @@ def test_write_and_read(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, start string").repartition(3)
     got = sorted(map(tuple, token_files.write_and_read(spark, df, path).collect()), key=lambda x: x[1])
     want, at = [], 0
-    for d, t, _ in sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
+    tie = lambda t: np.uint64(xxhash.xxh64_intdigest(np.array([*ids_of(path, t), 2], dtype="<u2").tobytes())).astype(np.int64)
+    for d, t, _ in sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0, tie(x[1]))):
         ids = np.array([*ids_of(path, t), 2], dtype="<u4")
         want.append((d, at, len(ids), zlib.crc32(ids)))
         at += len(ids)
