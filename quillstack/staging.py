@@ -41,10 +41,12 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{job}-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.count = 0
 
     def put(self, name: str, df: DataFrame, *, partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Write ``df`` once and return a reader of what was written."""
-        path = f"{self.root}/{name}-{len(self.paths)}"
+        path = f"{self.root}/{name}-{self.count}"
+        self.count += 1
         writer = df.write.mode("overwrite").option("compression", "zstd")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
@@ -60,4 +62,3 @@ class Stage:
             if path:
                 where = jvm.org.apache.hadoop.fs.Path(path)
                 where.getFileSystem(conf).delete(where, True)
-                self.paths[f"dropped {path}"] = ""
