@@ -1,18 +1,19 @@
-"""Best-fit packing of tokenised documents into sequences of fixed capacity.
-
-Pieces of equal length are alike, so documents and gaps are range-sorted by class: a piece is
-(length, rank among its length), a gap is (free tokens, rank).  A sweep takes the lengths in
-descending order; each length looks for its successor among the gaps, the smallest that
-still holds it, and proposes all its ranks there.  Conflicts are settled by rank: the first
-ranks take the gap class's first sequences, the rest go on to the next larger gap, and what no
-gap holds opens sequences.  Gaps are updated and the next length follows.  One sweep
-over classes does what rounds over single documents would do, because a whole class moves at once.
-
-There are at most ``capacity`` lengths and ``capacity`` gaps, so the sweep's tables are bounded by
-the capacity and not by the corpus; they are all that reaches the driver.  Ranks are dealt
+"""Best-fit packing of tokenised documents into sequences of fixed capacity, in bulk-synchronous rounds.
+
+Pieces of equal length are alike, so documents and gaps are kept as runs: a piece is
+(length, rank among its length), a gap is (free tokens, sequence).  Both are range-partitioned by size, each
+range half as large as the one before.  In a round all ranges sweep their own pieces and gaps at
+the same time: from the longest piece down each takes its successor, the smallest gap that still holds it.
+Conflicts are settled by rank: the first ranks get the gap's first sequences, the rest go on to the next larger
+gap.  Gaps are updated and dealt to their new ranges for the next round.  A piece that no gap of its
+range holds waits there, since gaps of its size still appear; only the longest pieces left, which no other piece can
+be ahead of, climb from range to range, and in the range of the largest gaps they open sequences.  Rounds end when every piece has its place.
+
+There are at most ``capacity`` lengths and ``capacity`` gaps, so runs are bounded by
+the capacity and not by the corpus; every round is a staged table.  Ranks are dealt
 without a shuffle by length (a third of all documents may have one length): each task counts
-its own pieces by length while it tokenises, and a prefix sum over (length, task) makes the ranks global.
-Every document then finds its run of the sweep by (length, rank).
+its own pieces by length while it tokenises, and a prefix sum over (length, task), joined by a sort and never broadcast, makes the ranks global.
+Every document then finds its run by (length, rank).
 
 Defined cases: a null text is empty (one end id).  Repeated rows are packed each.  An
 empty table gives no rows.  Only the id and text columns are read.
@@ -22,8 +23,9 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,10 @@ from quillstack.llm import tokens
 from quillstack.llm.batches import small_batches
 from quillstack.staging import Stage
 
+#: The last range of sizes: a sixteenth of the capacity and less.
+LAST = 4
+STATE = "kind string, size int, first long, n long, at int, sequence long, offset int"
+KINDS = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
@@ -64,43 +70,91 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, ranks per sequence, first sequence, offset) that place all pieces.
+def range_of(size: int, capacity: int) -> int:
+    """0 for sizes over half the capacity, 1 for those over a quarter, and so on up to ``LAST``."""
+    return min(LAST, (capacity // size).bit_length() - 1)
 
-    The pieces of a run fill its sequences one after another, ``ranks per sequence`` in each.
+
+Run = tuple[int, int, int]
+
+
+def sweep(pieces: list[Run], gaps: list[Run], capacity: int, fresh: int | None) -> tuple[list[tuple[int, int, int, int, int]], list[Run], list[Run], int | None]:
+    """Best fit of runs of pieces (length, first rank, number) in runs of gaps (free, first sequence, number), longest first.
+
+    Gives runs (length, first rank, pieces per sequence, first sequence, offset), whose pieces fill their sequences one after
+    another, then pieces without a gap, gaps, and the next new sequence.  Sequences are opened only if ``fresh`` is a number.
     """
-    gaps: list[int] = []
-    free: dict[int, list[tuple[int, int]]] = {}
-    runs, opened = [], 0
+    order: list[int] = []
+    free: dict[int, deque[tuple[int, int]]] = {}
+    runs, left = [], []
 
     def give(gap: int, first: int, last: int) -> None:
         if gap and first < last:
             if gap not in free:
-                insort(gaps, gap)
-                free[gap] = []
+                insort(order, gap)
+                free[gap] = deque()
             free[gap].append((first, last))
 
-    for length in sorted(counts, reverse=True):
-        rank, n = 0, counts[length]
-        while rank < n:
-            at = bisect_left(gaps, length)
-            if at == len(gaps):
-                gap, first, last = capacity, opened, opened + -(-(n - rank) // (capacity // length))
-                opened = last
-            else:
-                gap = gaps[at]
-                first, last = free[gap].pop(0)
+    for gap, first, n in sorted(gaps):
+        give(gap, first, first + n)
+    for length, rank, n in sorted(pieces, key=lambda x: (-x[0], x[1])):
+        end = rank + n
+        while rank < end:
+            at = bisect_left(order, length)
+            if at < len(order):
+                gap = order[at]
+                first, last = free[gap].popleft()
                 if not free[gap]:
-                    del free[gap], gaps[at]
+                    del free[gap], order[at]
+            elif fresh is None:
+                left.append((length, rank, end - rank))
+                break
+            else:
+                gap, first = capacity, fresh
+                fresh = last = first + -(-(end - rank) // (capacity // length))
             each = gap // length
-            full, over = divmod(min(n - rank, each * (last - first)), each)
+            full, over = divmod(min(end - rank, each * (last - first)), each)
             runs.append((length, rank, each, first, capacity - gap))
             rank += full * each + over
             give(gap - each * length, first, first + full)
             if over:
                 give(gap - over * length, first + full, first + full + 1)
             give(gap, first + full + bool(over), last)
-    return runs
+    return runs, left, [(gap, first, last - first) for gap in order for first, last in free[gap]], fresh
+
+
+def rounds(stage: Stage, pieces: DataFrame, capacity: int) -> DataFrame:
+    """(size, first, n, sequence, offset): runs that place all pieces (size, n), as ``sweep`` gives them."""
+    spark = stage.spark
+    size_range = F.least(F.lit(LAST), F.length(F.bin((F.lit(capacity) / F.col("size")).cast("long"))) - 1).cast("int")
+    state = pieces.select(F.lit("piece").alias("kind"), F.col("size").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), size_range.alias("at"), F.lit(0).cast("long").alias("sequence"), F.lit(0).alias("offset"))
+    state = stage.put("round", state.unionByName(spark.createDataFrame([("next", 0, 0, 0, 0, 0, 0)], STATE)))
+    placed = []
+    while True:
+        longest = state.filter("kind = 'piece'").agg(F.max("size")).first()[0]
+        if longest is None:
+            break
+        front = range_of(longest, capacity)
+
+        def work(table: pa.Table) -> pa.Table:
+            here, rows = table.column("at")[0].as_py(), {"piece": [], "gap": [], "next": []}
+            for kind, *row in zip(*(table.column(c).to_pylist() for c in ("kind", "size", "first", "n"))):
+                rows[kind].append(tuple(row))
+            fresh = rows["next"][0][1] if rows["next"] else None
+            runs, left, gaps, fresh = sweep(rows["piece"], rows["gap"], capacity, fresh)
+            out = [("run", *run[:2], run[2], -1, *run[3:]) for run in runs]
+            # Only pieces of the front move: nothing longer can want the gaps that they come to.
+            out += [("piece", size, first, n, here - (range_of(size, capacity) == front), 0, 0) for size, first, n in left]
+            out += [("gap", size, first, n, range_of(size, capacity), 0, 0) for size, first, n in gaps]
+            if fresh is not None:
+                out.append(("next", 0, fresh, 0, 0, 0, 0))
+            return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, KINDS)], names=[x.split()[0] for x in STATE.split(", ")])
+
+        done = stage.put("round", state.groupBy("at").applyInArrow(work, STATE))
+        placed.append(done.filter("kind = 'run'"))
+        state = done.filter("kind <> 'run'")
+    none = state.filter("kind = 'run'")
+    return reduce(DataFrame.unionByName, placed, none).select("size", "first", "n", "sequence", "offset")
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,8 +165,8 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, capacity:
     own = made.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = stage.put("base", own.select("length", "part", "n", F.coalesce(before, F.lit(0)).alias("base")))
-    counts = {x.length: x.n for x in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    runs = np.array(sorted(sweep(counts, capacity)), dtype=np.int64).reshape(-1, 5)
+    counts = stage.put("counts", base.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")))  # at most `capacity` rows
+    runs = np.array(sorted(map(tuple, rounds(stage, counts, capacity).collect())), dtype=np.int64).reshape(-1, 5)  # bounded by the capacity
     shift = np.int64(1) << 44
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,5 +176,5 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, *, capacity:
             _, lo, each, first, offset = runs[np.searchsorted(begin, length * shift + rank, side="right") - 1].T
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(first + (rank - lo) // each), pa.array(offset + (rank - lo) % each * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = made.join(base.drop("n"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
+    ranked = made.join(base.drop("n").hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

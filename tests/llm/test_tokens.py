@@ -66,32 +66,56 @@ def test_table_that_begins_anew(monkeypatch):
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [made.library.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def best_fit(sizes, capacity):
+    """Free tokens of all sequences after best-fit decreasing, one document at a time."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [g for g in gaps if g >= s]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - s)
+        else:
+            gaps.append(capacity - s)
+    return gaps
+
+
+def filled(counts, runs, capacity):
+    """Sequences that the runs fill, all of them whole and without holes."""
+    placed, runs = {}, sorted(runs)
+    for s, n in counts.items():
+        for rank in range(n):
+            _, lo, each, first, offset = max(x for x in runs if x[0] == s and x[1] <= rank)
+            placed.setdefault(first + (rank - lo) // each, []).append((offset + (rank - lo) % each * s, s))
+    for rows in placed.values():
+        at = 0
+        for offset, s in sorted(rows):
+            assert offset == at
+            at += s
+        assert at <= capacity
+    return placed
+
+
 def test_sweep_is_best_fit_decreasing():
     r = random.Random(5)
     for _ in range(60):
         capacity = r.choice([7, 20, 64])
-        sizes = sorted((r.randint(1, capacity) for _ in range(r.randint(0, 200))), reverse=True)
-        gaps = []
-        for s in sizes:
-            fits = [g for g in gaps if g >= s]
-            if fits:
-                gaps.remove(min(fits))
-                gaps.append(min(fits) - s)
-            else:
-                gaps.append(capacity - s)
+        sizes = [r.randint(1, capacity) for _ in range(r.randint(0, 200))]
         counts = {s: sizes.count(s) for s in sizes}
-        placed, runs = {}, sorted(packing.sweep(counts, capacity))
-        for s, n in counts.items():
-            for rank in range(n):
-                _, lo, each, first, offset = max(x for x in runs if x[0] == s and x[1] <= rank)
-                placed.setdefault(first + (rank - lo) // each, []).append((offset + (rank - lo) % each * s, s))
-        for rows in placed.values():
-            at = 0
-            for offset, s in sorted(rows):
-                assert offset == at
-                at += s
-            assert at <= capacity
-        assert len(placed) == len(gaps)
+        runs, left, _, fresh = packing.sweep([(s, 0, n) for s, n in counts.items()], [], capacity, 0)
+        assert not left and len(filled(counts, runs, capacity)) == len(best_fit(sizes, capacity)) == fresh
+
+
+@pytest.mark.parametrize("kind", ["any", "short", "middle", "tiny", "one length", "none"])
+def test_rounds_need_as_few_sequences_as_best_fit(spark, kind):
+    r = random.Random(6)
+    make = {"any": lambda: r.randint(1, 256), "short": lambda: r.randint(1, 60), "middle": lambda: r.randint(60, 100), "tiny": lambda: r.randint(1, 9), "one length": lambda: 100, "none": lambda: 1}[kind]
+    sizes = [make() for _ in range(0 if kind == "none" else 2500)]
+    counts = {s: sizes.count(s) for s in sizes}
+    table = spark.createDataFrame([(s, n) for s, n in counts.items()], "size int, n long")
+    runs = [tuple(x) for x in packing.rounds(Stage(spark, "t"), table, 256).collect()]
+    placed = filled(counts, runs, 256)
+    assert sum(map(len, placed.values())) == len(sizes)
+    assert len(placed) <= len(best_fit(sizes, 256)) * 1.005 + 1 and sorted(placed) == list(range(len(placed)))
 
 
 @pytest.mark.parametrize("capacity", [16, 2048])
