@@ -2,12 +2,13 @@
 
 Candidates are complete.  Documents of equal shingle sets are linked to the smallest and stand as one.  All shingles have one
 fixed order, frequent ones last; two sets of similarity ``s`` share one of the first
-``n - ceil(s n) + 1`` shingles of either, and so many of these that a count per pair drops most others.
+``n - ceil(s n) + 1`` shingles of either; and behind the first shingle that they share, itself included, either has at least as many as they must have in common.
 
 1. Every such shingle points to the smallest document that holds it: a row per document.  What is similar
    enough is linked, which joins a large group of copies without its pairs.
-2. Of every shingle that still joins documents of different components, all pairs across components are
-   counted; large groups are dealt in blocks.  Pairs that may be similar are compared as whole texts.
+2. Of every shingle that still joins documents of different components, pairs across components meet
+   that it may be the first common one of; large groups are dealt in blocks.  The common first shingles of such a pair
+   drop most of them, the others are compared as whole texts.
 
 The order is estimated from a part of the documents; it changes the work and never the result.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.llm.batches import bounded
@@ -97,7 +98,7 @@ def frequent(stage: Stage, docs: DataFrame, words: int) -> tuple[np.ndarray, np.
 
 
 def prefixes(docs: DataFrame, words: int, similarity: float, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(shingle, doc_id, n): the first shingles of every document and the size of its set; a narrow job."""
+    """(shingle, doc_id, n, rest): the first shingles of every document, the size of its set and how much of it begins there; a narrow job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
@@ -111,10 +112,15 @@ def prefixes(docs: DataFrame, words: int, similarity: float, hot: tuple[np.ndarr
             n = np.bincount(row, minlength=batch.num_rows)
             place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
             keep = place < (n - np.ceil(similarity * n - EPSILON) + 1)[row]
-            row, value = row[keep], value[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n[row].astype(np.int32))], names=["shingle", "doc_id", "n"])
+            row, value, rest = row[keep], value[keep], (n[row] - place)[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column("doc_id").take(pa.array(row)), pa.array(n[row].astype(np.int32)), pa.array(rest.astype(np.int32))], names=["shingle", "doc_id", "n", "rest"])
 
-    return docs.mapInArrow(run, "shingle long, doc_id long, n int")
+    return docs.mapInArrow(run, "shingle long, doc_id long, n int, rest int")
+
+
+def both_of(similarity: float) -> float:
+    """The share of two equally large sets that they have in common."""
+    return 2 * similarity / (1 + similarity)
 
 
 def jaccard(pairs: DataFrame, words: int) -> DataFrame:
@@ -134,8 +140,8 @@ def jaccard(pairs: DataFrame, words: int) -> DataFrame:
     return pairs.select("a", "b", "text", "other").mapInArrow(run, "a long, b long, similarity double")
 
 
-def across(rows: DataFrame) -> DataFrame:
-    """(a, b, na, nb), a row per shingle that two documents of different components share, from (shingle, doc_id, n, component).
+def across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, na, nb), once each, of documents of different components that may be similar by a shingle they share, from (shingle, doc_id, n, rest, component).
 
     A shingle's main component is that of its smallest document: documents of others meet all documents.
     """
@@ -146,22 +152,28 @@ def across(rows: DataFrame) -> DataFrame:
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     own = lambda c: F.pmod(F.hash("doc_id"), blocks(c))
     every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
-    left = dealt.filter("component <> main").select("shingle", own("others").alias("x"), every("all").alias("y"), F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("component").alias("cp"))
-    right = dealt.select("shingle", every("others").alias("x"), own("all").alias("y"), F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("component").alias("cq"), (F.col("component") == F.col("main")).alias("at_main"))
-    met = left.join(right, ["shingle", "x", "y"]).filter("cp <> cq AND (at_main OR p > q)")
+    left = dealt.filter("component <> main").select("shingle", own("others").alias("x"), every("all").alias("y"), F.col("doc_id").alias("p"), F.col("n").alias("np"), F.col("rest").alias("rp"), F.col("component").alias("cp"))
+    right = dealt.select("shingle", every("others").alias("x"), own("all").alias("y"), F.col("doc_id").alias("q"), F.col("n").alias("nq"), F.col("rest").alias("rq"), F.col("component").alias("cq"), (F.col("component") == F.col("main")).alias("at_main"))
+    met = left.join(right, ["shingle", "x", "y"]).filter("cp <> cq AND (at_main OR p > q)").filter(F.least("rp", "rq") >= common_of(similarity, "np", "nq"))
     turned = F.col("p") > F.col("q")
-    return met.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"), F.when(turned, F.col("np")).otherwise(F.col("nq")).alias("na"), F.when(turned, F.col("nq")).otherwise(F.col("np")).alias("nb"))
+    return met.select(F.greatest("p", "q").alias("a"), F.least("p", "q").alias("b"), F.when(turned, F.col("np")).otherwise(F.col("nq")).alias("na"), F.when(turned, F.col("nq")).otherwise(F.col("np")).alias("nb")).distinct()
+
 
+def common_of(similarity: float, a: str = "na", b: str = "nb") -> Column:
+    """Shingles that two documents of so many must have in common."""
+    return F.ceil(F.lit(both_of(similarity) / 2) * (F.col(a) + F.col(b)) - EPSILON)
 
-def possible(met: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of those pairs whose number of common first shingles allows the similarity.
+
+def likely(stage: Stage, pairs: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those pairs whose common first shingles, all of them, allow the similarity.
 
     Common shingles that are not first ones of both stand behind the first ones of one of them.
     """
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    firsts = stage.put("firsts", rows.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list("shingle").alias("firsts")))
+    both = pairs.join(firsts.select(F.col("doc_id").alias("a"), F.col("firsts").alias("x")), "a").join(firsts.select(F.col("doc_id").alias("b"), F.col("firsts").alias("y")), "b")
     rest = F.greatest(*(F.ceil(F.lit(similarity) * F.col(c) - EPSILON) for c in ("na", "nb"))) - 1
-    needed = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - EPSILON)
-    fits = met.filter(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - EPSILON)
-    return fits.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("same")).filter(F.col("same") + rest >= needed).select("a", "b").distinct()
+    return both.filter(F.size(F.array_intersect("x", "y")) + rest >= common_of(similarity)).select("a", "b").distinct()
 
 
 def compared(stage: Stage, pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -191,11 +203,12 @@ def similar_pairs(stage: Stage, docs: DataFrame, *, words: int = 5, similarity:
     stage.drop("prefixes")
     star = rows.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
     # Here a share is enough to try: what is left out is met below.
-    tried = stage.put("tried", star.filter(F.col("same") >= F.col("n") * (2 * similarity / (1 + similarity) - similarity)).select("a", "b"))
+    tried = stage.put("tried", star.filter(F.col("same") >= F.col("n") * (both_of(similarity) - similarity)).select("a", "b"))
     first = compared(stage, tried, single, words, similarity)
     joined = components(stage, first).select(F.col("node").alias("doc_id"), "component")
-    labelled = stage.put("labelled", rows.join(joined, "doc_id", "left").select("shingle", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
+    labelled = stage.put("labelled", rows.join(joined, "doc_id", "left").select("shingle", "doc_id", "n", "rest", F.coalesce("component", "doc_id").alias("component")))
     stage.drop("rows")
-    left = stage.put("left", possible(across(labelled), similarity).join(tried, ["a", "b"], "left_anti"))
-    stage.drop("labelled")
+    met = stage.put("met", across(labelled, similarity).join(tried, ["a", "b"], "left_anti"))
+    left = stage.put("left", likely(stage, met, labelled, similarity))
+    stage.drop("labelled", "met", "firsts")
     return equal.unionByName(first).unionByName(compared(stage, left, single, words, similarity))
