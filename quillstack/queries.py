@@ -114,7 +114,7 @@ def normalize_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", T.normalize_space(F.col("text")).alias("out"))
 
 
-@query("normalize_space_all_rows")
+@query("normalize_space_all_rows", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS out FROM documents")
 def normalize_space_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", T.normalize_space(F.col("text")).alias("out"))
 
