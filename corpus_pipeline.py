@@ -1,7 +1,10 @@
 """A corpus pipeline: toxicity filter, near-duplicates, repeated passages, source mixing, packing.
 
 Every stage is a job over all rows that its predecessor kept; what it returns is written as Parquet
-and read again as the next stage's documents.  All but the last return the columns of ``documents``.
+and read again as the next stage's documents.  All but the last return the columns of ``documents``, others included.
+
+Defined cases: rows without an id pass the filters (they are judged for toxicity) and are packed; null texts count as empty, and of
+all empty documents one stays; repeated rows share their fate; empty tables give no rows.
 """
 
 from __future__ import annotations

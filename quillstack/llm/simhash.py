@@ -202,6 +202,9 @@ def keep_one(spark: SparkSession, docs: DataFrame, *, words: int = 5, similarity
     Two documents are linked by fingerprints of ``print_words``-word shingles that differ in at most ``bits`` bits, or by
     a Jaccard similarity of their ``words``-word shingles of at least ``similarity``: a few edits of a short
     text move more than three bits, so fingerprints alone would leave such copies.
+
+    Null and empty texts have fingerprint zero: of all of them one stays.  Rows without an id stay.  Repeated rows of an id that
+    stays all stay.  Empty tables give no rows.
     """
     small_batches(spark)
     stage = Stage(spark, "keep-one")

@@ -11,6 +11,10 @@ fixed order, frequent ones last; two sets of similarity ``s`` share one of the f
    drop most of them, the others are compared as whole texts.
 
 The order is estimated from a part of the documents; it changes the work and never the result.
+
+Defined cases: null and empty texts have no shingles and no links; a text of fewer words than a shingle is one shingle.  Rows without an
+id are left out.  Repeated rows are one document; an id of several texts is linked if any of them is.  A similarity of exactly the
+threshold links.  Very long texts are taken whole.  Empty tables give no links.  Only the id and text columns are read.
 """
 
 from __future__ import annotations
