@@ -40,12 +40,18 @@ REGISTERS = (("figures", DIGITS, 10), ("symbols", SYMBOLS, 20), ("capitals", CAP
 SHORT = 300
 
 
+def count_of(text: Column, letters: str) -> Column:
+    """How many of a text's characters are among the letters; whole runs of others go at once."""
+    own = "".join(c if c.isalnum() else "\\" + c for c in letters)
+    return F.length(F.regexp_replace(text, f"[^{own}]+", ""))
+
+
 def topic_of(text: Column) -> Column:
     """The register of a text: short, figures, symbols, capitals, lines or prose."""
     t = F.coalesce(text, F.lit(""))
     n, out = F.length(t), F.lit("prose")
     for name, letters, one_of in reversed(REGISTERS):
-        out = F.when((n - F.length(F.translate(t, letters, ""))) * one_of > n, name).otherwise(out)
+        out = F.when(count_of(t, letters) * one_of > n, name).otherwise(out)
     return F.when(n < SHORT, "short").otherwise(out)
 
 
