@@ -37,7 +37,13 @@ def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int =
                 begin, total = i, 0
             total += n
         yield batch.slice(begin)
-    pa.default_memory_pool().release_unused()  # the worker lives on after the task
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the machine: a worker lives on after its task, beside the executor's next ones."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # the C library's, which holds numpy's arrays
 
 
 def texts(column: pa.Array) -> list[str]:

@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.llm import ngrams
-from quillstack.llm.batches import bounded, small_batches, texts, within_bytes
+from quillstack.llm.batches import bounded, release, small_batches, texts, within_bytes
 from quillstack.llm.langid import held_out
 from quillstack.staging import Stage
 
 SIZES, BITS = (3, 4, 5, 6), 20
 LEVELS = (1, 2, 4)
 THRESHOLD = 0.7
+#: Texts of a slice of the fit, and bytes of text that are scored at a time.
+SLICE, SCORED = 200, 1 << 18
 
 
 @dataclass
@@ -91,19 +93,24 @@ def fit(rows: list[tuple[str, int]], *, features: int = 1 << 14, deviations: flo
     chosen = np.sort(strong[np.argsort(-significance, kind="stable")[:features]])
     ratio = np.log(share[1, chosen] / share[0, chosen])
     made = Model(chosen, np.zeros(0), 0.0)
-    parts = [present([t for t, _ in rows[i : i + 200]], made.number) for i in range(0, len(rows), 200)]
-    row, feature = np.concatenate([r + 200 * k for k, (r, _) in enumerate(parts)]), np.concatenate([f for _, f in parts])
-    value = ratio[feature]
+    # Presences stay in small types, by slices of texts: a step holds the numbers of one slice at a time.
+    begins, parts = range(0, len(rows), SLICE), []
+    for i in begins:
+        row, feature = present([t for t, _ in rows[i : i + SLICE]], made.number)
+        parts.append((row.astype(np.uint8), feature.astype(made.number.dtype)))
     w, speed, bias, bias_speed = np.zeros(len(chosen)), np.full(len(chosen), 1e-8), 0.0, 1e-8
-    balance = np.where(label == 1, len(label) / (2 * n[1]), len(label) / (2 * n[0]))
+    balance = np.where(label == 1, len(label) / (2 * n[1]), len(label) / (2 * n[0])) / len(rows)
     for _ in range(steps):
-        p = sigmoid(np.bincount(row, value * w[feature], minlength=len(rows)) + bias)
-        error = (p - label) * balance / len(rows)
-        g = np.bincount(feature, value * error[row], minlength=len(chosen)) + l2 * w
+        value, g, shift = w * ratio, l2 * w, 0.0
+        for i, (row, feature) in zip(begins, parts):
+            truth = label[i : i + SLICE]
+            error = (sigmoid(np.bincount(row, value[feature], minlength=len(truth)) + bias) - truth) * balance[i : i + SLICE]
+            g += ratio * np.bincount(feature, error[row], minlength=len(chosen))
+            shift += error.sum()
         speed += g * g
-        bias_speed += error.sum() ** 2
+        bias_speed += shift**2
         w -= 0.1 * g / np.sqrt(speed)
-        bias -= 0.1 * error.sum() / np.sqrt(bias_speed)
+        bias -= 0.1 * shift / np.sqrt(bias_speed)
     return Model(chosen.astype(np.int32), (w * ratio).astype(np.float32), float(bias))
 
 
@@ -120,6 +127,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str,
         known = sorted({(d, t or "", y) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3)))})
         if len({y for *_, y in known}) == 2:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1:] for r in known], features=features, deviations=deviations))], pa.binary())], names=["model"])
+        release()
 
     found = within_bytes(Stage(spark, "toxicity"), rows, fit_bytes).repartition(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else None
@@ -151,7 +159,7 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = held.value
-        for batch in bounded(batches):
+        for batch in bounded(batches, limit=SCORED):
             p = made.scores(texts(batch.column("text"))) if made else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.astype(float)), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -183,6 +191,6 @@ def keep_clean(
     @F.pandas_udf("double")
     def toxic(text: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string())], names=["text"])
-        return pd.Series(np.concatenate([held.value.scores(texts(x.column(0))) for x in bounded(iter([batch]))] or [np.zeros(0)]))
+        return pd.Series(np.concatenate([held.value.scores(texts(x.column(0))) for x in bounded(iter([batch]), limit=SCORED)] or [np.zeros(0)]))
 
     return docs.filter(toxic(F.col(text_col).cast("string")) < threshold)
