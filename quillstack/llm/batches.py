@@ -14,6 +14,8 @@ from quillstack.staging import Stage
 
 #: Rows of an Arrow batch: whole texts are long, and a batch is held on both sides.
 BATCH_ROWS = 1000
+#: What a worker has for its next tasks, by name; tasks that do not ask for it drop it.
+kept: dict[str, object] = {}
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -24,8 +26,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``limit`` bytes of text each; one longer text is a slice alone."""
+def bounded(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20, keep: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``limit`` bytes of text each; one longer text is a slice alone.  Of what the worker has, ``keep`` stays."""
+    if keep not in kept:
+        kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

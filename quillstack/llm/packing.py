@@ -125,10 +125,10 @@ def sweep(pieces: list[Run], gaps: list[Run], capacity: int, fresh: int | None)
 
 def rounds(stage: Stage, pieces: DataFrame, capacity: int) -> DataFrame:
     """(size, first, n, sequence, offset): runs that place all pieces (size, n), as ``sweep`` gives them."""
-    spark = stage.spark
     size_range = F.least(F.lit(LAST), F.length(F.bin((F.lit(capacity) / F.col("size")).cast("long"))) - 1).cast("int")
     state = pieces.select(F.lit("piece").alias("kind"), F.col("size").cast("int").alias("size"), F.lit(0).cast("long").alias("first"), F.col("n").cast("long").alias("n"), size_range.alias("at"), F.lit(0).cast("long").alias("sequence"), F.lit(0).alias("offset"))
-    state = stage.put("round", state.unionByName(spark.createDataFrame([("next", 0, 0, 0, 0, 0, 0)], STATE)))
+    following = stage.spark.range(1).select(F.lit("next").alias("kind"), *(F.lit(0).cast(kind).alias(name) for name, kind in map(str.split, STATE.split(", ")[1:])))
+    state = stage.put("round", state.unionByName(following))
     placed = []
     while True:
         longest = state.filter("kind = 'piece'").agg(F.max("size")).first()[0]

@@ -20,6 +20,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
+from quillstack.llm.batches import bounded, kept, texts
+
 LATIN = 0x250
 #: Pieces held by one worker; beyond it the table starts anew.
 HELD = 1 << 19
@@ -240,21 +242,16 @@ class PieceTokenizer:
         self.n = b
 
 
-_made: dict[str, PieceTokenizer] = {}
-
-
 def tokenizer(path: str) -> PieceTokenizer:
-    """One per worker and file; its table serves all tasks of the worker."""
-    if path not in _made:
-        _made.clear()
-        _made[path] = PieceTokenizer(path)
-    return _made[path]
+    """One per worker and file; its table serves the worker's next tasks, until one of another kind comes."""
+    if path not in kept:
+        kept.clear()
+        kept[path] = PieceTokenizer(path)
+    return kept[path]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(slice, all ids, ids per text) of bounded slices."""
-    from quillstack.llm.batches import bounded, texts
-
     made = tokenizer(path)
-    for batch in bounded(batches, limit=1 << 18):
+    for batch in bounded(batches, limit=1 << 18, keep=path):
         yield batch, *made.encode(texts(batch.column("text")))
