@@ -8,7 +8,7 @@ import public_tokenizers
 from corpus_pipeline import run as pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import graph_ann, langid, media, mixing, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
+from quillstack.llm import alignment, graph_ann, langid, lexical, licenses, media, mixing, packing, simhash, suffix_dedup, token_files, toxicity, url_filter
 from quillstack.staging import read_table
 
 
@@ -52,6 +52,18 @@ def op10_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_ann.nearest(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find_licenses(spark, read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -63,10 +75,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_graph_ann": op10_graph_ann,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_license_scan": op13_license_scan,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_source_mixing": mixing.oracle_sql(),
     "op8_url_filter": url_filter.oracle_sql(),
+    "op12_lexical_search": lexical.oracle_sql(),
 }
