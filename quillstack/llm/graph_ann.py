@@ -1,12 +1,14 @@
 """Nearest neighbours by inner product on robust-pruned directed graphs, one per shard.
 
-Vectors are dealt by their length, in bands of a factor of eight, and by a hash of their id to shards of about ``shard_rows``;
-so no shard is hot, and a few long vectors do not make all others look alike.
-Inner-product order becomes angular order by one more component, the root of what a vector's squared length lacks
-to the largest one of its shard.  In each shard equal vectors are one node (which keeps the ids that could ever be
-reported), and nodes are linked as follows: a node's neighbours are proposed by a greedy
-search for it through the graph of the nodes before it, thinned so that a candidate stays only if no
+Vectors are dealt by their length, in bands of a factor of about 1.4, and by a hash of their id to shards of about ``shard_rows``;
+so no shard is hot, and within a shard the order by inner product is close to the order by angle.  Neighbouring bands of few vectors share a shard.
+In each shard equal vectors are one node (which keeps the ids that could ever be reported), and nodes are linked by angle as follows: a node's
+neighbours are proposed by a greedy search for it through the graph of the nodes before it, thinned so that a candidate stays only if no
 kept neighbour is closer to it by a relaxed factor, and linked back; over-full nodes are thinned again.
+A search goes by inner product, from the first node and the longest ones.
+
+What a beam finds depends on the data, so each shard measures it: a sample of at most ``TRIED`` queries is searched and compared with all products of the shard,
+with wider beams until ``RECALL`` of the ``k`` best are found.  A shard in which none of ``BEAMS`` reaches that, or of few vectors, is scanned exactly, in blocks.
 A built graph is one row of a staged table.
 
 Queries are dealt in blocks of up to ``BLOCK_ROWS`` to every shard (a stated query set against all rows, in blocks); a graph travels once per block; a
@@ -32,12 +34,14 @@ from pyspark.sql.window import Window
 
 from quillstack.staging import Stage
 
-#: Links kept by thinning, beams of building and searching, relaxation.
-DEGREE, BEAM, SEARCH_BEAM, ALPHA = 24, 48, 128, 1.2
+#: Links kept by thinning, beam of building, relaxation.
+DEGREE, BEAM, ALPHA = 24, 48, 1.2
+#: Beams of searching, the share of the nearest that one must find, queries that measure it at most, long nodes to start from.
+BEAMS, RECALL, TRIED, LONG = (128, 192, 256, 384, 512), 0.97, 128, 8
 #: Vectors of a shard; queries of a block at most, and at least while there are too few pairs of blocks and shards to keep all cores busy.
 SHARD_ROWS, BLOCK_ROWS, FEW_ROWS = 16384, 16384, 1024
-#: Length of the longest vector of a band over that of the shortest, as a power of two.
-BAND = 3
+#: Length of the longest vector of a band over that of the shortest, as a power of two; vectors of a shard up to which it is scanned.
+BAND, SMALL = 0.5, 1024
 
 
 def usable(x: Column) -> Column:
@@ -152,17 +156,17 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     return links
 
 
-HEAD = struct.Struct("<IIII")
+HEAD = struct.Struct("<IIIII")
 
 
-def pack_shard(ids: np.ndarray, vectors: np.ndarray, spare: int) -> bytes:
-    """A shard as bytes: distinct vectors, links, and for each vector its ``spare`` smallest ids."""
+def pack_shard(ids: np.ndarray, vectors: np.ndarray, k: int, tried: np.ndarray, beams: tuple[int, ...] = BEAMS) -> bytes:
+    """A shard as bytes: distinct vectors, links, the beam to search with (0: scan), and for each vector its ``k + 1`` smallest ids."""
     order = np.lexsort((ids, *vectors.T[::-1]))
     ids, vectors = ids[order], vectors[order]
     first = np.r_[True, (vectors[1:] != vectors[:-1]).any(axis=1)]
     group = np.cumsum(first) - 1
     rank = np.arange(len(ids)) - np.flatnonzero(first)[group]
-    keep = (rank < spare) & (first | (np.r_[-1, ids[:-1]] != ids))
+    keep = (rank <= k) & (first | (np.r_[-1, ids[:-1]] != ids))
     owner, member = group[keep], ids[keep]
     distinct = vectors[first]
     mixed = np.random.default_rng(1).permutation(len(distinct))
@@ -170,40 +174,83 @@ def pack_shard(ids: np.ndarray, vectors: np.ndarray, spare: int) -> bytes:
     place[mixed] = np.arange(len(mixed))
     distinct, owner = distinct[mixed], place[owner]
     order = np.lexsort((member, owner))
-    links = build(lifted(distinct))
-    return HEAD.pack(len(distinct), distinct.shape[1], links.shape[1], len(member)) + distinct.astype("<f8").tobytes() + links.astype("<i4").tobytes() + owner[order].astype("<i8").tobytes() + member[order].astype("<i8").tobytes()
+    links, beam = np.zeros((len(distinct), 0), dtype=np.int32), 0
+    if len(distinct) > SMALL:
+        x = scaled(distinct)
+        made = build(unit_rows(distinct))
+        beam = enough(unit_rows(tried), x, made, k, beams)
+        links = made if beam else links
+    return HEAD.pack(len(distinct), distinct.shape[1], links.shape[1], len(member), beam) + distinct.astype("<f8").tobytes() + links.astype("<i4").tobytes() + owner[order].astype("<i8").tobytes() + member[order].astype("<i8").tobytes()
 
 
-def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n, width, degree, members = HEAD.unpack_from(data)
+def unpack_shard(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    n, width, degree, members, beam = HEAD.unpack_from(data)
     at = HEAD.size
     vectors = np.frombuffer(data, "<f8", n * width, at).reshape(n, width)
     at += 8 * n * width
     links = np.frombuffer(data, "<i4", n * degree, at).reshape(n, degree)
     at += 4 * n * degree
-    return vectors, links, np.frombuffer(data, "<i8", members, at), np.frombuffer(data, "<i8", members, at + 8 * members)
+    return vectors, links, np.frombuffer(data, "<i8", members, at), np.frombuffer(data, "<i8", members, at + 8 * members), beam
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, for any finite components."""
+    rows = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one at most, in the order of the vectors' own inner products."""
+    rows = vectors / np.abs(vectors).max()
+    return (rows / np.sqrt((rows * rows).sum(axis=1).max())).astype(np.float32)
+
 
+def entries(x: np.ndarray) -> np.ndarray:
+    """The first node, which building starts from, and the longest ones."""
+    length = np.einsum("nd,nd->n", x, x)
+    return np.unique(np.r_[0, np.argsort(-length, kind="stable")[:LONG]])
 
-def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Unit rows whose inner products with (query, 0) are in the order of the vectors' own."""
-    scaled = vectors / np.abs(vectors).max()
-    scaled = scaled / np.sqrt((scaled * scaled).sum(axis=1).max())
-    rest = np.sqrt(np.maximum(0, 1 - (scaled * scaled).sum(axis=1)))
-    return np.c_[scaled, rest].astype(np.float32)
 
+def enough(queries: np.ndarray, x: np.ndarray, links: np.ndarray, k: int, beams: tuple[int, ...]) -> int:
+    """The first beam that finds ``RECALL`` of the nodes with the ``k`` largest products; 0 if none does."""
+    if not len(queries):
+        return beams[-1]
+    products = queries @ x.T
+    k = min(k, len(x))
+    bar = np.partition(products, -k, axis=1)[:, -k]
+    for beam in beams:
+        found, _ = beam_search(queries, x, links, entries(x), beam)
+        hits = (np.take_along_axis(products, np.maximum(found, 0), axis=1) >= bar[:, None]) & (found >= 0)
+        if np.minimum(hits.sum(axis=1), k).mean() >= RECALL * k:
+            return beam
+    return 0
 
-def search_shard(ids: np.ndarray, queries: np.ndarray, shard: tuple, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def scan(queries: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """Nodes of each query that can be among its ``k`` nearest, by all products; rounding cannot lose one."""
+    products = queries @ x.T
+    bar = np.partition(products, -k, axis=1)[:, -k] if k < len(x) else np.full(len(queries), -np.inf)
+    return [np.flatnonzero(row >= b) for row, b in zip(products, bar - 1e-12)]
+
+
+def search_shard(ids: np.ndarray, queries: np.ndarray, shard: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score): up to ``k`` nearest candidates of the shard for each query."""
-    vectors, links, owner, member = shard
+    vectors, links, owner, member, beam = shard
+    largest = np.abs(vectors).max()
     unit = queries / np.abs(queries).max(axis=1, keepdims=True)
     unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
-    x = lifted(vectors)
+    if beam:
+        x = scaled(vectors)
+        start = entries(x)
+    else:
+        x = vectors / largest
+        x = x / np.sqrt((x * x).sum(axis=1).max())
     begin = np.searchsorted(owner, np.arange(len(vectors) + 1))
     out = []
     for a in range(0, len(ids), 256):
-        found, _ = beam_search(np.c_[unit[a : a + 256], np.zeros(len(unit[a : a + 256]))].astype(np.float32), x, links, np.arange(1), beam)
+        # One node more than asked for: the query's own may be among them.
+        found = [f[f >= 0] for f in beam_search(unit[a : a + 256].astype(np.float32), x, links, start, beam)[0]] if beam else scan(unit[a : a + 256], x, k + 1)
         for i, nodes in enumerate(found):
-            nodes = nodes[nodes >= 0]
             score = exact(queries[a + i], vectors[nodes])
             many = begin[nodes + 1] - begin[nodes]
             who = np.concatenate([member[begin[q] : begin[q + 1]] for q in nodes.tolist()]) if len(nodes) else member[:0]
@@ -221,7 +268,7 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS
+    spark: SparkSession, vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = 20, k: int = 20, beams: tuple[int, ...] = BEAMS, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``query_every``, its ``k`` nearest others."""
     stage = Stage(spark, "ann")
@@ -234,17 +281,24 @@ def nearest(
     width, longest = widths[0].width, widths[0].longest
     good = good.filter(F.size("x") == width)
     band = F.floor((F.lit(longest) - log_length(F.col("x"))) / BAND).cast("int")
-    bands, shards = [], 0
+    bands, shards, shared = [], 0, 0
     for row in good.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n")).orderBy("band").collect():
         own = -(-row.n // shard_rows)
+        if shared and shared + row.n <= SMALL:  # with the band before it still few enough to be scanned
+            bands.append((row.band, shards - 1, 1))
+            shared += row.n
+            continue
         bands.append((row.band, shards, own))
         shards += own
+        shared = row.n if row.n <= SMALL else 0
     places = F.broadcast(spark.createDataFrame(bands, "band int, first int, own int"))
+    asked = good.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "x"])
+    tried = np.array([r.x for r in asked.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(TRIED).collect()]).reshape(-1, width)
 
     def make(table: pa.Table) -> pa.Table:
         ids = table.column("vec_id").to_numpy()
         rows = table.column("x").combine_chunks().flatten().to_numpy().reshape(len(ids), width)
-        return pa.table({"shard": table.column("shard").slice(0, 1), "graph": pa.array([pack_shard(ids, rows, k + 1)], pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "graph": pa.array([pack_shard(ids, rows, k, tried, beams)], pa.binary())})
 
     graphs = stage.put("graphs", good.withColumn("band", band).join(places, "band").select("vec_id", "x", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("own"))).cast("int").alias("shard")).groupBy("shard").applyInArrow(make, "shard int, graph binary"))
 
@@ -256,7 +310,6 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([rows.tobytes()], pa.binary())], names=["ids", "rows"])
 
     # Full blocks, however the input was partitioned: every block meets every graph once, so large blocks read few graphs.
-    asked = good.filter(F.col("vec_id") % query_every == 0).dropDuplicates(["vec_id", "x"])
     n_asked, pairs_wanted = asked.count(), 2 * spark.sparkContext.defaultParallelism
     n_blocks = max(1, -(-n_asked // BLOCK_ROWS), min(-(-n_asked // FEW_ROWS), -(-pairs_wanted // shards)))
     asked = asked.repartition(n_blocks)
@@ -267,7 +320,7 @@ def nearest(
             for i in range(batch.num_rows):
                 ids = np.frombuffer(batch.column(0)[i].as_py(), "<i8")
                 rows = np.frombuffer(batch.column(1)[i].as_py(), "<f8").reshape(-1, width)
-                found = search_shard(ids, rows, unpack_shard(batch.column(2)[i].as_py()), k, beam)
+                found = search_shard(ids, rows, unpack_shard(batch.column(2)[i].as_py()), k)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
     # A pair of a block and a graph is a few MB: as many partitions as pairs keep a task's memory bounded.

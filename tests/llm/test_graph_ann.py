@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from quillstack.llm import graph_ann as G
 from quillstack.staging import read_table
@@ -59,6 +60,40 @@ def test_a_few_long_vectors_hide_no_others(spark):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.95
 
 
+LENGTHS = {
+    "unit": lambda r, g: g / np.linalg.norm(g, axis=1, keepdims=True),
+    "gaussian": lambda r, g: g,
+    "one to four": lambda r, g: g / np.linalg.norm(g, axis=1, keepdims=True) * r.uniform(1, 4, (len(g), 1)),
+    "log-normal": lambda r, g: g / np.linalg.norm(g, axis=1, keepdims=True) * np.exp(0.5 * r.normal(size=(len(g), 1))),
+}
+
+
+@pytest.mark.parametrize("lengths", LENGTHS)
+def test_recall_by_spread_of_lengths(lengths, spark):
+    """Registered settings: nearly all rows are in one shard where lengths are alike."""
+    r = np.random.default_rng(6)
+    x = LENGTHS[lengths](r, r.normal(size=(6000, 64)))
+    ids = np.arange(6000)
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in G.nearest(spark, table).collect():
+        got.setdefault(row.query_id, set()).add(row.vec_id)
+    want = brute(ids, x, 20, 20)
+    assert np.mean([len(got[q] & {v for v, _ in want[q]}) / 20 for q in want]) >= 0.95
+
+
+def test_a_shard_whose_graph_finds_too_little_is_scanned():
+    """A graph without links finds its start only; all beams fall short, and the scan is exact."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(1500, 8))
+    assert G.enough(G.unit_rows(x[:40]), G.scaled(x), np.full((1500, 4), -1, dtype=np.int32), 20, G.BEAMS) == 0
+    shard = G.unpack_shard(G.pack_shard(np.arange(1500), x, 20, x[:40], beams=()))
+    assert shard[-1] == 0
+    ids, who, score = G.search_shard(np.arange(0, 1500, 20), x[::20], shard, 20)
+    want = brute(np.arange(1500), x, 20, 20)
+    assert {q: list(zip(who[ids == q].tolist(), score[ids == q].tolist())) for q in want} == want
+
+
 def test_cases(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.0, 0.0]), (2, None), (3, []), (4, [1.0, None]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (None, [1.0, 1.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (8, [1.0, 2.0, 3.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
