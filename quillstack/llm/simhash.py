@@ -20,7 +20,7 @@ An empty table gives an empty result.  Only the id and text columns are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,18 +35,23 @@ from quillstack.staging import Stage
 
 #: Homes and rows of one cell of an anchor's grid.
 HOMES, VISITORS = 4096, 16384
+#: Shingles of a text that are hashed at a time.
+CHUNK = 1 << 16
 SEED = 42
 
 
 def fingerprint(text: str, words: int = 3) -> int:
-    """Bit i is set if it is set in over half the shingle hashes."""
+    """Bit i is set if it is set in over half the shingle hashes, which are taken ``CHUNK`` at a time."""
     w = text.encode().lower().split()
     if not w:
         return 0
-    shingles = [b" ".join(w)] if len(w) < words else map(b" ".join, zip(*(w[i:] for i in range(words))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), dtype=np.uint64, count=max(1, len(w) - words + 1))
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    shingles = iter([b" ".join(w)]) if len(w) < words else map(b" ".join, zip(*(islice(w, i, None) for i in range(words))))
+    counts, n = np.zeros(64, dtype=np.int64), max(1, len(w) - words + 1)
+    for begin in range(0, n, CHUNK):
+        size = min(CHUNK, n - begin)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, islice(shingles, size), repeat(SEED)), dtype=np.uint64, count=size)
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

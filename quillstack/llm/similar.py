@@ -8,7 +8,10 @@ fixed order, frequent ones last; two sets of similarity ``s`` share one of the f
    enough is linked, which joins a large group of copies without its pairs.
 2. Of every shingle that still joins documents of different components, pairs across components meet
    that it may be the first common one of; large groups are dealt in blocks.  The common first shingles of such a pair
-   drop most of them, the others are compared as whole texts.
+   drop most of them, the others are compared by their whole shingle sets.
+
+A candidate must have lengths and places of the shared shingle that allow the similarity, also in the first step: a long document
+that quotes many short ones is compared with none of them.
 
 The order is estimated from a part of the documents; it changes the work and never the result.
 
@@ -127,21 +130,16 @@ def both_of(similarity: float) -> float:
     return 2 * similarity / (1 + similarity)
 
 
-def jaccard(pairs: DataFrame, words: int) -> DataFrame:
-    """(a, b, similarity) of pairs with both texts; a narrow job."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, shingles) of all documents; a narrow job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches):
-            left, at_left = lowered_words(batch.column("text"))
-            right, at_right = lowered_words(batch.column("other"))
-            out = []
-            for i in range(batch.num_rows):
-                x, y = shingles(left[at_left[i] : at_left[i + 1]], words), shingles(right[at_right[i] : at_right[i + 1]], words)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(same / max(1, len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "similarity"])
+            row, value = _sets(batch, words)
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(value.view(np.int64)))], names=["doc_id", "shingles"])
 
-    return pairs.select("a", "b", "text", "other").mapInArrow(run, "a long, b long, similarity double")
+    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
 def across(rows: DataFrame, similarity: float) -> DataFrame:
@@ -181,12 +179,14 @@ def likely(stage: Stage, pairs: DataFrame, rows: DataFrame, similarity: float) -
 
 
 def compared(stage: Stage, pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b) of those pairs whose texts have the similarity."""
+    """(a, b) of those pairs whose shingle sets, made once for each document, have the similarity."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stage.put("texts", docs.join(needed, "doc_id"))
-    both = pairs.join(texts.withColumnRenamed("doc_id", "a"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("other")), "b")
-    links = stage.put("links", jaccard(both, words).filter(F.col("similarity") >= similarity).select("a", "b").distinct())
-    stage.drop("texts")
+    sets = stage.put("sets", shingle_sets(docs.join(needed, "doc_id").select("doc_id", "text"), words))
+    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    met = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    links = stage.put("links", met.filter(F.col("common") / F.greatest(F.lit(1), F.col("total") - F.col("common")) >= similarity).select("a", "b").distinct())
+    stage.drop("sets")
     return links
 
 
@@ -202,10 +202,10 @@ def similar_pairs(stage: Stage, docs: DataFrame, *, words: int = 5, similarity:
     single = docs.join(copies, "doc_id", "left_anti")
     made = stage.put("prefixes", prefixes(single, words, similarity, frequent(stage, single, words)))
     stage.drop("keys", "frequent")
-    shared = made.groupBy("shingle").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b <> last").select("shingle", "b")
-    rows = stage.put("rows", made.join(shared, "shingle"))
+    shared = made.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "rest")).alias("least"), F.max("doc_id").alias("last")).filter("least.doc_id <> last")
+    rows = stage.put("rows", made.join(shared.select("shingle", F.col("least.doc_id").alias("b"), F.col("least.n").alias("nb"), F.col("least.rest").alias("rb")), "shingle"))
     stage.drop("prefixes")
-    star = rows.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
+    star = rows.filter("doc_id <> b").filter(F.least("rest", "rb") >= common_of(similarity, "n", "nb")).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
     # Here a share is enough to try: what is left out is met below.
     tried = stage.put("tried", star.filter(F.col("same") >= F.col("n") * (both_of(similarity) - similarity)).select("a", "b"))
     first = compared(stage, tried, single, words, similarity)

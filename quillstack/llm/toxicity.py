@@ -7,6 +7,8 @@ deviations, the most significant ones first.  Logistic regression on the scaled
 features gives the score.  The fit uses a bounded sample of labelled documents (at most
 ``per_class`` of each label, the smallest by a hash of the id, with ``fit_bytes`` of text at most); scoring is a narrow job.
 
+Of an id with several texts the fit takes the smallest.
+
 Defined cases: a null text is empty.  A document labelled more than once is toxic if any label
 says so; null labels say nothing.  An empty text has the score of no evidence.  Without two labels to learn from
 every score is 0.  Repeated rows are scored each.  Empty tables give no rows.
@@ -121,7 +123,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str,
     order = F.xxhash64("doc_id", F.lit(9))
     sample = told.filter("label = 1").orderBy(order).limit(per_class).unionByName(told.filter("label = 0").orderBy(order).limit(per_class))
     # At most twice `per_class` ids: small enough to send to every task, so texts need no shuffle.
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sorted({(d, t or "", y) for b in batches for d, t, y in zip(*(b.column(i).to_pylist() for i in range(3)))})

@@ -100,3 +100,24 @@ def test_empty_table_and_null_ids(spark):
     assert S.near_duplicates(spark, spark.createDataFrame([], SCHEMA)).collect() == []
     rows = S.near_duplicates(spark, spark.createDataFrame([(None, "a b c d", ""), (4, "a b c d", ""), (None, "other words here now", "")], SCHEMA)).collect()
     assert sorted((x.doc_id is None, x.component_id or -1) for x in rows) == [(False, 4), (True, -1), (True, 4)]
+
+
+def test_shingles_of_a_long_text_are_hashed_in_parts(monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(900)}" for _ in range(n)) for n in (0, 1, 2, 3, 4, 6, 7, 8, 9, 400)]
+    whole = [S.fingerprint(t) for t in texts]
+    assert whole == [slow_print(t) for t in texts]
+    for chunk in (1, 2, 3, 7):
+        monkeypatch.setattr(S, "CHUNK", chunk)
+        assert [S.fingerprint(t) for t in texts] == whole
+
+
+def test_memory_of_a_very_long_text_follows_its_words():
+    import tracemalloc
+
+    text = "word and more " * 300_000
+    tracemalloc.start()
+    S.fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * len(text) / 5 + 30e6  # a word object and its place for every word, and one chunk

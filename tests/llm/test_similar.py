@@ -92,6 +92,26 @@ def test_candidates_are_complete(spark):
     assert got <= real and (2, 1) in got and groups(got) == groups(real)
 
 
+def test_a_long_document_that_quotes_many_is_compared_with_none(spark, monkeypatch):
+    """The smallest id holds 200 passages that are documents of their own; two of those have a near copy."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passages = [[word() for _ in range(60)] for _ in range(200)]
+    rows = [(0, " ".join(w for p in passages for w in p))] + [(i + 1, " ".join(p)) for i, p in enumerate(passages)]
+    rows += [(500, rows[7][1] + " end"), (501, rows[9][1].upper())]
+    tried, compared = [], similar.compared
+    monkeypatch.setattr(similar, "compared", lambda stage, pairs, *rest: tried.extend((x.a, x.b) for x in pairs.collect()) or compared(stage, pairs, *rest))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(x.a, x.b) for x in similar.similar_pairs(Stage(spark, "t"), df).collect()} == {(500, 7), (501, 9)}
+    assert set(tried) == {(500, 7)}
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i % 50021}" for i in range(400_000))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short")], "doc_id long, text string")
+    assert {(x.a, x.b) for x in similar.similar_pairs(Stage(spark, "t"), df).collect()} == {(2, 1)}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert similar.similar_pairs(Stage(spark, "t"), empty).collect() == [] and simhash.keep_one(spark, empty).collect() == []
