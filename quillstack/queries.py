@@ -16,6 +16,7 @@ from quillstack.operators import images, merge, parse, rename, render, report, s
 from quillstack.operators.ordering import numbered
 from quillstack.plans import archive
 from quillstack.sources import readers, writers
+from quillstack.sources.archive_log import ArchiveLog
 from quillstack.staging import Stage, read_table
 from quillstack.streaming import ingest
 
@@ -1028,7 +1029,23 @@ def ingest_pages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = stage.put("raw", forum_pages(spark, sf_dir))
     stream = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(stage.paths["raw"])
     ingest.ingest_pages_stream(spark, stream, f"{stage.root}/archive", f"{stage.root}/checkpoint", f"{stage.root}/repair")
-    return spark.read.parquet(f"{stage.root}/archive").select("thread_id", "post_id", "post_number", "author")
+    return ArchiveLog(spark, f"{stage.root}/archive").read().select("thread_id", "post_id", "post_number", "author")
+
+
+@query(
+    "archive_log",
+    f"""SELECT thread_id, post_id, page, CASE WHEN {NUMBER} % 4 = 1 THEN 'base' WHEN {NUMBER} % 4 = 2 THEN 'first' ELSE 'second' END AS text FROM ({CONV})
+    UNION ALL SELECT thread_id, '', page, 'nameless' FROM ({CONV})""",
+)
+def archive_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merged base and two batches over it: each holds all posts of those before it again, and posts without an id."""
+    log, p = ArchiveLog(spark, f"{Stage(spark, 'log').root}/posts"), posts(spark, sf_dir)
+    step, nameless = select.number_of(F.col("post_number")) % 4, p.withColumn("post_id", F.lit("")).withColumn("text", F.lit("nameless"))
+    log.append(p.filter(step == 1).withColumn("text", F.lit("base")), "a")
+    log.compact()
+    log.append(p.filter(step.isin(1, 2)).withColumn("text", F.lit("first")).unionByName(nameless), "b")
+    log.append(p.withColumn("text", F.lit("second")).unionByName(nameless), "c")
+    return log.read().select("thread_id", "post_id", "page", "text")
 
 
 @query("stream_dedupe", f"SELECT thread_id, post_id FROM ({CONV})")

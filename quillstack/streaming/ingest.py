@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.operators import merge, parse
+from quillstack.operators import parse
+from quillstack.sources.archive_log import ArchiveLog
 from quillstack.sources.readers import PAGE_FILE
-from quillstack.sources.writers import with_bucket, write_archive
 from quillstack.staging import Stage
 
 
@@ -22,34 +23,23 @@ def pages_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     return reader.schema("value string").format("text").load(path).select(F.element_at(parts, -3).alias("thread_id"), F.regexp_extract(F.col("_metadata.file_name"), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html"))
 
 
-def _archive(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """The archive's posts, or none before the first batch."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return spark.read.parquet(path)
-    return with_bucket(like).limit(0)
-
-
-def upsert_posts(spark: SparkSession, posts: DataFrame, path: str) -> None:
-    """Adds a batch's accepted posts that the archive does not hold; only touched buckets are read and replaced."""
-    stage = Stage(spark, "upsert")
-    new = stage.put("new", with_bucket(posts.filter("accepted").drop("raw_html")))
-    touched = [r.thread_bucket for r in new.select("thread_bucket").distinct().collect()]  # at most the number of buckets
-    if not touched:
-        return
-    archive = _archive(spark, path, new.drop("thread_bucket")).filter(F.col("thread_bucket").isin(touched)).select(new.columns)
-    fresh = merge.new_posts_only(new, archive)
-    merged = stage.put("merged", merge.merge_posts(archive, fresh).drop("thread_bucket"))
-    write_archive(merged, path)
+def upsert_posts(spark: SparkSession, posts: DataFrame, path: str, token: str | None = None) -> None:
+    """Adds a batch's accepted posts; what the archive holds already is left out when it is read.  The batch is all that is written."""
+    ArchiveLog(spark, path).append(posts.filter("accepted"), token)
 
 
 def ingest_pages_stream(spark: SparkSession, pages: DataFrame, archive: str, checkpoint: str, repair: str | None = None):
-    """Parses arriving pages, upserts their posts and notes failed pages for repair; ends when all present files are done."""
+    """Parses arriving pages, appends their posts and notes failed pages for repair; ends when all present files are done.
+
+    A batch that is run again after a failure replaces its own files.  The archive is compacted when it is due, between batches.
+    """
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
 
     def step(batch: DataFrame, batch_id: int) -> None:
         stage = Stage(batch.sparkSession, "ingest")
         parsed = stage.put("parsed", parse.parse_pages(batch))
-        upsert_posts(batch.sparkSession, parse.posts_of(parsed), archive)
+        upsert_posts(batch.sparkSession, parse.posts_of(parsed), archive, f"{stream}-{batch_id}")
+        ArchiveLog(batch.sparkSession, archive).compact_if_due()
         if repair:
             failed_pages(parsed).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(repair)
 
