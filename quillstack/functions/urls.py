@@ -81,13 +81,17 @@ def mime_type(path: Column) -> Column:
     return out
 
 
+def is_outside(plain: Column) -> Column:
+    """An inline content or a web address, by its lower-cased beginning."""
+    low = F.lower(plain)
+    return low.startswith("data:") | low.startswith("http://") | low.startswith("https://")
+
+
 def data_uri(path: Column, content: Column) -> Column:
     """Inline form of a local image; urls and paths without content stay as they are.
 
     ``base64`` breaks lines unless ``spark.sql.chunkBase64String.enabled`` is off, so breaks are removed here.
     """
     plain = squeeze(path)
-    low = F.lower(plain)
-    outside = low.startswith("data:") | low.startswith("http://") | low.startswith("https://")
     payload = F.translate(F.base64(content), "\r\n", "")
-    return F.when((plain == "") | outside | content.isNull(), plain).otherwise(F.concat(F.lit("data:"), mime_type(plain), F.lit(";base64,"), payload))
+    return F.when((plain == "") | is_outside(plain) | content.isNull(), plain).otherwise(F.concat(F.lit("data:"), mime_type(plain), F.lit(";base64,"), payload))

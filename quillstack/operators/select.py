@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from quillstack.functions.lines import squeeze as squeeze_text
 from quillstack.functions.text import filled, normalize_space, squeeze
-from quillstack.operators.ordering import numbered
+from quillstack.operators.ordering import islands, numbered
 from quillstack.staging import Stage
 
 #: Intervals that are sent to every task; more are matched by a shuffle.
@@ -167,10 +167,8 @@ def range_selection_join(posts: DataFrame, ranges: DataFrame, value: Column) ->
 
 
 def collapse_ranges(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, label): distinct numbers of a key as ``1-3, 7``."""
-    each = values.filter(F.col(value) >= 1).select(*keys, F.col(value).cast("long").alias("v")).distinct()
-    island = each.withColumn("island", F.col("v") - F.row_number().over(Window.partitionBy(*keys).orderBy("v")))
-    runs = island.groupBy(*keys, "island").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    """(keys, label): distinct numbers of a key as ``1-3, 7``; runs are found over range partitions, and only runs meet in a label."""
+    runs = islands(values.filter(F.col(value) >= 1), keys, value)
     chunk = lambda x: F.when(x["lo"] == x["hi"], x["lo"].cast("string")).otherwise(F.concat(x["lo"].cast("string"), F.lit("-"), x["hi"].cast("string")))
     return runs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("x")).select(*keys, F.array_join(F.transform("x", chunk), ", ").alias("label"))
 
@@ -189,18 +187,33 @@ def filter_label(users: str | None = None, pages: str | None = None, numbers: st
 
 
 def display_label(posts: DataFrame) -> DataFrame:
-    """``label``: the post number, else the position among the posts of its thread; only threads that need positions are sorted."""
+    """``label``: the post number, else the position among the posts of its thread; only threads that need positions are sorted.
+
+    The posts are computed once: what follows reads a staged table.
+    """
     told = F.when(F.col("post_number") != "", F.col("post_number"))
-    some = posts.filter(told.isNull()).select("thread_id").distinct()
-    need = numbered(posts.join(some, "thread_id", "left_semi").select(posts.columns), ["thread_id"], sort_key(), "__place")
-    rest = posts.join(some, "thread_id", "left_anti").select(*posts.columns, told.alias("label"))
+    posts = Stage(posts.sparkSession, "labels").put("posts", posts)
+    some = posts.filter(told.isNull()).select(F.col("thread_id").alias("__thread")).distinct()
+    here = F.col("thread_id").eqNullSafe(F.col("__thread"))
+    need = numbered(posts.join(some, here, "left_semi").select(posts.columns), ["thread_id"], sort_key(), "__place")
+    rest = posts.join(some, here, "left_anti").select(*posts.columns, told.alias("label"))
     return rest.unionByName(need.select(*posts.columns, F.coalesce(told, F.col("__place").cast("string")).alias("label")))
 
 
+#: Rows of a rank up to which every task drops the rest before the shuffle.
+RANKED = 1000
+
+
 def limit_pages(pages: DataFrame, start: int, n: int) -> DataFrame:
-    """The first ``n`` pages of every thread from ``start``."""
-    rank = F.row_number().over(Window.partitionBy("thread_id").orderBy("page"))
-    return pages.filter(F.col("page") >= start).withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    """The first ``n`` pages of every thread from ``start``.
+
+    Of a small ``n`` every task keeps so many rows of a thread before they meet; for a larger one places are counted over range partitions.
+    """
+    here = pages.filter(F.col("page") >= start)
+    if n < RANKED:
+        rank = F.row_number().over(Window.partitionBy("thread_id").orderBy("page"))
+        return here.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
+    return numbered(here, ["thread_id"], [F.col("page")], "__rank").filter(F.col("__rank") <= n).drop("__rank")
 
 
 def explode_lists(posts: DataFrame, column: str) -> DataFrame:

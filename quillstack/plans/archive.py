@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-FIRST_ESTIMATE, WINDOW = 15.0, 5
 
+from quillstack.operators.ordering import scanned
+from quillstack.staging import Stage
 
-def by_page():
-    return Window.partitionBy("thread_id").orderBy("page")
+FIRST_ESTIMATE, WINDOW = 15.0, 5
 
 
 def resume_plan(
@@ -122,15 +120,21 @@ def progress_total_pages(requested: Column, actual: Column, last: Column, limit:
     return F.when(limit.isNotNull(), limited).otherwise(full_total_pages(requested, last))
 
 
+def _page_log(pages: DataFrame) -> DataFrame:
+    """Pages in order, with ``repeated`` (their first post is that of the page before) and ``at``, their place."""
+    seen = scanned(pages, ["thread_id"], [F.col("page")], before={"__before": (F.col("first_post"), 1)}, sums={"at": F.lit(1)})
+    same = (F.col("first_post") != "") & (F.get("__before", F.lit(0)) == F.col("first_post"))
+    return seen.withColumn("repeated", F.coalesce(same, F.lit(False))).drop("__before")
+
+
 def repeated_first_post(pages: DataFrame) -> DataFrame:
     """Pages with ``repeated``: their first post is that of the page before."""
-    before = F.lag("first_post").over(by_page())
-    return pages.withColumn("repeated", F.coalesce((F.col("first_post") != "") & (before == F.col("first_post")), F.lit(False)))
+    return _page_log(pages).drop("at")
 
 
 def stop_reasons(pages: DataFrame, *, start: int = 1, limit: int | None = None) -> DataFrame:
     """Pages (page, n_blocks, n_new, first_post, last_page) with ``reason`` to stop and whether the page still counts."""
-    own = repeated_first_post(pages.filter(F.col("page") >= start)).withColumn("at", F.row_number().over(by_page()))
+    own = _page_log(pages.filter(F.col("page") >= start))
     rules = [
         (F.lit(limit is not None) & (F.col("at") > (limit or 0)), "limit reached", False),
         (F.col("n_blocks") == 0, "no posts on page", False),
@@ -151,10 +155,17 @@ def crawl_stop_page(pages: DataFrame, **options) -> DataFrame:
 
 
 def pages_before_stop(pages: DataFrame, **options) -> DataFrame:
-    """The pages of a run, up to the one that stops it."""
-    told = stop_reasons(pages, **options)
-    over = F.coalesce(F.max(F.col("reason").isNotNull()).over(by_page().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-    return told.withColumn("over", over).filter(~F.col("over") & F.col("counts")).select(pages.columns)
+    """The pages of a run, up to the one that stops it, which is left out unless it counts."""
+    told = Stage(pages.sparkSession, "stops").put("told", stop_reasons(pages, **options))
+    stops = told.filter("reason IS NOT NULL").groupBy(F.col("thread_id").alias("__thread")).agg(F.min("page").alias("__stop"))
+    kept = told.join(stops, F.col("thread_id").eqNullSafe(F.col("__thread")), "left")
+    return kept.filter((F.col("__stop").isNull() | (F.col("page") <= F.col("__stop"))) & F.col("counts")).select(pages.columns)
+
+
+def middle_of(values: Column) -> Column:
+    """Median of an array without nulls; null of an empty one."""
+    line = F.sort_array(values)
+    return (F.get(line, F.floor((F.size(line) - 1) / 2).cast("int")) + F.get(line, F.floor(F.size(line) / 2).cast("int"))) / 2
 
 
 def page_time_estimate(pages: DataFrame, history: Column | None = None) -> DataFrame:
@@ -162,14 +173,15 @@ def page_time_estimate(pages: DataFrame, history: Column | None = None) -> DataF
 
     Weighted mean and median count for nine tenths in all; a historical mean takes its part; never below one second.
     """
-    recent = by_page().rowsBetween(-(WINDOW - 1), 0)
-    values = F.collect_list(F.col("seconds").cast("double")).over(recent)
+    seconds = F.col("seconds").cast("double")
+    seen = scanned(pages, ["thread_id"], [F.col("page")], before={"__before": (seconds, WINDOW - 1)})
+    seen = seen.withColumn("__recent", F.filter(F.concat("__before", F.array(seconds)), lambda x: x.isNotNull()))
+    values = F.col("__recent")
     weighted = F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x) / (F.size(values) * (F.size(values) + 1) / 2)
-    middle = F.percentile(F.col("seconds").cast("double"), F.lit(0.5)).over(recent)
-    estimate = 0.70 * weighted + 0.20 * middle
+    estimate = 0.70 * weighted + 0.20 * middle_of(values)
     if history is not None:
         estimate = F.when(history > 0, 0.85 * estimate + 0.15 * history).otherwise(estimate)
         first = F.when(history > 0, history).otherwise(FIRST_ESTIMATE)
     else:
         first = F.lit(FIRST_ESTIMATE)
-    return pages.withColumn("estimate", F.when(F.size(values) == 0, first).otherwise(F.greatest(F.lit(1.0), estimate)))
+    return seen.withColumn("estimate", F.when(F.size(values) == 0, first).otherwise(F.greatest(F.lit(1.0), estimate))).select(*pages.columns, "estimate")

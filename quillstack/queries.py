@@ -931,6 +931,65 @@ def export_embedded_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.assemble_threads(render.render_html(render.with_embedded(p, picture_files(p))), "html", joiner="\n")
 
 
+#: Bytes of a part in the registered queries: small, so that documents have several.
+PART = 4096
+
+
+def parts_sql(section: str, head: str, foot: str) -> str:
+    """Parts of the documents of all conversations: pieces of long sections, dealt by the bytes before them."""
+    step = PART // 8 - 1
+    return f"""WITH s AS (SELECT thread_id, {ORDER.replace('page, ', 'page AS k1, ').replace(', post_id', ' AS k2, post_id AS k3')}, {section} AS t FROM ({CONV})),
+    c AS (SELECT *, unnest(CASE WHEN strlen(t) + 1 > {PART // 2} THEN range(0, (length(t) - 1) // {step} + 1) ELSE [0] END) AS cut FROM s),
+    p AS (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY k1, k2, k3, cut) AS place,
+        CASE WHEN strlen(t) + 1 > {PART // 2} THEN substr(t, cut * {step} + 1, {step}) ELSE t END AS piece FROM c),
+    b AS (SELECT *, sum(strlen(piece) + CASE WHEN cut = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY place) - strlen(piece) - CASE WHEN cut = 0 THEN 1 ELSE 0 END AS before FROM p),
+    d AS (SELECT thread_id, CAST(before // {PART // 2} + 1 AS INTEGER) AS part, string_agg(CASE WHEN cut = 0 AND place > 1 THEN chr(10) ELSE '' END || piece, '' ORDER BY place) AS text FROM b GROUP BY ALL),
+    h AS (SELECT thread_id, {head} AS text FROM ({CONV}) GROUP BY thread_id)
+    SELECT * FROM d UNION ALL SELECT thread_id, 0, text FROM h UNION ALL SELECT thread_id, max(part) + 1, {foot} FROM d GROUP BY thread_id"""
+
+
+MARKDOWN_HEAD = "'# Thread ' || thread_id || chr(10) || chr(10) || 'Source: https://forum.example/' || thread_id || chr(10) || 'Posts: ' || count(*) || chr(10) || chr(10)"
+HTML_FOOT = "chr(10) || '</body></html>' || chr(10)"
+
+
+def thread_list(p: DataFrame) -> DataFrame:
+    return p.select("thread_id").distinct().select("thread_id", F.concat(F.lit("Thread "), "thread_id").alias("title"), F.concat(F.lit("https://forum.example/"), "thread_id").alias("source_url"))
+
+
+@query("export_markdown_parts", parts_sql(markdown_sql(), MARKDOWN_HEAD, "chr(10)"))
+def export_markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts(spark, sf_dir)
+    return render.markdown_parts(thread_list(p), render.render_markdown(p), part_bytes=PART)[0]
+
+
+@query("export_html_parts", parts_sql(html_sql(), HTML_HEAD, HTML_FOOT))
+def export_html_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = posts(spark, sf_dir)
+    return render.html_parts(thread_list(p), render.render_html(p), part_bytes=PART)[0]
+
+
+@query(
+    "export_embedded_manifest",
+    f"SELECT thread_id, count(*) AS posts, strlen({HTML_HEAD} || string_agg({html_sql(INLINE, 'post_number')}, chr(10) ORDER BY {ORDER}) || {HTML_FOOT}) AS bytes FROM ({CONV}) GROUP BY thread_id",
+)
+def export_embedded_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and posts of the embedded documents, put together of pieces."""
+    p = pictured(spark, sf_dir)
+    return render.html_parts(thread_list(p), render.embedded_pieces(p, picture_files(p), part_bytes=PART), "text", part_bytes=PART)[1].select("thread_id", "posts", "bytes")
+
+
+@query(
+    "embedded_without_ids",
+    f"SELECT thread_id, post_number, 'data:image/png;base64,' || base64(encode(thread_id)) || ' images/' || {NUMBER} || '.jpg' AS shown, CASE WHEN text = '' THEN 0 ELSE 1 END AS n_embedded FROM ({CONV})",
+)
+def embedded_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts whose ids are empty, null or the same for a whole thread: each shows its own images."""
+    n = select.number_of(F.col("post_number"))
+    ident = F.when(n % 3 == 0, "").when(n % 3 == 1, F.lit(None).cast("string")).otherwise(F.lit("same"))
+    p = pictured(spark, sf_dir).withColumn("post_id", ident).withColumn("images", F.array(F.lit("images/a.png"), F.concat(F.lit("images/"), n.cast("string"), F.lit(".jpg"))))
+    return render.with_embedded(p, picture_files(p)).select("thread_id", "post_number", F.array_join("images", " ").alias("shown"), "n_embedded")
+
+
 # ---------------------------------------------------------------- sources, sinks and streams
 
 

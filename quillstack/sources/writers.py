@@ -69,6 +69,12 @@ def write_texts(documents: DataFrame, path: str, column: str = "document", bucke
     _replace(with_bucket(documents.select("thread_id", F.col(column).alias("document")), buckets), path, "thread_bucket")
 
 
+def write_document_parts(parts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Parts of long documents (thread_id, part, text) as a table by thread bucket, in order of thread and part."""
+    placed = with_bucket(parts.select("thread_id", "part", "text"), buckets)
+    _replace(placed.repartitionByRange("thread_bucket", "thread_id", "part").sortWithinPartitions("thread_bucket", "thread_id", "part"), path, "thread_bucket")
+
+
 def write_ordered_parts(parts: DataFrame, path: str, column: str) -> None:
     """Sections of very long threads as ordered part files; the input is range-partitioned and sorted."""
     parts.select(column).write.mode("overwrite").text(path)
