@@ -8,15 +8,15 @@ from itertools import groupby
 
 #: Sequences left by a wrong decoding, and what they stood for, longest first where they overlap.
 MOJIBAKE = (
-    ("\u00e2\u20ac\u2122", "\u2019"),
-    ("\u00e2\u20ac\u02dc", "\u2018"),
-    ("\u00e2\u20ac\u0153", "\u201c"),
-    ("\u00e2\u20ac\x9d", "\u201d"),
-    ("\u00e2\u20ac\u201c", "\u2013"),
-    ("\u00e2\u20ac\u201d", "\u2014"),
-    ("\u00e2\u20ac\u00a6", "\u2026"),
-    ("\u00c2 ", " "),
-    ("\u00c2\xa0", " "),
+    ("â€™", "’"),
+    ("â€˜", "‘"),
+    ("â€œ", "“"),
+    ("â€\x9d", "”"),
+    ("â€“", "–"),
+    ("â€”", "—"),
+    ("â€¦", "…"),
+    ("Â ", " "),
+    ("Â\xa0", " "),
     ("\ufeff", ""),
 )
 
@@ -90,10 +90,10 @@ def drop_echoes(text: str | None) -> str:
 
 
 def distinct_lines(text: str | None) -> str:
-    """First occurrence of each line; runs of empty lines become one."""
+    """First occurrence of each line; lines of which nothing is left when squeezed are empty ones, and runs of these become one."""
     rows = _keyed(text)
     first = {key: i for i, (key, _) in reversed(list(enumerate(rows)))}
-    return "\n".join(single_blanks(line for i, (key, line) in enumerate(rows) if not key or first[key] == i))
+    return "\n".join(single_blanks(line if key else "" for i, (key, line) in enumerate(rows) if not key or first[key] == i))
 
 
 def attachment_artifact(line: str) -> bool:

@@ -1,3 +1,8 @@
+import html
+import random
+import re
+from html.entities import html5
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,6 +11,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import lines as L
 from quillstack.functions import text as T
 from quillstack.functions import urls as U
+from quillstack.operators import merge, report, validate
 from quillstack.operators import select as S
 
 
@@ -71,7 +77,72 @@ def test_text_columns(spark):
         assert value(spark, column, a=given_value) == expected, given_value
 
 
+def column(spark, f, texts):
+    """``f`` of many texts in one job, in their order."""
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, a string").repartition(2)
+    return [x.x for x in rows.select("i", f("a").alias("x")).orderBy("i").collect()]
+
+
+def references():
+    """All named ones, whole, cut and run on; numbers around every bound, in both spellings."""
+    out = []
+    for name in html5:
+        out += [f"&{name}", f"a &{name} b", f"&{name.rstrip(';')}x;", f"&{name[:-1]}", f"&{name}&{name}=1"]
+    bounds = [*range(0, 0x110), 0x2028, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDCF, 0xFDD0, 0xFDEF, 0xFDF0, 0xFFFD, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x1FFFF, 0x20000, 0x10FFFD, 0x10FFFE, 0x10FFFF, 0x110000, 10**9, 10**40]
+    for n in bounds:
+        out += [f"&#{n};", f"&#{n}", f"&#{n}z", f"x&#x{n:x};y", f"&#X{n:X}", f"&#00{n};", f"&#x000{n:x}."]
+    return out + ["", "&", "&&", "&;", "&#", "&#;", "&#x;", "&#x", "& amp;", "&amp;amp;", "&ampamp;", "&notit;", "&NOTIT", "&no\ttab;", "&" + "a" * 40 + ";", "&" + "é" * 40, "&amp" * 50, "x&lt", "&lt&gt", "&😀;", "&am😀p;"]
+
+
+def test_references_equal_the_librarys(spark):
+    texts = references()
+    assert column(spark, lambda c: T.html_unescape(F.col(c)), texts) == [html.unescape(t) for t in texts]
+    assert column(spark, lambda c: T.html_unescape(F.col(c)), [None]) == [None]
+    assert column(spark, lambda c: T.normalize_space(F.col(c)), texts) == [L.squeeze(t) for t in texts]
+
+
+def some_lines(n=3000):
+    r = random.Random(6)
+    words = ["a", "b ", " b", "A", "", " ", "&nbsp;", "\xa0", "x &amp; y", "x & y", "&#10;", "12 KB", "12.5 kb ", "1,204 downloads", "|", "File Type: zip", "Attached File(s)", "attached file(s)", "Sig: s", "Sig:", "Attachment: a", " Attachment:  a&amp;amp;b", "Attachment : no", "é\x96", "â€™", "> q", "٣ KB"]
+    ends = ["\n", "\n", "\n", "\r\n", "\r", "\x0b", "\f", "\x1c", "\x1e", "\x85", "\u2028", "\u2029", "\x1f", "\n\n"]
+    return [None, "", "\n", "\r\n", "\n\n\n", "a\n&nbsp;\nb"] + ["".join(r.choice(words) + r.choice(ends) for _ in range(r.randrange(9))) + r.choice(words) for _ in range(n)]
+
+
+def test_line_columns_equal_the_helpers(spark):
+    texts = some_lines()
+    pairs = [(T.normalize_multiline, L.multiline), (T.dedupe_consecutive_lines, L.drop_echoes), (T.dedupe_all_lines, L.distinct_lines), (T.strip_attachment_artifacts, L.without_artifacts)]
+    for native, helper in pairs:
+        got = column(spark, native, texts)
+        wrong = [(t, g, helper(t)) for t, g in zip(texts, got) if g != (None if t is None else helper(t))]
+        assert not wrong, (native.__name__, wrong[:3])
+
+
+def test_sections_equal_the_helper(spark):
+    r, texts = random.Random(8), some_lines(600)
+    rows = [(i, r.choice(texts), r.choice(texts), r.choice([None, [], ["a", None, " a ", "&nbsp;", "b&amp;c"]]), r.choice(texts)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "i int, b string, t string, l array<string>, s string").repartition(2)
+    got = {x.i: (x.s.body, x.s.attachments, x.s.signature) for x in df.select("i", T.export_sections("b", "t", "l", "s").alias("s")).collect()}
+    for i, *rest in rows:
+        assert got[i] == L.sections(*rest), rest
+
+
+def test_text_stays_in_the_jvm(spark):
+    """Names, lines and sections: no plan hands rows to a Python worker."""
+    p = spark.createDataFrame([("t", "1", "1", "", 1, "a", "", "x", [])], "thread_id string, post_id string, post_number string, post_url string, page int, author string, timestamp string, text string, image_urls array<string>")
+    kept = [report.top_authors(p), report.author_totals(p), report.author_rank(report.author_counts(p)), S.filter_by_users(p, "a"), validate.judged_posts(p), merge.repair_added_vs_replaced(p, p)]
+    kept += [p.select(f("text")) for f in (T.normalize_multiline, T.dedupe_consecutive_lines, T.dedupe_all_lines, T.strip_attachment_artifacts)]
+    kept.append(p.select(T.export_sections("text", "text", F.array().cast("array<string>"), "text")))
+    assert not [d for d in kept if re.search("EvalPython|InArrow|InPandas", d._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_many_lines_take_time_in_proportion(spark):
+    text = "\n".join(f"line {i % 7000}" for i in range(150_000))
+    assert column(spark, T.dedupe_all_lines, [text]) == ["\n".join(f"line {i}" for i in range(7000))]
+    assert column(spark, T.dedupe_consecutive_lines, [text]) == [text]
+
+
 def test_line_helpers():
+    assert L.distinct_lines("a\n&nbsp;\nb") == "a\n\nb"
     assert L.multiline("\n a  b \n\n\n c\n\n") == "a b\n\nc"
     assert L.drop_echoes("a\na\n\na\nb\nb ") == "a\n\na\nb"
     assert L.distinct_lines("a\nb\n\n\na\nc") == "a\nb\n\nc"
