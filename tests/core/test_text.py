@@ -135,6 +135,28 @@ def test_text_stays_in_the_jvm(spark):
     assert not [d for d in kept if re.search("EvalPython|InArrow|InPandas", d._jdf.queryExecution().executedPlan().toString())]
 
 
+def hostile_urls():
+    r = random.Random(12)
+    parts = ["http", "HTTPS", "ftp", "foo", "1x", ":", ":", "//", "//", "/", "///", "a.b", "user@h", "[::1]", "[", "]", "[1:2::3.4.5.6]", "[v1.x]", "[12345::]", "[fe80::1%eth0]", "\uff1a", "\u2100", "é", "?", "?", "&", "&", "=", "page=3", "page", "a=1", "b=%20x", "c=+y", "%zz", "%", "%C3%A9", "%FF%FE", "*~-_.", "a=2", ";", ";p", "#", "#f", "\t", "\n", " ", "\x1f", "\x00", "日本", "'\"<>", "|"]
+    fixed = ["", " ", "?", "#", "//", "///x", "////x", "http:", "http:x", "http:/x", "http://", "http://h", "http://h?", "http://h/?&&", "http://h;?a", "http://h/a;b/c;", "foo:///x", "file:///x", "mailto:a@b?page=1&x=1", "//h/p?page=1", "a?page=1&page=2", "http://h/p?=v&=w&k", "http://h/p??a=1?", "http://h/p?a=1&b=2&a=3&page=9&b=", "x:y:z", "http://h\u212fx/", "http://[::ffff:1.2.3.4]:80/x?a", "http://[1::2::3]/", "http://[::1]x/", "http://x[::1]/", "http://h/%E2%82?q=%E2%82&r=%F0%9F%98", "https://x.org/t/9-a?a=1&page=3&b=2#p"]
+    for scheme in ("", "http:", "foo:"):
+        fixed += [f"{scheme}//[{a}]/p?page=2&x=1" for a in ("", "1", "::", "1::", "::1", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "1::2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4", "::256.1.1.1", "::01.2.3.4", "g::", "v1.", "v.x", "vF.y:z", "::1%", "::1%a%b", "1.2.3.4")]
+    return [None, *fixed] + ["".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(12_000)]
+
+
+def test_thread_urls_equal_the_helper(spark):
+    def helper(u):
+        try:
+            return U.normalized(u)
+        except ValueError:
+            return u.strip()
+
+    urls = hostile_urls()
+    got = column(spark, lambda c: U.normalize_thread_url(F.col(c)), urls)
+    wrong = [(u, g, helper(u)) for u, g in zip(urls, got) if g != helper(u)]
+    assert not wrong, (len(wrong), wrong[:6])
+
+
 def test_many_lines_take_time_in_proportion(spark):
     text = "\n".join(f"line {i % 7000}" for i in range(150_000))
     assert column(spark, T.dedupe_all_lines, [text]) == ["\n".join(f"line {i}" for i in range(7000))]
