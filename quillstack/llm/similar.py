@@ -205,9 +205,10 @@ def similar_pairs(stage: Stage, docs: DataFrame, *, words: int = 5, similarity:
     shared = made.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "rest")).alias("least"), F.max("doc_id").alias("last")).filter("least.doc_id <> last")
     rows = stage.put("rows", made.join(shared.select("shingle", F.col("least.doc_id").alias("b"), F.col("least.n").alias("nb"), F.col("least.rest").alias("rb")), "shingle"))
     stage.drop("prefixes")
-    star = rows.filter("doc_id <> b").filter(F.least("rest", "rb") >= common_of(similarity, "n", "nb")).groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"))
+    possible = F.least("rest", "rb") >= common_of(similarity, "n", "nb")
+    star = rows.filter("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("same"), F.max("n").alias("n"), F.bool_or(possible).alias("possible"))
     # Here a share is enough to try: what is left out is met below.
-    tried = stage.put("tried", star.filter(F.col("same") >= F.col("n") * (both_of(similarity) - similarity)).select("a", "b"))
+    tried = stage.put("tried", star.filter("possible").filter(F.col("same") >= F.col("n") * (both_of(similarity) - similarity)).select("a", "b"))
     first = compared(stage, tried, single, words, similarity)
     joined = components(stage, first).select(F.col("node").alias("doc_id"), "component")
     labelled = stage.put("labelled", rows.join(joined, "doc_id", "left").select("shingle", "doc_id", "n", "rest", F.coalesce("component", "doc_id").alias("component")))
