@@ -1118,15 +1118,32 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{stage.root}/out").select("thread_id", "post_id")
 
 
-@query("stream_page_validation", f"SELECT DISTINCT thread_id, page FROM ({CONV}) WHERE page = 2")
+@query("stream_dedupe_archive", f"SELECT thread_id, post_id, page FROM ({CONV}) UNION ALL SELECT thread_id, '', page FROM ({CONV}) WHERE {NUMBER} % 3 = 1")
+def stream_dedupe_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts arrive twice, some without an id; half of them are in the archive before."""
+    stage, p = Stage(spark, "dedupe-archive"), posts(spark, sf_dir)
+    n = select.number_of(F.col("post_number"))
+    both = p.unionByName(p.filter(n % 3 == 1).withColumn("post_id", F.lit("")))
+    stage.put("posts", both.unionByName(both).repartition(4))
+    log = ArchiveLog(spark, f"{stage.root}/archive")
+    log.append(both.filter(n % 2 == 0))
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(stage.paths["posts"])
+    ingest.dedupe_into(stream, log, f"{stage.root}/checkpoint")
+    return log.read().select("thread_id", "post_id", "page")
+
+
+@query("stream_page_validation", f"SELECT DISTINCT thread_id, page, CASE WHEN CAST(thread_id AS BIGINT) % 2 = 0 THEN 'repair' ELSE 'retry' END AS action FROM ({CONV}) WHERE page = 2")
 def stream_page_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second page loses its posts but keeps its number anchors: it must go to repair."""
-    stage = Stage(spark, "validation")
-    broken = F.when(F.col("page") == 2, F.regexp_replace("html", "<div[^>]*>|</div>", "")).otherwise(F.col("html"))
-    raw = stage.put("raw", forum_pages(spark, sf_dir).withColumn("html", broken))
-    stream = spark.readStream.schema(raw.schema).parquet(stage.paths["raw"])
-    ingest.ingest_pages_stream(spark, stream, f"{stage.root}/archive", f"{stage.root}/checkpoint", f"{stage.root}/repair")
-    return spark.read.parquet(f"{stage.root}/repair").filter("page = 2").select("thread_id", "page")
+    """Every second page loses its posts but keeps its number anchors; on its second arrival it is whole in every other thread, and must go to repair in the rest."""
+    stage, pages = Stage(spark, "validation"), forum_pages(spark, sf_dir)
+    spoilt = F.regexp_replace("html", "<div[^>]*>|</div>", "")
+    even = F.col("thread_id").cast("long") % 2 == 0
+    for k, broken in enumerate((F.col("page") == 2, (F.col("page") == 2) & even)):
+        pages.withColumn("html", F.when(broken, spoilt).otherwise(F.col("html"))).write.mode("append").parquet(f"{stage.root}/raw")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{stage.root}/raw")
+        ingest.ingest_pages_stream(spark, stream, f"{stage.root}/archive", f"{stage.root}/checkpoint", f"{stage.root}/repair")
+    last = spark.read.schema(ingest.ACTIONS).parquet(f"{stage.root}/repair/actions").filter("page = 2")
+    return last.groupBy("thread_id", "page").agg(F.max_by("action", "attempts").alias("action"))
 
 
 # ---------------------------------------------------------------- renaming

@@ -19,12 +19,13 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions.text import filled
 from quillstack.operators.merge import first_by, merge_key
 from quillstack.schemas import POSTS
+from quillstack.staging import Stage
 
 BUCKETS = 64
 #: Keys of later batches that are sent to every task of the base's scan.
@@ -33,6 +34,13 @@ FEW_KEYS = 500_000
 DUE = 0.5
 
 
+def post_key() -> Column:
+    """One key a post: its id in the thread, or without one all that tells it apart."""
+    named = filled(F.col("post_id")) != ""
+    other = F.concat_ws("\u0001", filled(F.col("post_url")), F.coalesce(F.col("page"), F.lit(0)).cast("string"), filled(F.col("post_number")))
+    return F.struct(F.coalesce("thread_id", F.lit("\u0001")).alias("t"), F.when(named, F.concat(F.lit("i"), F.col("post_id"))).otherwise(F.concat(F.lit("o"), other)).alias("k"))
+
+
 class ArchiveLog:
     """Appends to, reads and compacts the archive at ``path``."""
 
@@ -115,18 +123,35 @@ class ArchiveLog:
         return stored.unionByName(self._not_in(later, stored, batches), allowMissingColumns=True)
 
     def _not_in(self, later: DataFrame, stored: DataFrame, batches: list[tuple[int, str]]) -> DataFrame:
-        """Posts of later batches that the base does not hold; what is compared is one key a post, its id or else all that tells it apart."""
-        named = filled(F.col("post_id")) != ""
-        other = F.concat_ws("\u0001", filled(F.col("post_url")), F.coalesce(F.col("page"), F.lit(0)).cast("string"), filled(F.col("post_number")))
-        key = F.struct(F.coalesce("thread_id", F.lit("\u0001")).alias("t"), F.when(named, F.concat(F.lit("i"), F.col("post_id"))).otherwise(F.concat(F.lit("o"), other)).alias("k"))
+        """Posts of later batches that the base does not hold."""
         raw = reduce(lambda a, b: a.unionByName(b), (self.spark.read.parquet(f"{self.path}/batch/{name}").select("thread_id", "post_id", "post_url", "page", "post_number", "thread_bucket") for _, name in batches))
-        touched = [r[0] for r in raw.select("thread_bucket").distinct().collect()]  # at most the number of buckets
+        return self._unheld(later, raw, stored)
+
+    def _unheld(self, rows: DataFrame, asked: DataFrame, stored: DataFrame) -> DataFrame:
+        """``rows`` whose key ``stored`` does not hold; ``asked`` has at least their keys and is cheap to read."""
+        key = post_key()
+        touched = [r[0] for r in asked.select("thread_bucket").distinct().collect()]  # at most the number of buckets
         held = stored.filter(F.col("thread_bucket").isin(touched)).select(key.alias("__key"))
-        if raw.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
+        if asked.limit(FEW_KEYS + 1).count() <= FEW_KEYS:
             # Few keys visit the base where it lies; what they meet is no more than they are.
-            held = held.join(F.broadcast(raw.select(key.alias("__asked")).distinct()), F.col("__key") == F.col("__asked"), "left_semi").distinct()
-        columns = later.columns
-        return later.withColumn("__own", key).join(held, F.col("__own") == F.col("__key"), "left_anti").select(columns)
+            held = held.join(F.broadcast(asked.select(key.alias("__asked")).distinct()), F.col("__key") == F.col("__asked"), "left_semi").distinct()
+        columns = rows.columns
+        return rows.withColumn("__own", key).join(held, F.col("__own") == F.col("__key"), "left_anti").select(columns)
+
+    def append_new(self, posts: DataFrame, token: str | None = None) -> DataFrame:
+        """Like ``append``, but writes only posts that the archive does not hold, once each, and returns these.  Of one batch the first by content stays."""
+        token = (token or uuid.uuid4().hex).replace("/", "_")
+        once = self._bucketed(first_by(posts.drop("raw_html", "thread_bucket"), [post_key().alias("__k")], F.xxhash64(*[c for c in posts.columns if c not in ("raw_html", "thread_bucket")])))
+        once = Stage(self.spark, "new").put("batch", once)
+        keys = ["thread_id", "post_id", "post_url", "page", "post_number", "thread_bucket"]
+        base = self._base()[1]
+        earlier = [f"{self.path}/base/{base}"] if base else []
+        earlier += [f"{self.path}/batch/{name}" for _, name in self._batches() if name.partition("-")[2] != token]
+        fresh = once
+        if earlier:
+            fresh = self._unheld(once, once, reduce(lambda a, b: a.unionByName(b), (self.spark.read.parquet(p).select(keys) for p in earlier)))
+        name = self.append(fresh, token)
+        return self.spark.read.schema(once.schema).parquet(f"{self.path}/batch/{name}")
 
     # ------------------------------------------------------------ merging
 

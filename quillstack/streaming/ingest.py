@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstack.operators import parse
-from quillstack.sources.archive_log import ArchiveLog
+from quillstack.sources.archive_log import ArchiveLog, post_key
 from quillstack.sources.readers import PAGE_FILE
 from quillstack.staging import Stage
 
@@ -41,14 +43,72 @@ def ingest_pages_stream(spark: SparkSession, pages: DataFrame, archive: str, che
         upsert_posts(batch.sparkSession, parse.posts_of(parsed), archive, f"{stream}-{batch_id}")
         ArchiveLog(batch.sparkSession, archive).compact_if_due()
         if repair:
-            failed_pages(parsed).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(repair)
+            seen = parse.validated_pages(parsed).select("thread_id", "page", F.lit(batch_id).cast("long").alias("arrival"), "validation.passed", "validation.warnings")
+            seen.write.mode("append").parquet(f"{repair}/validated")
 
-    return run_available(pages, step, checkpoint)
+    query = run_available(pages, step, checkpoint)
+    if repair:
+        judge_pages(pages.sparkSession, repair, f"{checkpoint}-retries")
+    return query
+
+
+#: Arrivals of a page that fails up to which it is asked for again; then it goes to repair.
+RETRIES = 1
+#: How long a failed page may wait for its next arrival before it goes to repair.
+PATIENCE = "1 hour"
+SEEN = "thread_id string, page int, arrival long, passed boolean, warnings array<string>"
+ACTIONS = "thread_id string, page int, action string, attempts int, warnings array<string>"
+
+
+def page_actions(seen: DataFrame, *, retries: int = RETRIES, patience: str = PATIENCE) -> DataFrame:
+    """(thread_id, page, action, attempts, warnings) of a stream of validated pages: ``retry`` asks for a page again, ``repair`` gives it up.
+
+    State is kept for failing pages only, until they pass, go to repair or have waited for ``patience``.  Rows of one arrival are one attempt, and pass if any of them does; an
+    arrival that was counted already, as after a restart, counts no more.
+    """
+    wait = int(pd.Timedelta(patience).total_seconds() * 1000)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        attempts, last, warnings = state.get if state.exists else (0, -1, [])
+        if state.hasTimedOut:
+            out.append((*key, "repair", attempts, list(warnings)))
+            state.remove()
+        else:
+            rows = pd.concat(list(batches))
+            for arrival, own in sorted(rows[rows.arrival > last].groupby("arrival"), key=lambda x: x[0]):
+                last = int(arrival)
+                if own.passed.any():
+                    attempts = 0
+                    continue
+                attempts, warnings = attempts + 1, list(own.warnings.iloc[0])
+                out.append((*key, "retry" if attempts <= retries else "repair", attempts, warnings))
+                if attempts > retries:
+                    attempts = 0
+            if attempts:
+                state.update((attempts, last, warnings))
+                state.setTimeoutDuration(wait)
+            elif state.exists:
+                state.remove()
+        # Of one batch only the last word on a page counts: a retry that has come already is not asked for.
+        if out and (attempts or out[-1][2] == "repair"):
+            yield pd.DataFrame(out[-1:], columns=["thread_id", "page", "action", "attempts", "warnings"])
+
+    return seen.groupBy("thread_id", "page").applyInPandasWithState(step, ACTIONS, "attempts int, last long, warnings array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def judge_pages(spark: SparkSession, repair: str, checkpoint: str, **options):
+    """Runs ``page_actions`` over all validated pages that have arrived, and adds to the table ``<repair>/actions``."""
+    seen = spark.readStream.schema(SEEN).parquet(f"{repair}/validated")
+    # One batch: with timeouts by the clock, a run over all that is there would go on with empty batches for ever.
+    query = page_actions(seen, **options).writeStream.format("parquet").option("path", f"{repair}/actions").option("checkpointLocation", checkpoint).trigger(once=True).start()
+    query.awaitTermination()
+    return query
 
 
-def failed_pages(parsed: DataFrame) -> DataFrame:
-    """(thread_id, page, warnings) of pages that fail validation; a page is one row, so no state is kept."""
-    return parse.validated_pages(parsed).filter("NOT validation.passed").select("thread_id", "page", "validation.warnings")
+def pages_to(spark: SparkSession, repair: str, action: str) -> DataFrame:
+    """(thread_id, page, attempts, warnings) of pages asked for again (``retry``) or given up (``repair``), in all."""
+    return spark.read.schema(ACTIONS).parquet(f"{repair}/actions").filter(F.col("action") == action).drop("action")
 
 
 def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str):
@@ -62,8 +122,28 @@ def stream_dedupe(posts: DataFrame, watermark: str | None = None, delay: str = "
     """First occurrence of each post id of a stream.
 
     Without a watermark ids are remembered for ever, as an archive must: the state grows with the archive, so for
-    large ones use ``upsert_posts``.  With a watermark column ids are forgotten after ``delay``: bounded, but a different result.
+    large ones use ``dedupe_into``.  With a watermark column ids are forgotten after ``delay``: bounded, but a different result.
     """
     if watermark is None:
         return posts.dropDuplicates(["thread_id", "post_id"])
     return posts.withWatermark(watermark, delay).dropDuplicatesWithinWatermark(["thread_id", "post_id"])
+
+
+def dedupe_into(posts: DataFrame, archive: ArchiveLog, checkpoint: str, *, delay: str = "10 minutes", emit: Callable[[DataFrame, int], None] | None = None):
+    """Adds the posts of a stream that the archive does not hold, each once, and hands them to ``emit``; ends when all that is there is done.
+
+    Repeats within ``delay`` of their arrival meet in the state store, which forgets them then; older ones are found in the archive, of whose touched
+    buckets only keys are read.  So the state is bounded by what arrives in ``delay``, and nothing is ever taken for new twice.
+    """
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    key = post_key()
+    timed = posts.withColumn("__at", F.current_timestamp()).withColumn("__thread", key["t"]).withColumn("__post", key["k"])
+    recent = timed.withWatermark("__at", delay).dropDuplicatesWithinWatermark(["__thread", "__post"]).drop("__at", "__thread", "__post")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = archive.append_new(batch, f"{stream}-{batch_id}")
+        if emit:
+            emit(fresh, batch_id)
+        archive.compact_if_due()
+
+    return run_available(recent, step, checkpoint)

@@ -4,6 +4,7 @@ import pytest
 
 from quillstack.operators import parse
 from quillstack.sources import readers, writers
+from quillstack.sources.archive_log import ArchiveLog
 from quillstack.streaming import ingest
 
 HTML = '<h1>T</h1><div class="post"><a class="username">a</a><span class="date">Jan 5, 2024 1:05pm</span> <a href="/thread/post/{i}"># {n}</a><div class="message">text number {i} that is long enough</div></div>'
@@ -51,9 +52,9 @@ def test_stream_equals_batch(spark, root, tmp_path):
     out = [f"{tmp_path}/{x}" for x in ("archive", "checkpoint", "repair")]
     ingest.ingest_pages_stream(spark, stream(), *out)
     want = {(x.thread_id, x.post_id) for x in parse.posts_of(parse.parse_pages(readers.read_raw_pages(spark, root))).filter("accepted").collect()}
-    got = lambda: sorted((x.thread_id, x.post_id) for x in spark.read.parquet(out[0]).collect())
+    got = lambda: sorted((x.thread_id, x.post_id) for x in ArchiveLog(spark, out[0]).read().collect())
     assert got() == sorted(want) and want
-    assert {(x.thread_id, x.page) for x in spark.read.schema("thread_id string, page int").parquet(out[2]).collect()} == set()
+    assert ingest.pages_to(spark, out[2], "repair").collect() == [] and ingest.pages_to(spark, out[2], "retry").collect() == []
     (tmp_path / "t2" / "raw_html" / "page_0003.html").write_text(HTML.format(i=2, n=2) + HTML.format(i=3, n=3))
     ingest.ingest_pages_stream(spark, stream(), *out)
     assert got() == sorted(want | {("t2", "3")})
