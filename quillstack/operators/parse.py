@@ -500,11 +500,27 @@ def parse_html(html: str | None, page: int | None, page_url: str | None) -> dict
     }
 
 
+#: Characters of HTML that are parsed and handed back at a time; one longer page is a slice alone.
+SLICE = 1 << 20
+
+
+def slices(batch: pd.DataFrame, limit: int = SLICE) -> Iterator[pd.DataFrame]:
+    """Rows in their order, so many at a time that their HTML stays within the limit."""
+    begin = total = 0
+    for i, html in enumerate(batch.html):
+        size = len(html) if isinstance(html, str) else 0
+        if i > begin and total + size > limit:
+            yield batch.iloc[begin:i]
+            begin, total = i, 0
+        total += size
+    yield batch.iloc[begin:]
+
+
 def parse_pages(raw_pages: DataFrame) -> DataFrame:
     """One row per page of raw pages (thread_id, page, page_url, html); no shuffle.  Pages without HTML have no blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = [parse_html(h, None if pd.isna(p) else int(p), u) for h, p, u in zip(batch.html, batch.page, batch.page_url)]
             yield pd.concat([batch[["thread_id", "page", "page_url"]].reset_index(drop=True), pd.DataFrame(rows, columns=["title", "links", "expected", "blocks"])], axis=1)
 

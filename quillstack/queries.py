@@ -202,12 +202,21 @@ def strip_attachment_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strip_attachment_artifacts(spoilt).alias("out"))
 
 
-@query("is_noise_line", "SELECT event_id, regexp_matches(props, '^\\d+$') OR trim(props) = '' AS noise, false AS author_echo, true AS date_echo, true AS label_echo, true AS word FROM events")
+@query(
+    "is_noise_line",
+    """SELECT event_id, regexp_matches(props, '^\\d+$') OR trim(props) = '' AS noise, false AS author_echo, event_id % 2 = 0 AS date_echo, event_id % 3 = 0 AS label_echo, event_id % 5 = 0 AS word, event_id % 4 = 0 AS statistics FROM events""",
+)
 def is_noise_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that echo the row's own date or label, or another one's; words of the interface beside others; statistics and what only looks like them."""
     e = read_table(spark, sf_dir, "events")
-    t, n, line = F.date_format("ts", "MMM d, yyyy h:mma"), F.col("event_id").cast("string"), T.squeeze(F.col("props"))
+    i = F.col("event_id")
+    t, n, line = F.date_format("ts", "MMM d, yyyy h:mma"), i.cast("string"), T.squeeze(F.col("props"))
     noise = lambda x: T.is_noise_line(x, t, n)
-    return e.select("event_id", noise(line).alias("noise"), noise(F.concat(F.lit("user_"), n)).alias("author_echo"), noise(t).alias("date_echo"), noise(F.concat(F.lit("# "), n)).alias("label_echo"), noise(F.lit("Top of Page")).alias("word"))
+    other = lambda k, own, off: F.when(i % k == 0, own).otherwise(off)
+    date = other(2, t, F.date_format(F.expr("ts + INTERVAL 1 DAY"), "MMM d, yyyy h:mma"))
+    label, word = F.concat(F.lit("# "), other(3, n, F.concat(F.lit("x"), n))), other(5, F.lit("Top of Page"), F.lit("Top of the page"))
+    statistics = F.concat(F.lit("Joined 2020 | "), n, other(4, F.lit(" Posts"), F.lit(" Post")))
+    return e.select("event_id", noise(line).alias("noise"), noise(F.concat(F.lit("user_"), n)).alias("author_echo"), noise(date).alias("date_echo"), noise(label).alias("label_echo"), noise(word).alias("word"), noise(statistics).alias("statistics"))
 
 
 @query(
@@ -222,11 +231,13 @@ def normalize_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "normalize_image_url",
-    "SELECT page_id, '/attachment/image/' || CAST(page_id AS VARCHAR) AS full_size, url || '/thumbnail' AS other FROM pages",
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url || '/attachment/image/' || page_id || '?d=1' WHEN page_id % 3 = 1 THEN url || '/attachment/image/' || page_id ELSE url || '/attachment/file/' || page_id || '/thumbnail' END AS out FROM pages""",
 )
 def normalize_image_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("page_id").cast("string")
-    return read_table(spark, sf_dir, "pages").select("page_id", U.normalize_image_url(F.concat(F.lit("/attachment/image/"), i, F.lit("/thumbnail"))).alias("full_size"), U.normalize_image_url(F.concat("url", F.lit("/thumbnail"))).alias("other"))
+    """Thumbnails of attached images, whole images, and thumbnails of something else."""
+    i, k = F.col("page_id").cast("string"), F.col("page_id") % 3
+    end = F.when(k == 0, F.concat(F.lit("/attachment/image/"), i, F.lit("/thumbnail?d=1"))).when(k == 1, F.concat(F.lit("/attachment/image/"), i)).otherwise(F.concat(F.lit("/attachment/file/"), i, F.lit("/thumbnail")))
+    return read_table(spark, sf_dir, "pages").select("page_id", U.normalize_image_url(F.concat("url", end)).alias("out"))
 
 
 @query(
@@ -336,11 +347,16 @@ def filter_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "attachment_label",
-    "SELECT page_id, 'file.zip | ' || CAST(page_id AS VARCHAR) || ' KB | 7 downloads' AS named, regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$') AS unnamed FROM pages",
+    """SELECT page_id, concat_ws(' | ', CASE WHEN page_id % 3 = 0 THEN regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$') ELSE 'file ' || page_id || '.zip' END,
+        CASE WHEN page_id % 4 > 0 THEN page_id || CASE page_id % 4 WHEN 1 THEN ' KB' WHEN 2 THEN '.5 mb' ELSE ' bytes' END END, CASE WHEN page_id % 5 > 0 THEN page_id || ' downloads' END) AS out FROM pages""",
 )
 def attachment_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = F.concat(F.lit("file.zip "), F.col("page_id").cast("string"), F.lit(" KB  7 downloads "), F.col("page_id").cast("string"), F.lit(" KB"))
-    return read_table(spark, sf_dir, "pages").select("page_id", T.attachment_label(F.lit("! file.zip"), row, F.col("url")).alias("named"), T.attachment_label(F.lit(""), F.lit(""), F.col("url")).alias("unnamed"))
+    """Labels with and without a mark, or none; rows with sizes in several units, twice, or none; with and without downloads."""
+    i, n = F.col("page_id").cast("string"), F.col("page_id")
+    label = F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit("! file  "), i, F.lit(".zip"))).otherwise(F.concat(F.lit(" file "), i, F.lit(".zip ")))
+    size = F.when(n % 4 == 0, "").when(n % 4 == 1, F.concat(i, F.lit(" KB"))).when(n % 4 == 2, F.concat(i, F.lit(".5 mb"))).otherwise(F.concat(i, F.lit(" bytes")))
+    row = F.concat(F.lit("plan "), size, F.lit("  | "), F.when(n % 5 == 0, "").otherwise(F.concat(i, F.lit("  downloads"))), F.lit(" of "), size)
+    return read_table(spark, sf_dir, "pages").select("page_id", T.attachment_label(label, row, F.col("url")).alias("out"))
 
 
 # ---------------------------------------------------------------- selections, order, labels
@@ -371,9 +387,12 @@ def empty_selection_keeps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.apply_export_filters(A.conversation_posts(spark, sf_dir), users=" , ", pages="abc", numbers="1-2-3").select("post_id")
 
 
-@query("unknown_date_posts", f"SELECT post_id FROM ({CONV}) WHERE \"timestamp\" = 'Unknown date'")
+@query("unknown_date_posts", f"SELECT post_id FROM ({CONV}) WHERE {NUMBER} % 3 = 1")
 def unknown_date_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.unknown_date_posts(A.conversation_posts(spark, sf_dir)).select("post_id")
+    """Every third post is without a date; others have one, in words or empty."""
+    n = select.number_of(F.col("post_number"))
+    dated = F.when(n % 3 == 1, "Unknown date").when(n % 3 == 2, "Jan 5, 2024 1:05pm").otherwise("")
+    return validate.unknown_date_posts(A.conversation_posts(spark, sf_dir).withColumn("timestamp", dated)).select("post_id")
 
 
 @query("public_posts", CONV)

@@ -132,6 +132,15 @@ def test_parser(spark):
     assert [x.post_number for x in accepted] == ["1", "2", "1003"] and accepted[1].text.endswith("Sig: my sig\nSig: bye")
 
 
+def test_pages_are_parsed_in_slices():
+    import pandas as pd
+
+    batch = pd.DataFrame({"html": ["a" * 10, None, "b" * 25, "", "c" * 8, "d" * 8, "e" * 8], "page": range(7)})
+    got = [list(x.page) for x in parse.slices(batch, 20)]
+    assert got == [[0, 1], [2], [3, 4, 5], [6]]
+    assert [len(x) for x in parse.slices(batch.iloc[:0], 20)] == [0]
+
+
 def test_hostile_pages():
     for html in ("", "<", "<p", "</div></div>", "<div>" * 300, "<a href='/thread/post/1'># 1</a>", "<table><tr><td>a<tr><td>b", "\0퟿"):
         assert isinstance(parse.parse_html(html, 1, "")["blocks"], list)
