@@ -15,9 +15,14 @@ def _name():
     return F.col("_metadata.file_name")
 
 
+def file_path():
+    """Path of the file that a row is from, as it is named: the reader gives it with per cent signs for blanks and more."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def _thread(depth: int):
     """Name of the folder ``depth`` levels above a file."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -(depth + 1))
+    return F.element_at(F.split(file_path(), "/"), -(depth + 1))
 
 
 def read_raw_pages(spark: SparkSession, path: str) -> DataFrame:

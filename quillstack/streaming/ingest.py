@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillstack.operators import parse
 from quillstack.sources.archive_log import ArchiveLog, post_key
-from quillstack.sources.readers import PAGE_FILE
+from quillstack.sources.readers import PAGE_FILE, file_path
 from quillstack.staging import Stage
 
 
@@ -21,7 +21,7 @@ def pages_stream(spark: SparkSession, path: str, max_files: int | None = None) -
     reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "page_*.html").option("recursiveFileLookup", True)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    parts = F.split(F.col("_metadata.file_path"), "/")
+    parts = F.split(file_path(), "/")
     return reader.schema("value string").format("text").load(path).select(F.element_at(parts, -3).alias("thread_id"), F.regexp_extract(F.col("_metadata.file_name"), PAGE_FILE, 1).try_cast("int").alias("page"), F.lit("").alias("page_url"), F.make_valid_utf8("value").alias("html"))
 
 
