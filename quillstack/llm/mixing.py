@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from quillstack.staging import Stage
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Steps that share out what single targets have beyond their bound.
-FILLS = 8
+#: Steps in SQL that share out what single targets have beyond their bound, and how little a step may change what each free share gets to be the last.
+FILLS, SETTLED = 12, 1e-12
 #: A weight this near to its bound counts as held there.
 NEAR = 1 - 1e-9
 #: Characters whose share tells a register, and the share from which on it does (one of so many characters).
@@ -77,19 +77,23 @@ def margins_of(cells: DataFrame, temper: float, targets: DataFrame | None) -> Da
 
 
 def with_targets(margins: DataFrame, everything: float, keep: float) -> DataFrame:
-    """Margins with ``target`` in tokens; only a number per dimension passes the driver in each of at most ``FILLS`` steps."""
+    """Margins with ``target`` in tokens; only a number per dimension passes the driver in each step.
+
+    Each step but the last brings at least one more value to its bound, so there are no more steps than values.
+    """
     bound = F.col("tokens") / keep
     scale: dict[str, float] = {}
-    for _ in range(FILLS):
+    while True:
         now = F.lit(0.0)
         for d, x in scale.items():
             now = F.when(F.col("dimension") == d, F.lit(x)).otherwise(now)
         full = (F.col("share") * now >= bound) & F.lit(bool(scale))
         told = margins.groupBy("dimension").agg(F.sum(F.when(full, bound).otherwise(0.0)).alias("bounded"), F.sum(F.when(full, 0.0).otherwise(F.col("share"))).alias("free"))
         new = {x.dimension: (everything - x.bounded) / x.free if x.free > 0 else scale.get(x.dimension, 0.0) for x in told.collect()}
-        if new == scale:
-            break
+        same = new.keys() == scale.keys() and all(abs(x - scale[d]) <= SETTLED * abs(x) for d, x in new.items())
         scale = new
+        if same:
+            break
     factor = F.lit(0.0)
     for d, x in scale.items():
         factor = F.when(F.col("dimension") == d, F.lit(x)).otherwise(factor)
@@ -107,8 +111,8 @@ def raked_by(cells: DataFrame, dimension: str, keep: float) -> DataFrame:
     return cells.join(sums, dimension).withColumn("weight", new).drop("held", "free")
 
 
-def rake(stage: Stage, cells: DataFrame, everything: float, *, rounds: int, keep: float, tolerance: float) -> DataFrame:
-    """Cells with ``weight``, the raked tokens, at most tokens / keep."""
+def rake(stage: Stage, cells: DataFrame, everything: float, *, rounds: int, keep: float, tolerance: float) -> tuple[DataFrame, bool]:
+    """Cells with ``weight``, the raked tokens, at most tokens / keep, and whether the last round moved no more than the tolerance."""
     cells = cells.withColumn("weight", F.col("tokens"))
     for k in range(rounds):
         new = cells.withColumn("before", F.col("weight"))
@@ -116,9 +120,9 @@ def rake(stage: Stage, cells: DataFrame, everything: float, *, rounds: int, keep
             new = raked_by(new, d, keep)
         new = stage.put("cells", new)
         if (new.agg(F.sum(F.abs(F.col("weight") - F.col("before")))).first()[0] or 0.0) <= tolerance * everything:
-            return new.drop("before")
+            return new.drop("before"), True
         cells = new.drop("before")
-    return cells
+    return cells, False
 
 
 def chance(id_col: Column) -> Column:
@@ -126,8 +130,8 @@ def chance(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("null"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def cell_odds(stage: Stage, each: DataFrame, *, keep: float, temper: float, rounds: int, tolerance: float, targets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(source, lang, topic, tokens, weight, probability) of every cell, and (dimension, value, tokens, share, target) of every value."""
+def cell_odds(stage: Stage, each: DataFrame, *, keep: float, temper: float, rounds: int, tolerance: float, targets: DataFrame | None) -> tuple[DataFrame, DataFrame, bool]:
+    """(source, lang, topic, tokens, weight, probability) of every cell, (dimension, value, tokens, share, target) of every value, and whether raking settled."""
     cells = stage.put("counts", each.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     everything = cells.agg(F.sum("tokens")).first()[0] or 0.0
     margins = stage.put("margins", margins_of(cells, temper, targets))
@@ -135,26 +139,26 @@ def cell_odds(stage: Stage, each: DataFrame, *, keep: float, temper: float, roun
     aimed = cells
     for d in DIMENSIONS:
         aimed = aimed.join(margins.filter(F.col("dimension") == d).select(F.col("value").alias(d), F.col("target").alias(f"target_{d}")), d)
-    raked = rake(stage, stage.put("aimed", aimed), everything, rounds=rounds, keep=keep, tolerance=tolerance)
+    raked, settled = rake(stage, stage.put("aimed", aimed), everything, rounds=rounds, keep=keep, tolerance=tolerance)
     probability = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), keep * F.col("weight") / F.col("tokens"))).otherwise(keep)
-    return stage.put("odds", raked.select(*DIMENSIONS, "tokens", "weight", probability.alias("probability"))), margins
+    return stage.put("odds", raked.select(*DIMENSIONS, "tokens", "weight", probability.alias("probability"))), margins, settled
 
 
 def calibrate(
     spark: SparkSession, docs: DataFrame, *, keep: float = 0.5, temper: float = 0.7, rounds: int = 15, tolerance: float = 1e-3, topic: Column | None = None, targets: DataFrame | None = None
 ) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, probability, sampled), one row per document."""
+    """(doc_id, source, lang, topic, tokens, probability, sampled, settled), one row per document; ``settled`` is false if the rounds ended before they moved little."""
     stage = Stage(spark, "mixing")
     each = stage.put("each", with_cells(docs, topic))  # narrow rows: the texts are read once
-    odds, _ = cell_odds(stage, each, keep=keep, temper=temper, rounds=rounds, tolerance=tolerance, targets=targets)
-    return each.join(odds.drop("tokens", "weight"), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, F.col("tokens").cast("long").alias("tokens"), F.round("probability", 6).alias("probability"), (chance(F.col("doc_id")) < F.col("probability")).alias("sampled"))
+    odds, _, settled = cell_odds(stage, each, keep=keep, temper=temper, rounds=rounds, tolerance=tolerance, targets=targets)
+    return each.join(odds.drop("tokens", "weight"), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, F.col("tokens").cast("long").alias("tokens"), F.round("probability", 6).alias("probability"), (chance(F.col("doc_id")) < F.col("probability")).alias("sampled"), F.lit(settled).alias("settled"))
 
 
 def marginals(
     spark: SparkSession, docs: DataFrame, *, keep: float = 0.5, temper: float = 0.7, rounds: int = 15, tolerance: float = 1e-3, topic: Column | None = None, targets: DataFrame | None = None
 ) -> DataFrame:
     """(dimension, value, tokens, target, reached): tokens that are there, aimed at and raked, of every source, language and topic."""
-    odds, margins = cell_odds(Stage(spark, "mixing"), with_cells(docs, topic), keep=keep, temper=temper, rounds=rounds, tolerance=tolerance, targets=targets)
+    odds, margins, _ = cell_odds(Stage(spark, "mixing"), with_cells(docs, topic), keep=keep, temper=temper, rounds=rounds, tolerance=tolerance, targets=targets)
     each = odds.select("weight", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS))).alias("x"))
     reached = each.groupBy("x.dimension", "x.value").agg(F.sum("weight").alias("reached"))
     return margins.join(reached, ["dimension", "value"]).select("dimension", "value", "tokens", "target", "reached")
@@ -164,7 +168,7 @@ def sample(
     spark: SparkSession, docs: DataFrame, *, keep: float = 0.5, temper: float = 0.7, rounds: int = 15, tolerance: float = 1e-3, topic: Column | None = None, targets: DataFrame | None = None
 ) -> DataFrame:
     """The sampled documents; columns unchanged."""
-    odds, _ = cell_odds(Stage(spark, "mixing"), with_cells(docs, topic), keep=keep, temper=temper, rounds=rounds, tolerance=tolerance, targets=targets)
+    odds, _, _ = cell_odds(Stage(spark, "mixing"), with_cells(docs, topic), keep=keep, temper=temper, rounds=rounds, tolerance=tolerance, targets=targets)
     odds = odds.select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), F.col("probability").alias("__probability"))
     form = topic_of(F.col("text")) if topic is None else topic
     own = docs.select("*", *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(f"__{d}") for d, c in zip(DIMENSIONS, (F.col("source"), F.col("lang"), form))))
@@ -203,7 +207,7 @@ def oracle_sql(*, keep: float = 0.5, temper: float = 0.7, rounds: int = 15, tole
         CAST(len(regexp_extract_all(t, '[^ \\t\\n\\r\\f\\x0B]+')) AS DOUBLE) AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents)),
     t AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM e GROUP BY ALL),
     {", ".join(steps)},
-    odds AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, {keep} * weight / tokens) ELSE {keep} END AS probability FROM {last})
+    odds AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, {keep} * weight / tokens) ELSE {keep} END AS probability, done AS settled FROM {last})
     SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(probability, 6) AS probability,
-        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled
+        CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) / 4294967296.0 < probability AS sampled, settled
     FROM e JOIN odds USING (source, lang, topic)"""

@@ -102,3 +102,20 @@ def test_cases(spark):
     assert sorted(x.doc_id or 0 for x in M.sample(spark, docs).collect()) == sorted(x or 0 for x in chosen)
     assert M.sample(spark, docs).columns == docs.columns
     assert M.calibrate(spark, docs.limit(0)).collect() == []
+
+
+def test_rounds_that_end_early_say_so(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents")
+    assert {x.settled for x in M.calibrate(spark, docs, rounds=1, tolerance=1e-9).select("settled").distinct().collect()} == {False}
+    assert {x.settled for x in M.calibrate(spark, docs, tolerance=0.5).select("settled").distinct().collect()} == {True}
+
+
+def test_fills_go_on_until_nothing_changes(spark):
+    """A chain of values of which each step brings one more to its bound: twenty steps, more than any fixed number would allow."""
+    n = 20
+    tokens = np.array([100.0 * 1.9**i for i in range(n)] + [1e12])
+    share = np.array([tokens[i] * 3.0 * 1.05 ** (n - i) for i in range(n)] + [1e12])
+    margins = spark.createDataFrame([("source", str(i), float(t), float(s)) for i, (t, s) in enumerate(zip(tokens, share))], "dimension string, value string, tokens double, share double")
+    got = {int(x.value): x.target for x in M.with_targets(margins, float(tokens.sum()), 0.5).collect()}
+    want = filled(share, tokens / 0.5, tokens.sum())
+    assert [got[i] for i in range(n + 1)] == pytest.approx(want.tolist(), rel=1e-6)
