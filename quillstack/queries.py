@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -488,6 +489,15 @@ def except_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- merging
 
 
+@query("new_posts_bucketed", f"SELECT thread_id, post_id FROM ({CONV}) WHERE page % 2 = 0 UNION ALL SELECT thread_id, '' FROM ({CONV}) WHERE page = 1")
+def new_posts_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive is a bucketed table of the odd pages: only the new posts are dealt out to meet it."""
+    p, table = A.conversation_posts(spark, sf_dir), f"archive_{uuid.uuid4().hex}"
+    writers.save_bucketed_archive(p.filter("page % 2 = 1"), table, buckets=8, path=f"{Stage(spark, 'bucketed').root}/posts")
+    parsed = p.unionByName(p.filter("page = 1").withColumn("post_id", F.lit("")))
+    return merge.new_posts_only(parsed, spark.table(table)).select("thread_id", "post_id")
+
+
 @query(
     "merge_posts",
     f"""SELECT post_id, CASE WHEN {NUMBER} % 3 = 0 THEN 'new' ELSE 'old' END AS side FROM ({CONV})""",

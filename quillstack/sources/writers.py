@@ -28,6 +28,16 @@ def write_archive(posts: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     _replace(with_bucket(public_posts(posts), buckets).repartition("thread_bucket", F.pmod(F.xxhash64("post_id"), F.lit(8))).sortWithinPartitions("thread_bucket", "thread_id"), path, "thread_bucket")
 
 
+def save_bucketed_archive(posts: DataFrame, table: str, buckets: int = BUCKETS, keys: tuple[str, ...] = ("thread_id", "post_id"), path: str | None = None) -> None:
+    """Posts without raw HTML as a catalogued table, at ``path`` or in the warehouse, in buckets of ``keys``: joins and sums by just these keys read it where it lies, without a shuffle.
+
+    ``merge.new_posts_only`` meets it by thread and id, ``merge.except_pages`` and the page counts of a repair by thread and page.
+    """
+    public = public_posts(posts)
+    writer = public.repartition(buckets, *keys).write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 def write_raw_pages(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Page texts as a table by thread bucket, not a folder per page."""
     _replace(with_bucket(pages.select("thread_id", "page", "page_url", "html"), buckets), path, "thread_bucket")

@@ -52,6 +52,39 @@ def test_merge(spark):
     assert sorted(x.author for x in merge.replace_pages(a, b, failed.select("thread_id", "page"), only_if_passed=failed).collect()) == ["old"] * 3
 
 
+def exchanges_over(df, table):
+    """Exchanges of the plan that stand over the scan of a table, with more than the scan's own indentation to the left of them."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    found, at = [], next(i for i, line in enumerate(lines) if "FileScan" in line and table in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    now = depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < now:
+            now = depth(line)
+            found.append(line.strip(" :+-"))
+    return [x for x in found if "Exchange" in x]
+
+
+def test_a_bucketed_archive_is_not_shuffled(spark):
+    from quillstack.sources import writers
+
+    rows = [(str(i), str(i), "", i % 7, "a", "Jan", "", []) for i in range(60)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        writers.save_bucketed_archive(posts(spark, *rows[:40]), "by_post", 4)
+        fresh = merge.new_posts_only(posts(spark, *rows), spark.table("by_post"))
+        assert exchanges_over(fresh, "by_post") == [] and sorted(int(x.post_id) for x in fresh.collect()) == list(range(40, 60))
+        writers.save_bucketed_archive(posts(spark, *rows), "by_page", 4, keys=("thread_id", "page"))
+        pages = posts(spark, *rows[:3]).select("thread_id", "page")
+        rest = merge.except_pages(spark.table("by_page"), pages)
+        assert exchanges_over(rest, "by_page") == [] and {x.page for x in rest.collect()} == {3, 4, 5, 6}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for table in ("by_post", "by_page"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def test_repair_counts(spark):
     old = posts(spark, ("1", "1", "", 1, "a", "Jan", "", []), ("", "9", "", 1, "b", "Jan", "", []))
     new = posts(spark, ("1", "1", "", 1, "other", "Jan", "", []), ("1", "1", "", 1, "a", "Jan", "", []), ("", "9", "", 1, "b", "Jan", "", []), ("7", "1", "", 1, "a", "Jan", "", []))
