@@ -1,4 +1,4 @@
-"""Text helpers for code that already runs per row: the page parser and the line clean-up functions."""
+"""Text helpers for code that already runs per row, as the page parser does.  The columns of ``text`` are tested against the line functions here."""
 
 from __future__ import annotations
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from urllib.parse import parse_qs, urlencode, urlparse, urlunparse, uses_netloc, uses_params
+from urllib.parse import uses_netloc, uses_params
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,13 +17,6 @@ IMAGE_EXTENSION = r"(?i)\.(?:jpg|jpeg|png|gif|webp|bmp|svg)(?:\?|$)"
 MIME = (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("png", "image/png"), ("gif", "image/gif"), ("webp", "image/webp"), ("bmp", "image/bmp"), ("svg", "image/svg+xml"), ("html", "text/html"), ("txt", "text/plain"), ("pdf", "application/pdf"))
 
 
-def normalized(url: str | None) -> str:
-    """Without page number and fragment; equal parameters side by side, encoded anew.  For code that already runs per row; it tells what ``normalize_thread_url`` must give."""
-    parts = urlparse((url or "").strip())
-    kept = {k: v for k, v in parse_qs(parts.query, keep_blank_values=True).items() if k != "page"}
-    return urlunparse(parts._replace(query=urlencode(kept, doseq=True), fragment="")).rstrip("?")
-
-
 #: Scheme, rest with authority, authority, path, query and fragment of a url.
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?((?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?)$"
 #: An address in brackets: groups of hexadecimal digits, a gap, an older address at the end, a zone; or an address of a later version.

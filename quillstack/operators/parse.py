@@ -8,15 +8,15 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from urllib.parse import parse_qs, urljoin, urlparse
+from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import lines as L
-from quillstack.functions.text import compose_text
-from quillstack.functions.urls import SKIP_HINTS, normalized
+from quillstack.functions.text import compose_text, dedupe_all_lines, dedupe_consecutive_lines, normalize_multiline, normalize_space, strip_attachment_artifacts
+from quillstack.functions.urls import normalize_thread_url, should_skip_image
 from quillstack.operators.dom import Node, tree
 from quillstack.operators.validate import NO_AUTHOR, NO_DATE, judged_posts, validation_of
 
@@ -59,12 +59,10 @@ POST_TAGS, OPENER_TAGS = frozenset(("div", "article", "li", "section")), frozens
 NO_OPENER_TAGS = frozenset(("script", "style", "noscript", "svg", "path"))
 OUTER = frozenset(("body", "html", "document"))
 
-LINK = "struct<href:string,url:string,page:int,text:string>"
-BLOCK = (
-    "struct<label:string,post_id:string,post_number:string,post_url:string,author:string,timestamp:string,body_text:string,signature_text:string,"
-    "attachment_labels:array<string>,image_urls:array<string>,raw_html:string>"
-)
-PARSED = f"thread_id string, page int, page_url string, title string, links array<{LINK}>, expected array<string>, blocks array<{BLOCK}>"
+#: What the tree of a page yields: links and posts before the rules that columns apply to them.
+RAW_LINK = "struct<href:string,url:string,text:string>"
+RAW_BLOCK = "struct<label:string,post_id:string,post_number:string,post_url:string,author:string,timestamp:string,body:string,signature:string,labels:array<string>,pictures:array<string>,raw_html:string>"
+RAW = f"thread_id string, page int, page_url string, title string, links array<{RAW_LINK}>, blocks array<{RAW_BLOCK}>"
 
 
 def absolute(page_url: str, href: str) -> str:
@@ -129,8 +127,11 @@ def title_of(page: Node) -> str:
     return DEFAULT_TITLE
 
 
-def expected_numbers(marks: Marks) -> list[str]:
-    return list(dict.fromkeys(map(label_of, marks.numbers)))
+def expected_numbers(links: Column) -> Column:
+    """Numbers of the post links of a page, each once, in order."""
+    number = r"^#\s*([0-9,]+)$"
+    own = F.filter(links, lambda x: x["href"].rlike(PERMALINK.pattern) & x["text"].rlike(number))
+    return F.array_distinct(F.transform(own, lambda x: F.translate(F.regexp_extract(x["text"], number, 1), ",", "")))
 
 
 def content_of(block: Node) -> Node:
@@ -449,10 +450,9 @@ def split_signature(content: Node) -> tuple[Node, Node | None]:
 
 
 def images_of(content: Node, page_url: str) -> list[str]:
-    """Absolute urls of shown images, then of links to images, each once; those of the page's own furniture are left out."""
+    """Absolute urls of shown images, then of links to images, in order."""
     shown = ((img, image_url(page_url, source_of(img))) for img in content.select("img") if source_of(img))
-    urls = [url for img, url in shown if not is_icon(img, url)] + [x.url for x in (Link(a, page_url) for a in content.anchors) if x.shows_image]
-    return list(dict.fromkeys(u for u in urls if u and not any(h in u.lower() for h in SKIP_HINTS)))
+    return [url for img, url in shown if not is_icon(img, url)] + [x.url for x in (Link(a, page_url) for a in content.anchors) if x.shows_image]
 
 
 def post_of(label: str, block: Node, page_url: str, host: str) -> dict:
@@ -460,9 +460,6 @@ def post_of(label: str, block: Node, page_url: str, host: str) -> dict:
     number, time = number or label, timestamp_of(block)
     content = content_of(block)
     body, sign = split_signature(content)
-    labels = [L.squeeze(x) for x in attachments_of(body, page_url) + (attachments_of(sign, page_url) if sign else [])]
-    text = L.without_artifacts(L.multiline(body_of(body, time, number)))
-    signature = L.distinct_lines(L.drop_echoes(L.without_artifacts(L.multiline(body_of(sign, NO_DATE, ""))))) if sign else ""
     return {
         "label": label,
         "post_id": ident,
@@ -470,32 +467,40 @@ def post_of(label: str, block: Node, page_url: str, host: str) -> dict:
         "post_url": url,
         "author": author_of(block, host),
         "timestamp": time,
-        "body_text": text,
-        "signature_text": signature,
-        "attachment_labels": list(dict.fromkeys(filter(None, labels))),
-        "image_urls": images_of(content, page_url),
+        "labels": attachments_of(body, page_url) + (attachments_of(sign, page_url) if sign else []),
+        "body": body_of(body, time, number),
+        "signature": body_of(sign, NO_DATE, "") if sign else "",
+        "pictures": images_of(content, page_url),
         "raw_html": block.html(),
     }
 
 
-def _link(a: Node, page_url: str) -> dict:
-    href = a.attrs["href"].strip()
-    try:
-        url = urljoin(page_url, href)
-        page = parse_qs(urlparse(url).query).get("page", [""])[0]
-        return {"href": href, "url": normalized(url), "page": int(page) if page.isdigit() and len(page) < 10 else None, "text": a.text}
-    except ValueError:
-        return {"href": href, "url": "", "page": None, "text": a.text}
+def finished(block: Column) -> Column:
+    """A post of a page as its table has it: lines cleaned, lists without repeats and without the page's own furniture."""
+    some = lambda x: F.filter(x, lambda v: v != "")
+    return F.struct(
+        *(block[c].alias(c) for c in ("label", "post_id", "post_number", "post_url", "author", "timestamp")),
+        strip_attachment_artifacts(normalize_multiline(block["body"])).alias("body_text"),
+        dedupe_all_lines(dedupe_consecutive_lines(strip_attachment_artifacts(normalize_multiline(block["signature"])))).alias("signature_text"),
+        F.array_distinct(some(F.transform(block["labels"], normalize_space))).alias("attachment_labels"),
+        F.array_distinct(F.filter(block["pictures"], lambda u: (u != "") & ~should_skip_image(u))).alias("image_urls"),
+        block["raw_html"].alias("raw_html"),
+    )
+
+
+def finished_link(link: Column) -> Column:
+    """A link with its normalised url and the page that the url names."""
+    page = F.regexp_extract(link["url"], r"[?&]page=([0-9]{1,9})(?:[&#]|$)", 1)
+    return F.struct(link["href"].alias("href"), normalize_thread_url(link["url"]).alias("url"), F.when(page != "", page.cast("int")).alias("page"), link["text"].alias("text"))
 
 
 def parse_html(html: str | None, page: int | None, page_url: str | None) -> dict:
-    """Title, links, expected numbers and posts of a page."""
+    """Title, links and posts of a page, as its tree has them."""
     root, url = tree(html), page_url or ""
     host, marks = host_of(url), Marks(root)
     return {
         "title": title_of(root),
-        "links": [_link(a, url) for a in root.anchors if a.attrs["href"].strip()],
-        "expected": expected_numbers(marks),
+        "links": [{"href": href, "url": absolute(url, href), "text": a.text} for a in root.anchors if (href := a.attrs["href"].strip())],
         "blocks": [post_of(label, b, url, host) for label, b in blocks_of(root, page or 0, host, marks)],
     }
 
@@ -517,14 +522,18 @@ def slices(batch: pd.DataFrame, limit: int = SLICE) -> Iterator[pd.DataFrame]:
 
 
 def parse_pages(raw_pages: DataFrame) -> DataFrame:
-    """One row per page of raw pages (thread_id, page, page_url, html); no shuffle.  Pages without HTML have no blocks."""
+    """One row per page of raw pages (thread_id, page, page_url, html); no shuffle.  Pages without HTML have no blocks.
+
+    A Python worker makes the tree and finds posts in it; numbers, urls, lines and lists are columns over what it found, and are computed only if they are read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in (part for whole in batches for part in slices(whole)):
             rows = [parse_html(h, None if pd.isna(p) else int(p), u) for h, p, u in zip(batch.html, batch.page, batch.page_url)]
-            yield pd.concat([batch[["thread_id", "page", "page_url"]].reset_index(drop=True), pd.DataFrame(rows, columns=["title", "links", "expected", "blocks"])], axis=1)
+            yield pd.concat([batch[["thread_id", "page", "page_url"]].reset_index(drop=True), pd.DataFrame(rows, columns=["title", "links", "blocks"])], axis=1)
 
-    return raw_pages.select("thread_id", "page", "page_url", "html").mapInPandas(run, PARSED)
+    raw = raw_pages.select("thread_id", "page", "page_url", "html").mapInPandas(run, RAW)
+    return raw.select("thread_id", "page", "page_url", "title", F.transform("links", finished_link).alias("links"), expected_numbers(F.col("links")).alias("expected"), F.transform("blocks", finished).alias("blocks"))
 
 
 def last_page() -> Column:
