@@ -68,6 +68,10 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
     return out, total
 
 
+#: Characters that are looked up at a time.
+BLOCK = 1 << 18
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -76,12 +80,15 @@ class Model:
     temperature: float
 
     def logits(self, batch: list[str]) -> np.ndarray:
+        """Sums over all n-grams of each text, ``BLOCK`` places at a time, so that a very long text needs no more room than that."""
         points, at = ngrams.points_of(batch)
         out, n = np.zeros((len(batch), len(self.classes))), np.zeros(len(batch))
-        for h, first, last in ngrams.hashed(points, at, SIZES, BITS):
-            n += last - first
-            for c in range(len(self.classes)):
-                out[:, c] += ngrams.sums(self.table[c][h], first, last)
+        for a in range(0, len(points), BLOCK):
+            for h, first, last in ngrams.hashed(points[a : a + BLOCK + max(SIZES) - 1], at, SIZES, BITS):
+                first, last = np.clip(first, a, a + BLOCK) - a, np.clip(last, a, a + BLOCK) - a
+                n += last - first
+                for c in range(len(self.classes)):
+                    out[:, c] += ngrams.sums(self.table[c][h], first, last)
         return SCALE * out / np.maximum(n, 1)[:, None] + self.bias
 
     def scores(self, batch: list[str]) -> np.ndarray:

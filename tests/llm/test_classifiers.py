@@ -189,3 +189,37 @@ def test_very_long_texts_are_scored(spark):
     assert len(langid.identify(spark, docs).collect()) == 29
     labels = spark.createDataFrame([(i, int(i == 2)) for i in range(1, 30)], "doc_id long, toxic int")
     assert len(toxicity.score(spark, docs, labels).collect()) == 29
+
+
+def test_languages_of_texts_in_blocks(monkeypatch):
+    """Blocks of any size give the same sums, also where they end within texts or n-grams."""
+    r = np.random.default_rng(2)
+    model = langid.Model(["a", "b"], r.normal(size=(2, 1 << langid.BITS)).astype(np.float32), np.array([0.1, -0.2]), 1.3)
+    batch = ["", "x", "ab", "the quick brown fox", "Été à la plage " * 7, "日本語のテキスト", "z" * 100]
+    whole = model.logits(batch)
+    for block in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        assert np.allclose(model.logits(batch), whole, rtol=1e-9, atol=1e-9)
+
+
+def test_memory_of_a_very_long_text_is_bounded():
+    import tracemalloc
+
+    model = langid.Model(["a", "b"], np.zeros((2, 1 << langid.BITS), dtype=np.float32), np.zeros(2), 1.0)
+    text = "some words of a text " * 200_000
+    tracemalloc.start()
+    model.logits([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(text) + 40e6  # the text as code points, twice for a moment, and one block
+
+
+def test_an_id_of_many_texts_is_learned_from_once(spark, monkeypatch):
+    """Nine ids, one of which has two thousand texts: the fit sees nine rows."""
+    seen, real = [], toxicity.within_bytes
+    monkeypatch.setattr(toxicity, "within_bytes", lambda stage, rows, limit: seen.append(rows.count()) or real(stage, rows, limit))
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1][:9]
+    rows = [(i, f"text {i} " + ("awful " * 9 if k % 2 else "fine " * 9)) for k, i in enumerate(ids)] + [(ids[0], f"another {k}") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    assert toxicity.score(spark, docs, labels).count() == len(rows) and seen == [9]
