@@ -72,7 +72,11 @@ def replace_pages(existing: DataFrame, replacement: DataFrame, pages: DataFrame,
 
 
 def repair_added_vs_replaced(existing: DataFrame, repaired: DataFrame) -> DataFrame:
-    """(thread_id, page, added, replaced): a repaired post is added if its id, or else its key, is new on its page."""
+    """(thread_id, page, added, replaced): a repaired post is added if its id, or else its key, is new on its page.
+
+    The archive is cut to the repaired pages first; only what is left of it is dealt out.
+    """
+    existing = existing.join(repaired.select("thread_id", "page").distinct(), ["thread_id", "page"], "left_semi")
     ids = existing.filter("post_id <> ''").select("thread_id", "page", "post_id").distinct().withColumn("has_id", F.lit(True))
     keys = existing.select("thread_id", "page", repair_key().alias("key")).distinct().withColumn("has_key", F.lit(True))
     told = repaired.withColumn("key", repair_key()).join(ids, ["thread_id", "page", "post_id"], "left").join(keys, ["thread_id", "page", "key"], "left")

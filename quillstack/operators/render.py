@@ -232,6 +232,18 @@ def thread_document(posts: DataFrame, threads: DataFrame) -> DataFrame:
     return threads.join(folded, "thread_id", "left").select(*threads.columns, F.greatest(F.size("x"), F.lit(0)).cast("long").alias("total_posts"), F.transform("x", lambda r: r["post"]).alias("posts"))
 
 
+def thread_document_parts(posts: DataFrame, threads: DataFrame, *, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``thread_document`` as JSON text for threads of any size: parts and a manifest as of ``document_parts``.
+
+    A thread's parts, one behind the other, are one JSON document; null fields are left out, as a JSON writer does.  Threads without posts have none.
+    """
+    public = posts.drop("raw_html")
+    each = public.select("thread_id", F.struct(*sort_key()).alias("key"), F.to_json(F.struct(*[c for c in public.columns if c != "thread_id"])).alias("json"))
+    facts = F.to_json(F.struct(*threads.columns, F.col("posts").alias("total_posts")))
+    head = F.concat(F.substring(facts, 1, F.length(facts) - 1), F.lit(',"posts":['))
+    return document_parts(threads, each, "json", head=head, foot=F.lit("]}\n"), joiner=",", part_bytes=part_bytes)
+
+
 def _html_head() -> Column:
     title, url = html_escape(F.col("title")), html_escape(F.col("source_url"))
     return F.concat(F.lit('<!doctype html>\n<html><head><meta charset="utf-8"><title>'), title, F.lit(f'</title><style>{STYLE}</style></head><body>\n<h1>'), title, F.lit('</h1>\n<p><a href="'), url, F.lit('">source</a>, '), F.col("posts").cast("string"), F.lit(" posts</p>\n"))

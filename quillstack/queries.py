@@ -1089,6 +1089,15 @@ def assemble_thread_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("thread_id", "total_posts", F.array_join(F.transform("posts", lambda r: r["post_id"]), ",").alias("ids"))
 
 
+@query("thread_document_manifest", f"SELECT thread_id, count(*) AS posts, count(*) AS total_posts FROM ({CONV}) GROUP BY thread_id")
+def thread_document_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads as JSON in parts: posts by the manifest, and as the header tells them."""
+    p = posts(spark, sf_dir)
+    parts, manifest = render.thread_document_parts(p, p.select("thread_id").distinct(), part_bytes=PART)
+    told = parts.filter("part = 0").select("thread_id", F.regexp_extract("text", '"total_posts":([0-9]+)', 1).cast("long").alias("total_posts"))
+    return manifest.join(told, "thread_id").select("thread_id", "posts", "total_posts")
+
+
 @query("write_post_snapshots", f"SELECT thread_id, post_id AS snapshot, 'late' AS author FROM ({CONV})")
 def write_post_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, p = f"{Stage(spark, 'snapshots').root}/posts", posts(spark, sf_dir)

@@ -1,6 +1,7 @@
 """Documents in parts against the ones that are folded into a row; images of posts without ids of their own."""
 
 import base64
+import json
 import random
 
 import pytest
@@ -46,6 +47,16 @@ def test_parts_make_the_document(part_bytes, spark):
         assert told == {t: (len(p), len(want[t].encode()), 60 if t == "big" else 1) for t, p in got.items()}
 
 
+@pytest.mark.parametrize("part_bytes", [700, 8 << 20])
+def test_json_of_a_thread_in_parts(part_bytes, spark):
+    posts, threads = thread(spark)
+    parts, manifest = render.thread_document_parts(posts.withColumn("raw_html", F.lit("<p>")), threads, part_bytes=part_bytes)
+    got = {t: json.loads("".join(text for _, text in p)) for t, p in together(parts).items()}
+    want = {x["thread_id"]: x for x in map(json.loads, render.thread_document(posts, threads).toJSON().collect()) if x["total_posts"]}
+    assert got == want and len(got["big"]["posts"]) == 60
+    assert {x.thread_id: x.posts for x in manifest.collect()} == {"big": 60, "one": 1}
+
+
 def pictured(spark):
     """Posts with empty, null and equal ids, one twice the same, and images that several share."""
     body = "look\n[[POST_IMAGE]]\nend"
