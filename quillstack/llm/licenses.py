@@ -150,10 +150,10 @@ class Places:
         self.text, self.at, self.word = text, 0, -1
 
     def __call__(self, place: int) -> int:
-        """The word that holds the character; for a space the one before it."""
+        """The word that holds the character; for a space the one behind it."""
         self.word += self.text.count(" ", self.at, place + 1)
         self.at = place + 1
-        return max(0, self.word)
+        return self.word
 
 
 @lru_cache(maxsize=4)
@@ -187,7 +187,8 @@ def scan(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_c
                 word, spans = Places(text), []
                 for label, notice, a, b, errors in find.fuzzy(text):
                     first = word(a)
-                    spans.append((label, find.notices[notice][0], first, first + text.count(" ", a + 1, b), errors, text[a:b]))
+                    end = a + len(text[a:b].rstrip(" "))  # a space at the end belongs to no word
+                    spans.append((label, find.notices[notice][0], first, first + text.count(" ", a + 1, end), errors, text[a:b]))
                 fuzzy.append(spans)
             columns = [[[dict(zip(span.names, s)) for s in spans] for spans in rows] for rows in (exact, fuzzy)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(c, pa.list_(span)) for c in columns)], names=["doc_id", "n_words", "phrases", "notices"])

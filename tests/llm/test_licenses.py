@@ -74,6 +74,7 @@ def test_equals_brute_force(spark):
         for s in x.notices:
             w = words(text)
             assert s.matched in normal and s.matched.strip() in " ".join(w[s.first_word : s.last_word + 1])
+            assert len(s.matched.split()) == s.last_word - s.first_word + 1
 
 
 def test_places_of_one_notice_stay_apart_and_none_is_lost():
