@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,16 +61,36 @@ def except_pages(posts: DataFrame, pages: DataFrame) -> DataFrame:
     return posts.join(pages.select("thread_id", "page").distinct(), ["thread_id", "page"], "left_anti").select(posts.columns)
 
 
-def replace_pages(existing: DataFrame, replacement: DataFrame, pages: DataFrame, *, only_if_passed: DataFrame | None = None, seq: str | None = None) -> DataFrame:
+def replace_pages(existing: DataFrame, replacement: DataFrame, pages: DataFrame, *, only_if_passed: DataFrame | None = None, seq: str | None = None, merged: bool = False) -> DataFrame:
     """All posts of the pages go, the replacement's come.
 
     A page is replaced whatever its validation says, unless ``only_if_passed`` (thread_id, page, passed) is given.
+    ``merged`` says that ``existing`` holds each key once, as an archive does: its rows are then passed on as they are,
+    and of a table in buckets of thread and page nothing is shuffled.
     """
     if only_if_passed is not None:
         good = only_if_passed.filter("passed").select("thread_id", "page").distinct()
         pages = pages.join(good, ["thread_id", "page"], "left_semi")
         replacement = replacement.join(good, ["thread_id", "page"], "left_semi").select(replacement.columns)
-    return merge_posts(except_pages(existing, pages), replacement, seq=seq)
+    kept = except_pages(existing, pages)
+    return kept.unionByName(not_held(replacement, kept, seq).select(existing.columns)) if merged else merge_posts(kept, replacement, seq=seq)
+
+
+def not_held(new: DataFrame, held: DataFrame, seq: str | None = None) -> DataFrame:
+    """The posts of ``new``, once each, whose key ``held`` does not have.
+
+    The key has thread and page in it, so only rows on the new posts' own pages are asked for their keys.  Rows without a
+    thread or a page meet no other by a join of these two; their keys are all asked for.
+    """
+    named = lambda columns: [c.alias(f"__k{i}") for i, c in enumerate(columns)]
+    own = new.select("thread_id", "page").distinct()
+    placed = held.join(own, ["thread_id", "page"], "left_semi").select(named(merge_key()))
+    loose = held.filter("thread_id IS NULL OR page IS NULL OR page = 0").select(named(merge_key()))
+    keys = placed.unionByName(loose).distinct()
+    place = F.col(seq) if seq else F.xxhash64(*new.columns)
+    once = first_by(new, merge_key(), F.struct(place.alias("place")))
+    same = [a.eqNullSafe(F.col(f"__k{i}")) for i, a in enumerate(merge_key())]
+    return once.join(keys, reduce(lambda x, y: x & y, same), "left_anti")
 
 
 def repair_added_vs_replaced(existing: DataFrame, repaired: DataFrame) -> DataFrame:

@@ -521,6 +521,15 @@ def replace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.replace_pages(p, fixed, p.filter("page = 2").select("thread_id", "page").distinct()).select("post_id", "author")
 
 
+@query("replace_pages_bucketed", f"SELECT post_id, CASE WHEN page = 2 THEN 'repaired' ELSE author END AS author FROM ({CONV}) WHERE page <> 2 OR {NUMBER} % 2 = 0")
+def replace_pages_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive is a bucketed table of threads and pages: its rows are passed on where they lie."""
+    p, table = A.conversation_posts(spark, sf_dir), f"archive_{uuid.uuid4().hex}"
+    writers.save_bucketed_archive(p, table, buckets=8, keys=("thread_id", "page"), path=f"{Stage(spark, 'bucketed').root}/posts")
+    fixed = p.filter("page = 2").filter(select.number_of(F.col("post_number")) % 2 == 0).withColumn("author", F.lit("repaired"))
+    return merge.replace_pages(spark.table(table), fixed, p.filter("page = 2").select("thread_id", "page").distinct(), merged=True).select("post_id", "author")
+
+
 @query(
     "repair_added_vs_replaced",
     f"SELECT thread_id, page, count(*) FILTER (author <> 'assistant' OR {NUMBER} % 2 = 0) AS added, count(*) FILTER (author = 'assistant' AND {NUMBER} % 2 = 1) AS replaced FROM ({CONV}) GROUP BY ALL",

@@ -52,17 +52,21 @@ def test_merge(spark):
     assert sorted(x.author for x in merge.replace_pages(a, b, failed.select("thread_id", "page"), only_if_passed=failed).collect()) == ["old"] * 3
 
 
-def exchanges_over(df, table):
-    """Exchanges of the plan that stand over the scan of a table, with more than the scan's own indentation to the left of them."""
+def above(df, table):
+    """Of each scan of a table: the joins and exchanges that stand over it, the nearest first."""
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
-    found, at = [], next(i for i, line in enumerate(lines) if "FileScan" in line and table in line)
     depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
-    now = depth(lines[at])
-    for line in reversed(lines[:at]):
-        if depth(line) < now:
-            now = depth(line)
-            found.append(line.strip(" :+-"))
-    return [x for x in found if "Exchange" in x]
+    for at in (i for i, line in enumerate(lines) if "FileScan" in line and table in line):
+        found, now = [], depth(lines[at])
+        for line in reversed(lines[:at]):
+            if depth(line) < now:
+                now = depth(line)
+                found.append(line.strip(" :+-*()0123456789"))
+        yield [x for x in found if "Exchange" in x or "Join" in x]
+
+
+def exchanges_over(df, table):
+    return [x for x in next(above(df, table)) if "Exchange" in x]
 
 
 def test_a_bucketed_archive_is_not_shuffled(spark):
@@ -79,12 +83,36 @@ def test_a_bucketed_archive_is_not_shuffled(spark):
         pages = posts(spark, *rows[:3]).select("thread_id", "page")
         rest = merge.except_pages(spark.table("by_page"), pages)
         assert exchanges_over(rest, "by_page") == [] and {x.page for x in rest.collect()} == {3, 4, 5, 6}
+        fixed = posts(spark, *rows[:2], ("9", "9", "", 2, "z", "Jan", "", [])).withColumn("author", F.lit("new"))
+        paged = merge.replace_pages(spark.table("by_page"), fixed, posts(spark, *rows[:2]).select("thread_id", "page"), merged=True)
+        kept, *asked = above(paged, "by_page")
+        assert kept and not any("Exchange" in x for x in kept)
+        # Only keys of rows that met the replacement's pages, or of rows without a page, are dealt out.
+        assert len(asked) == 2 and all("Join" in x[0] for x in asked)
+        assert sorted((int(x.post_id), x.author) for x in paged.collect()) == sorted([(i, "a") for i in range(60) if i % 7 > 1] + [(0, "new"), (1, "new")])
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         for table in ("by_post", "by_page"):
             spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def test_replaced_pages_of_a_merged_archive(spark):
+    """Passing the archive's rows on gives what merging them again gives."""
+    import itertools
+    import random
+
+    draw = random.Random(5)
+    choice = list(itertools.product(["t", "u", None], ["1", "2", "", None], ["1", "", None], ["", "x", None], [1, 2, 0, None]))
+    rows = lambda n, side: spark.createDataFrame([(t, i, k, u, p, f"{side}{draw.randrange(9)}", "", "", []) for t, i, k, u, p in draw.choices(choice, k=n)], POST)
+    for n in (0, 40, 250):
+        for m in (0, 30):
+            held = spark.createDataFrame(merge.merge_posts(rows(n, "old"), rows(0, "")).collect(), POST)
+            new = rows(m, "new")
+            pages = spark.createDataFrame([("t", 1), ("u", 0), ("t", 1), (None, 1)], "thread_id string, page int")
+            show = lambda df: sorted(map(str, df.collect()))
+            assert show(merge.replace_pages(held, new, pages, merged=True)) == show(merge.replace_pages(held, new, pages))
+
+
 def test_repair_counts(spark):
     old = posts(spark, ("1", "1", "", 1, "a", "Jan", "", []), ("", "9", "", 1, "b", "Jan", "", []))
     new = posts(spark, ("1", "1", "", 1, "other", "Jan", "", []), ("1", "1", "", 1, "a", "Jan", "", []), ("", "9", "", 1, "b", "Jan", "", []), ("7", "1", "", 1, "a", "Jan", "", []))
