@@ -1065,7 +1065,7 @@ def read_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small file per thread in the layout of image folders, read as bytes."""
     root = f"{Stage(spark, 'images').root}/files"
     names = A.conversation_posts(spark, sf_dir).select("thread_id").distinct()
-    names.select(F.col("thread_id").alias("value"), "thread_id").repartition("thread_id").write.partitionBy("thread_id").text(root)
+    writers.write_thread_files(names.withColumn("value", F.col("thread_id")), root)
     return readers.read_images(spark, root, folder="").groupBy("thread_id").agg(F.count(F.lit(1)).alias("files"), F.max(F.decode("content", "UTF-8")).alias("content"))
 
 

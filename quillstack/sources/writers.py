@@ -43,6 +43,15 @@ def write_raw_pages(pages: DataFrame, path: str, buckets: int = BUCKETS) -> None
     _replace(with_bucket(pages.select("thread_id", "page", "page_url", "html"), buckets), path, "thread_bucket")
 
 
+def write_thread_files(files: DataFrame, path: str) -> None:
+    """Lines (thread_id, value) as text files in a folder per thread.
+
+    Making a file costs more than what it holds, so threads are dealt to a number of tasks that is given: left to their bytes, all of them would end in one.
+    """
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    files.select("value", "thread_id").repartition(tasks, "thread_id").write.partitionBy("thread_id").text(path)
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     """One JSON document per thread."""
     documents.write.mode("overwrite").json(path)
