@@ -793,7 +793,11 @@ def validated_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("thread_id", "page", "validation.passed", F.array_join("validation.missing_post_numbers", ",").alias("missing"))
 
 
-@query("longest_block_per_label", f"SELECT thread_id, page, post_number, CASE page % 3 WHEN 0 THEN 'longer first ' WHEN 1 THEN '' ELSE 'longer second ' END || {clean()} AS body FROM ({CONV})")
+@query(
+    "longest_block_per_label",
+    f"""WITH p AS (SELECT *, CASE page % 3 WHEN 0 THEN 'longer first ' WHEN 1 THEN '' ELSE 'longer second ' END || text AS longest FROM ({CONV}))
+    SELECT thread_id, page, post_number, {body_sql('longest')} AS body FROM p""",
+)
 def longest_block_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every post stands on its page twice: alike, or one of both with more words."""
     mark, k = '<div class="message">', F.col("page") % 3
