@@ -741,13 +741,22 @@ PAGES = """SELECT CAST(thread_id AS VARCHAR) AS thread_id, page, 'https://forum.
     FROM ({posts}) GROUP BY thread_id, page"""
 ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
 PAGES = PAGES.format(escaped=ESCAPED.format("text"), number=NUMBER, posts=CONV)
+
+
+def resolved(text: str) -> str:
+    """SQL that resolves the references of pages, in the tree and again in the text; as HTML has it, these count also without their semicolon, as where a title was cut."""
+    for name, letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")) * 2:
+        text = f"regexp_replace({text}, '&{name};?', '{letter}', 'g')"
+    return text
+
+
 HEADING = "regexp_extract(html, '<{0}[^>]*>([^<]*)</{0}>', 1)"
 
 
 @query(
     "page_title",
     f"""WITH p AS (SELECT page_id, {HEADING.format('h1')} AS h, {HEADING.format('title')} AS t FROM pages)
-    SELECT CAST(page_id AS VARCHAR) AS thread_id, trim(regexp_replace(replace(replace(replace(replace(CASE page_id % 3 WHEN 0 THEN h ELSE t END, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM p""",
+    SELECT CAST(page_id AS VARCHAR) AS thread_id, trim(regexp_replace({resolved("CASE page_id % 3 WHEN 0 THEN h ELSE t END")}, '\\s+', ' ', 'g')) AS title FROM p""",
 )
 def page_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles of the supplied pages; every third page has a blank heading, every third none."""
