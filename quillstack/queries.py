@@ -774,7 +774,7 @@ def expected_post_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parse_pages", f"SELECT thread_id, page, post_id, post_number, 'https://forum.example' || post_url AS post_url, author, 'Jan 5, 2024 1:05pm' AS \"timestamp\", true AS accepted FROM ({CONV})")
 def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("thread_id", "page", "post_id", "post_number", "post_url", "author", "timestamp", "accepted")
+    return parse.posts_of_pages(forum_pages(spark, sf_dir)).select("thread_id", "page", "post_id", "post_number", "post_url", "author", "timestamp", "accepted")
 
 
 #: A content element of fewer than twenty characters is none: then the body is the post's block, with author, date and number before the text.
@@ -788,7 +788,7 @@ def body_sql(text: str) -> str:
 
 @query("body_text", f"SELECT post_id, {body_sql('text')} AS body FROM ({CONV})")
 def body_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.posts_of(parse.parse_pages(forum_pages(spark, sf_dir))).select("post_id", F.col("body_text").alias("body"))
+    return parse.posts_of_pages(forum_pages(spark, sf_dir)).select("post_id", F.col("body_text").alias("body"))
 
 
 @query("validated_pages", f"SELECT thread_id, page, page % 2 = 1 AS passed, CASE WHEN page % 2 = 1 THEN '' ELSE '999' END AS missing FROM ({CONV}) GROUP BY ALL")
@@ -810,7 +810,7 @@ def longest_block_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = lambda c, word, rest: F.when(k == rest, F.replace(c, F.lit(mark), F.lit(f"{mark}longer {word} "))).otherwise(c)
     items = F.regexp_extract("html", r'(?s)(<div class="item">.*)<nav>', 1)
     twice = forum_pages(spark, sf_dir).withColumn("html", F.concat(told(items, "first", 0), told(items, "second", 2)))
-    return parse.posts_of(parse.parse_pages(twice)).select("thread_id", "page", "post_number", F.col("body_text").alias("body"))
+    return parse.posts_of_pages(twice).select("thread_id", "page", "post_number", F.col("body_text").alias("body"))
 
 
 def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -833,7 +833,7 @@ FOUND = f"(SELECT * FROM (SELECT *, {NUMBER} AS n, count(*) OVER (PARTITION BY t
 
 @query("opener_recovery", f"SELECT thread_id, page, post_number, CASE WHEN n = 1 THEN '' ELSE post_id END AS post_id, author, 'Jan 5, 2024 1:05pm' AS \"timestamp\" FROM {FOUND}")
 def opener_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse.posts_of(parse.parse_pages(rich_pages(spark, sf_dir))).select("thread_id", "page", "post_number", "post_id", "author", "timestamp")
+    return parse.posts_of_pages(rich_pages(spark, sf_dir)).select("thread_id", "page", "post_number", "post_id", "author", "timestamp")
 
 
 for _name, _sql in (
@@ -845,7 +845,7 @@ for _name, _sql in (
     @query(_name, f"SELECT thread_id, post_number, {_sql} AS out FROM {FOUND}")
     def _field(spark: SparkSession, sf_dir: str, column: str = _name) -> DataFrame:
         out = F.col(column) if column == "signature_text" else F.array_join(column, "; ")
-        return parse.posts_of(parse.parse_pages(rich_pages(spark, sf_dir))).select("thread_id", "post_number", out.alias("out"))
+        return parse.posts_of_pages(rich_pages(spark, sf_dir)).select("thread_id", "post_number", out.alias("out"))
 
 
 # ---------------------------------------------------------------- images
