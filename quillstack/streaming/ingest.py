@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,12 @@ def upsert_posts(spark: SparkSession, posts: DataFrame, path: str, token: str |
     ArchiveLog(spark, path).append(posts.filter("accepted"), token)
 
 
+def spread(batch: DataFrame) -> DataFrame:
+    """Pages of few files on all cores: parsing a page costs far more than moving it."""
+    tasks = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(2 * tasks, "thread_id", "page") if batch.rdd.getNumPartitions() < tasks else batch
+
+
 def ingest_pages_stream(spark: SparkSession, pages: DataFrame, archive: str, checkpoint: str, repair: str | None = None):
     """Parses arriving pages, appends their posts and notes failed pages for repair; ends when all present files are done.
 
@@ -39,7 +46,7 @@ def ingest_pages_stream(spark: SparkSession, pages: DataFrame, archive: str, che
 
     def step(batch: DataFrame, batch_id: int) -> None:
         stage = Stage(batch.sparkSession, "ingest")
-        parsed = stage.put("parsed", parse.parse_pages(batch))
+        parsed = stage.put("parsed", parse.parse_pages(spread(batch)))
         upsert_posts(batch.sparkSession, parse.posts_of(parsed), archive, f"{stream}-{batch_id}")
         ArchiveLog(batch.sparkSession, archive).compact_if_due()
         if repair:
@@ -75,13 +82,17 @@ def page_actions(seen: DataFrame, *, retries: int = RETRIES, patience: str = PAT
             out.append((*key, "repair", attempts, list(warnings)))
             state.remove()
         else:
-            rows = pd.concat(list(batches))
-            for arrival, own in sorted(rows[rows.arrival > last].groupby("arrival"), key=lambda x: x[0]):
-                last = int(arrival)
-                if own.passed.any():
+            # Most pages have one row: plain lists, as a frame per page would cost more than all else.
+            arrivals: dict[int, list[tuple[bool, str | None]]] = {}
+            for b in batches:
+                for arrival, passed, told in zip(b.arrival.tolist(), b.passed.tolist(), b.told.tolist()):
+                    if arrival > last:
+                        arrivals.setdefault(int(arrival), []).append((bool(passed), told))
+            for last, own in sorted(arrivals.items()):
+                if any(passed for passed, _ in own):
                     attempts = 0
                     continue
-                attempts, warnings = attempts + 1, list(own.warnings.iloc[0])
+                attempts, warnings = attempts + 1, json.loads(own[0][1] or "[]")
                 out.append((*key, "retry" if attempts <= retries else "repair", attempts, warnings))
                 if attempts > retries:
                     attempts = 0
@@ -94,7 +105,8 @@ def page_actions(seen: DataFrame, *, retries: int = RETRIES, patience: str = PAT
         if out and (attempts or out[-1][2] == "repair"):
             yield pd.DataFrame(out[-1:], columns=["thread_id", "page", "action", "attempts", "warnings"])
 
-    return seen.groupBy("thread_id", "page").applyInPandasWithState(step, ACTIONS, "attempts int, last long, warnings array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    flat = seen.select("thread_id", "page", "arrival", "passed", F.when(~F.col("passed"), F.to_json("warnings")).alias("told"))
+    return flat.groupBy("thread_id", "page").applyInPandasWithState(step, ACTIONS, "attempts int, last long, warnings array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def judge_pages(spark: SparkSession, repair: str, checkpoint: str, **options):

@@ -72,3 +72,16 @@ def test_only_new_posts_are_written(spark, tmp_path):
     assert sorted(x.post_id or "" for x in log.read().collect()) == ["", "1", "2", "3"]
     assert log.append_new(make().limit(0), "s-2").count() == 0
     assert log.read().filter(F.col("post_id") == "1").count() == 1
+
+
+def test_failing_pages_may_tell_nothing(spark, tmp_path):
+    arrive(spark, str(tmp_path / "r"), [("t", 1, 0, False, None), ("t", 2, 0, True, None), ("t", 3, 0, False, ["a", "b"]), ("t", 3, 1, False, ["c, d"])])
+    ingest.judge_pages(spark, str(tmp_path / "r"), str(tmp_path / "c"))
+    assert actions(spark, str(tmp_path / "r")) == [("t", 1, "retry", 1), ("t", 3, "repair", 2)]
+    assert [list(x.warnings) for x in ingest.pages_to(spark, str(tmp_path / "r"), "repair").collect()] == [["c, d"]]
+
+
+def test_a_batch_of_one_file_is_parsed_by_all_cores(spark, tmp_path):
+    spark.range(400).selectExpr("cast(id AS string) AS thread_id", "1 AS page", "'' AS page_url", "'' AS html").coalesce(1).write.parquet(f"{tmp_path}/raw")
+    dealt = ingest.spread(spark.read.parquet(f"{tmp_path}/raw"))
+    assert dealt.count() == 400 and dealt.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
