@@ -17,7 +17,7 @@ def test_posts_of_pages_are_those_of_parsed_pages(spark):
 
 def test_texts_are_not_made_where_only_urls_are_read(spark):
     plan = Q.QUERIES["image_urls"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
-    assert "image_urls" in plan and "body_text" not in plan and "attachment_labels" not in plan
+    assert "pictures" in plan and "body_text" not in plan and "attachment_labels" not in plan
 
 
 def test_long_urls_are_not_kept():
